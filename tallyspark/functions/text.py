@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.constants import STOP_WORDS
 
-NON_WORD = r"(?U)[^\w\s]"
+NON_WORD = r"(?U)[^\p{L}\p{N}_\s]"  # Python str \w = letters, numbers, "_"
 SPACES = r"(?U)\s+"
 EDGE_SPACES = r"(?U)^\s+|\s+$"
 

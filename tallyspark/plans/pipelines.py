@@ -1,0 +1,81 @@
+"""End-to-end jobs (G1-G3) as chains of DataFrame transforms."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.functions.dates import calendar_columns
+from tallyspark.operators import analytics as A
+from tallyspark.operators.anomaly import detect_anomalies
+from tallyspark.operators.clean import clean_expenses
+from tallyspark.operators.present import preview
+from tallyspark.operators.report import build_report
+from tallyspark.operators.rules import categorize_first_match, categorize_weighted
+from tallyspark.operators.schema import standardize_columns
+from tallyspark.session import materialize
+from tallyspark.sources.files import load_data
+from tallyspark.sources.sinks import save_processed, save_report_json
+
+
+def add_time_features(df: DataFrame) -> DataFrame:
+    """B7 as a transform."""
+    if "fecha" not in df.columns:
+        return df
+    return df.select("*", *[c.alias(n) for n, c in calendar_columns(F.col("fecha")).items()])
+
+
+def process_frame(raw: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
+    """G1 body: standardise -> clean -> first-match categories -> calendar."""
+    return (raw.transform(standardize_columns)
+               .transform(lambda d: clean_expenses(d, as_of=as_of))
+               .transform(categorize_first_match)
+               .transform(add_time_features))
+
+
+def insights(df: DataFrame) -> dict[str, DataFrame]:
+    """G1 insights: one DataFrame per section."""
+    return {"resumen": A.overall(df), "por_categoria": A.by_category(df), "periodo": A.period(df),
+            "mensual": A.monthly(df), "top_gastos": A.top_n(df)}
+
+
+def process_file(spark: SparkSession, path: str, file_type: str | None = None,
+                 output_path: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """G1: load -> process -> insights (-> save)."""
+    df = process_frame(load_data(spark, path, file_type))
+    if output_path:
+        save_processed(df, output_path)
+    return df, insights(df)
+
+
+def upload_job(spark: SparkSession, raw: DataFrame) -> dict[str, DataFrame]:
+    """Process -> rule prediction with confidence -> KPI row + preview."""
+    df = process_frame(raw).drop("categoria")
+    df = categorize_weighted(df, out_col="categoria_ia").withColumnRenamed("confidence", "confianza_ia")
+    return {"datos": df, "kpis": A.kpis(df, cat="categoria_ia"), "preview": preview(df)}
+
+
+def full_job(spark: SparkSession, raw: DataFrame, out_dir: str | None = None,
+             use_model: bool = True, model_path: str | None = None,
+             as_of: dt.datetime | None = None) -> dict[str, DataFrame]:
+    """Process -> categorise (model or rules) -> anomalies -> report (-> save).
+
+    The processed table is checkpointed once (into the shared checkpoint
+    folder) because about fifteen aggregates read it.
+    """
+    processed = process_frame(raw, as_of).drop("categoria")
+    accuracy = None
+    if use_model:
+        from tallyspark.ml.categorizer import categorize_smart
+        categorized, accuracy = categorize_smart(processed, model_path=model_path)
+    else:
+        categorized = categorize_weighted(processed)
+    categorized = materialize(categorized)
+    flagged = materialize(detect_anomalies(categorized))
+    report = build_report(flagged, as_of=as_of, model_accuracy=accuracy)
+    if out_dir:
+        save_report_json(report, f"{out_dir}/reporte.json")
+        save_processed(flagged, f"{out_dir}/gastos_procesados.csv")
+    return {"datos": flagged, "reporte": report}
