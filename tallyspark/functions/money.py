@@ -13,8 +13,14 @@ NUMBER_RX = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^(?i)[+-]?(inf|infinity)$"
 
 
 def _to_double(s: Column) -> Column:
-    num = F.when(s.rlike(NUMBER_RX), s.try_cast("double"))
-    return F.when(F.isnan(num), F.lit(None).cast("double")).otherwise(num)
+    """Text -> double; anything that is not a plain number (or NaN) -> NULL.
+
+    Written so that ``s`` is referenced once: the extract yields '' for a
+    non-number, which ``try_cast`` turns into NULL, and ``nanvl`` maps NaN
+    to NULL without repeating its input.
+    """
+    num = F.regexp_extract(s, NUMBER_RX, 0).try_cast("double")
+    return F.nanvl(num, F.lit(None).cast("double"))
 
 
 def clean_amount(c: Column, symbol: str = CURRENCY_SYMBOL) -> Column:

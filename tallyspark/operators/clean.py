@@ -72,6 +72,18 @@ def drop_duplicates_first(df: DataFrame, subset: tuple[str, ...] = ("descripcion
     return out.select(*cols).select(*df.columns)
 
 
+def compute_once(df: DataFrame) -> DataFrame:
+    """Evaluate the (regex-heavy) columns of ``df`` exactly once per row.
+
+    Predicate pushdown substitutes column definitions into later filters,
+    so a filter on a cleaned column would re-run the whole cleaning chain.
+    Emitting the row through a one-element ``inline`` (a Generate node,
+    codegen'd, no shuffle) keeps later filters above the computation.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.inline(F.array(row)))
+
+
 def clean_expenses(df: DataFrame, null_description_as_text: bool = True,
                    as_of: dt.datetime | None = None,
                    subset: tuple[str, ...] = ("descripcion", "monto")) -> DataFrame:
@@ -80,5 +92,5 @@ def clean_expenses(df: DataFrame, null_description_as_text: bool = True,
     df = clean_descriptions(df, null_description_as_text)
     df = clean_amounts(df)
     df = parse_dates(df, as_of)
-    df = drop_invalid(df)
+    df = drop_invalid(compute_once(df))
     return drop_duplicates_first(df, subset)

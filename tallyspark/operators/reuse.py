@@ -40,7 +40,7 @@ def categorize_distinct(df: DataFrame, text_col: str = "descripcion", scorer=Non
     """Apply ``scorer`` (DataFrame -> DataFrame adding categoria/confidence/method)
     once per distinct key and join the result back to every row."""
     scorer = scorer or categorize_weighted
-    keyed = df.withColumn("_key", cache_key(F.col(text_col)))
-    keys = keyed.groupBy("_key").agg(F.first(text_col).alias(text_col))
-    scored = scorer(keys).select("_key", "categoria", "confidence", "method")
-    return join_small(keyed, scored, "_key", "left", max_broadcast_rows).drop("_key")
+    keyed = df.withColumn("_ckey", cache_key(F.col(text_col)))
+    keys = keyed.groupBy("_ckey").agg(F.first(text_col).alias(text_col))
+    scored = scorer(keys).select("_ckey", "categoria", "confidence", "method")
+    return join_small(keyed, scored, "_ckey", "left", max_broadcast_rows).drop("_ckey")

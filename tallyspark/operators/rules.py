@@ -1,11 +1,15 @@
 """Rule-based categorisation.
 
-The rule tables are fixed and small (76 / 174 keywords), so instead of a
-theta join against a broadcast rule table every rule becomes part of
-one generated Column expression: ``contains`` tests summed per
-category.  That keeps categorisation a narrow, whole-stage-codegen
-projection: no join, no shuffle, cost linear in rows, at any scale and
-any skew.
+The rule tables are fixed and small (76 / 174 keywords).  Scoring is a
+built-in expression (``contains`` per keyword, one int column per
+keyword, summed per category) -- no Python UDF, no theta join.
+
+Transaction descriptions repeat heavily (merchants), so each distinct
+normalised text is scored once: the distinct texts come from a
+partial/final aggregation (a description holding a third of the rows is
+collapsed map-side), are scored, cached, counted, and broadcast back
+when the count is within ``MAX_BROADCAST_TEXTS``.  Beyond that bound
+the same expression runs per row (narrow, no shuffle, no join).
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ from tallyspark.constants import (DEFAULT_CATEGORY, FIRST_MATCH_RULES, PSEUDO_LA
 from tallyspark.functions.text import normalize_for_matching
 
 
+MAX_BROADCAST_TEXTS = 2_000_000
+
+
 def first_match_category(desc: Column, rules=FIRST_MATCH_RULES) -> Column:
     """First category (in rule order) with a keyword inside the text."""
     text = F.lower(desc.cast("string"))
@@ -38,21 +45,40 @@ def category_scores_tenths(norm: Column, rules=WEIGHTED_RULES) -> list[tuple[str
     """C5 in exact integer tenths: per category, matched keywords x weight."""
     out = []
     for category, weight, keywords in rules:
-        w = weight_tenths(weight)
-        terms = [F.when(norm.contains(kw), F.lit(w)).otherwise(F.lit(0)) for kw in keywords]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        out.append((category, total))
+        hits = [norm.contains(kw).cast("int") for kw in keywords]
+        out.append((category, sum(hits[1:], hits[0]) * weight_tenths(weight)))
     return out
 
 
-def best_category(scores: list[tuple[str, Column]]) -> Column:
-    """Highest score wins; ties keep the earlier category; no match -> Otros.
+def _keyword_hits(df: DataFrame, norm_col: str, rules=WEIGHTED_RULES) -> DataFrame:
+    """One int column per keyword, computed once (small generated methods)."""
+    from tallyspark.operators.clean import compute_once
+    cols = [F.col(norm_col).contains(kw).cast("int").alias(f"_k{i}_{j}")
+            for i, (_, _, kws) in enumerate(rules) for j, kw in enumerate(kws)]
+    return compute_once(df.select("*", *cols))
+
+
+def best_category_struct(df: DataFrame, norm_col: str = "_norm", rules=WEIGHTED_RULES) -> DataFrame:
+    """Adds ``_best`` = (category, score_tenths): highest score, ties to the
+    earlier category, no match -> Otros.  Score and category ordinal are
+    packed into one integer so ``greatest`` picks both at once."""
+    hits = _keyword_hits(df, norm_col, rules)
+    n = len(rules)
+    packed = []
+    for i, (_, w, kws) in enumerate(rules):
+        cnt = sum((F.col(f"_k{i}_{j}") for j in range(1, len(kws))), F.col(f"_k{i}_0"))
+        packed.append(cnt * weight_tenths(w) * (n + 1) + (n - i))
+    best = F.greatest(*packed)
+    score = (best / (n + 1)).cast("int")
+    names = F.array(*[F.lit(c) for c, _, _ in rules])
+    category = F.when(score > 0, F.element_at(names, (F.lit(n + 1) - best % (n + 1)).cast("int"))) \
+                .otherwise(F.lit(DEFAULT_CATEGORY))
+    keep = [c for c in df.columns]
+    return hits.select(*keep, F.struct(category.alias("category"), score.alias("score_tenths")).alias("_best"))
 
-    ``greatest`` over ``struct(score, -ordinal, category)`` compares the
-    score first and then prefers the lower ordinal.
-    """
+
+def best_category(scores: list[tuple[str, Column]]) -> Column:
+    """Column form of the same choice (for small inputs and docs)."""
     best = F.greatest(*[F.struct(s.alias("score"), F.lit(-i).alias("neg_ord"),
                                  F.lit(cat).alias("category"))
                         for i, (cat, s) in enumerate(scores)])
@@ -61,15 +87,40 @@ def best_category(scores: list[tuple[str, Column]]) -> Column:
         best["score"].alias("score_tenths"))
 
 
-def categorize_first_match(df: DataFrame, out_col: str = "categoria") -> DataFrame:
-    """C1 as a transform."""
-    return df.withColumn(out_col, first_match_category(F.col("descripcion")))
+def by_distinct(df: DataFrame, key: Column, scorer, out_cols: list[str],
+                max_distinct: int = MAX_BROADCAST_TEXTS) -> DataFrame:
+    """Apply ``scorer`` (DataFrame with ``_key`` -> adds ``out_cols``) once per
+    distinct key and broadcast the result back; per row beyond the bound."""
+    from tallyspark.operators.clean import compute_once
+    keyed = compute_once(df.drop(*[c for c in out_cols if c in df.columns]).withColumn("_key", key))
+    texts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
+    scored = scorer(texts.select("_key")).select("_key", *out_cols).cache()
+    if scored.count() <= max_distinct:
+        return keyed.join(F.broadcast(scored), "_key", "left").drop("_key")
+    scored.unpersist()
+    return scorer(keyed).drop("_key")
+
+
+def categorize_first_match(df: DataFrame, out_col: str = "categoria", text_col: str = "descripcion",
+                           max_distinct: int = MAX_BROADCAST_TEXTS) -> DataFrame:
+    """C1 as a transform (scored once per distinct text)."""
+    def scorer(d):
+        return d.withColumn(out_col, first_match_category(F.col("_key")))
+    # NULL and '' both fall to the default category, so '' can stand for NULL in the key
+    return by_distinct(df, F.coalesce(F.col(text_col).cast("string"), F.lit("")), scorer, [out_col],
+                       max_distinct)
 
 
 def weighted_rule_columns(df: DataFrame, text_col: str = "descripcion") -> DataFrame:
-    """Adds ``_norm``, ``_best`` (category, score_tenths) helper columns."""
-    df = df.withColumn("_norm", normalize_for_matching(F.col(text_col)))
-    return df.withColumn("_best", best_category(category_scores_tenths(F.col("_norm"))))
+    """Adds ``_norm``, ``_best`` (category, score_tenths) helper columns.
+
+    Both are computed once per row (``compute_once``): later projections
+    read the struct fields instead of re-inlining the 174-keyword scoring.
+    """
+    def scorer(d):
+        d = d.withColumn("_norm", F.col("_key"))
+        return best_category_struct(d)
+    return by_distinct(df, normalize_for_matching(F.col(text_col)), scorer, ["_norm", "_best"])
 
 
 def categorize_weighted(df: DataFrame, text_col: str = "descripcion",

@@ -1,0 +1,105 @@
+"""Registered queries: report sections (E14) and end-to-end jobs."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tallyspark.operators import anomaly as N
+from tallyspark.operators import report as Rp
+from tallyspark.plans import pipelines as P
+from tallyspark.plans.oracle import BASE, CAT_BASE, FRULES, first_match_cte, with_
+from tallyspark.plans.q_anomaly import FLAGS
+from tallyspark.plans.registry import register
+from tallyspark.plans.views import categorized, expenses_raw
+
+AS_OF = dt.datetime(2001, 9, 1)
+
+
+def _flagged(spark, sf):
+    return N.any_anomaly(N.zscore_by_category(N.zscore_global(categorized(spark, sf))))
+
+
+@register("e14_report_summary", FLAGS + """
+select count(*) as total_gastos, round(sum(monto), 2) as monto_total, min(fecha) as desde, max(fecha) as hasta,
+  count(distinct categoria) as categorias_detectadas, round(avg(confidence), 6) as confianza_promedio,
+  count(*) filter (where confidence > 0.8) as alta_confianza,
+  count(*) filter (where confidence >= 0.5 and confidence <= 0.8) as media_confianza,
+  count(*) filter (where confidence < 0.5) as baja_confianza,
+  count(*) filter (where is_anomaly or is_category_anomaly) as total_detectadas,
+  cast(0 as bigint) as ml_anomalies,
+  count(*) filter (where is_category_anomaly) as category_anomalies,
+  count(*) filter (where is_anomaly) as statistical_anomalies
+from flags""", headline=True)
+def e14_summary(spark, sf):
+    return Rp.summary_section(_flagged(spark, sf))
+
+
+@register("e14_report_categories", FLAGS + """
+, per as (select categoria, count(*) as cantidad, sum(monto) as t, avg(monto) as m, avg(confidence) as c,
+            count(*) filter (where is_anomaly or is_category_anomaly) as anomalias from flags group by categoria)
+select categoria, cantidad, round(t, 2) as total, round(m, 2) as promedio, round(c, 6) as confianza_promedio,
+  anomalias, round(t / sum(t) over () * 100, 6) as porcentaje from per""")
+def e14_categories(spark, sf):
+    return Rp.categories_section(_flagged(spark, sf))
+
+
+@register("e14_report_methods", with_(*CAT_BASE) + "select method, count(*) as count from cat group by method")
+def e14_methods(spark, sf):
+    return Rp.methods_section(categorized(spark, sf))
+
+
+@register("e14_report_top", FLAGS + """
+select row_id, descripcion, monto, categoria, round(confidence, 6) as confidence, method,
+  is_anomaly or is_category_anomaly as is_anomaly
+from flags order by monto desc, row_id limit 5""")
+def e14_top(spark, sf):
+    return Rp.top_section(_flagged(spark, sf))
+
+
+@register("e14_report_nested")
+def e14_nested(spark, sf):
+    return Rp.build_report(_flagged(spark, sf), as_of=AS_OF)
+
+
+G1_SQL = with_(*BASE, FRULES, first_match_cte("expenses", name="fmx")) + """
+select e.row_id, e.fecha, e.descripcion, e.monto, f.categoria,
+  cast(year(fecha) as integer) as "año", cast(month(fecha) as integer) as mes,
+  cast(day(fecha) as integer) as dia, cast(isodow(fecha) - 1 as integer) as dia_semana,
+  strftime(fecha, '%A') as dia_semana_nombre, strftime(fecha, '%B') as mes_nombre,
+  cast(quarter(fecha) as integer) as trimestre, coalesce(isodow(fecha) in (6, 7), false) as es_fin_semana
+from expenses e join fmx f on e.descripcion = f.t"""
+
+
+@register("g1_process_file", G1_SQL, headline=True)
+def g1(spark, sf):
+    return P.process_frame(expenses_raw(spark, sf), as_of=AS_OF)
+
+
+@register("g1_insights_by_category", with_(*BASE, FRULES, first_match_cte("expenses", name="fmx")) + """
+select f.categoria, round(sum(monto), 2) as "sum", count(*) as "count", round(avg(monto), 2) as "mean"
+from expenses e join fmx f on e.descripcion = f.t group by f.categoria""")
+def g1_ins(spark, sf):
+    df = P.process_frame(expenses_raw(spark, sf), as_of=AS_OF)
+    return P.insights(df)["por_categoria"]
+
+
+@register("g3_upload_kpis", with_(*CAT_BASE) + """
+select count(*) as transacciones, round(sum(monto), 2) as total, round(avg(monto), 2) as promedio,
+  count(distinct categoria) as categorias from cat""")
+def g3_kpis(spark, sf):
+    return P.upload_job(spark, expenses_raw(spark, sf))["kpis"]
+
+
+@register("g3_upload_preview", with_(*CAT_BASE) + """
+select row_id, fecha, descripcion, monto, categoria as categoria_ia, round(confidence, 6) as confianza_ia
+from cat order by row_id limit 10""")
+def g3_preview(spark, sf):
+    out = P.upload_job(spark, expenses_raw(spark, sf))["preview"]
+    return out.withColumn("confianza_ia", F.round("confianza_ia", 6))
+
+
+@register("g2_full_job")
+def g2(spark, sf):
+    return P.full_job(spark, expenses_raw(spark, sf), as_of=AS_OF)["reporte"]

@@ -126,11 +126,11 @@ def b16(spark, sf):
 
 def _manual_spark(df):
     """Every fifth transaction carries a manual choice (icon + first-match category)."""
-    from tallyspark.operators.rules import first_match_category
+    from tallyspark.operators.rules import categorize_first_match
     icons = F.create_map(*[x for c, _, i in CATEGORY_STYLE for x in (F.lit(c), F.lit(i))])
-    fm = first_match_category(F.col("descripcion"))
+    fm = F.col("_fm")
     manual = F.when(F.col("row_id") % 5 == 0, F.concat(icons[fm], F.lit(" "), fm)).otherwise(F.lit(AUTO_CHOICE))
-    return df.withColumn("categoria_manual", manual)
+    return categorize_first_match(df, "_fm").withColumn("categoria_manual", manual).drop("_fm")
 
 
 @register("b17_manual_override", with_(*CAT_BASE, FRULES, first_match_cte("expenses", name="fmx")) + """

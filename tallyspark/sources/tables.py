@@ -16,13 +16,26 @@ from tallyspark.constants import DERIVED_PHRASES
 from tallyspark.session import table_path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table with fewer input splits than cores one task per core.
+
+    Large inputs already have many splits (no-op); a small file that is a
+    single row group would otherwise run every per-row expression in one
+    task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
 def expenses_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id bigint, fecha string, descripcion string, monto string."""
-    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    o = spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"))
     k = F.col("o_orderkey")
     merchant = F.element_at(F.array(*[F.lit(p) for p in DERIVED_PHRASES]),
                             (k % len(DERIVED_PHRASES)).cast("int") + 1)
