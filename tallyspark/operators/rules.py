@@ -120,7 +120,10 @@ def weighted_rule_columns(df: DataFrame, text_col: str = "descripcion") -> DataF
     def scorer(d):
         d = d.withColumn("_norm", F.col("_key"))
         return best_category_struct(d)
-    return by_distinct(df, normalize_for_matching(F.col(text_col)), scorer, ["_norm", "_best"])
+    key = normalize_for_matching(F.col(text_col))
+    if df.isStreaming:  # no size-check action on a stream: score each row
+        return scorer(df.withColumn("_key", key)).drop("_key")
+    return by_distinct(df, key, scorer, ["_norm", "_best"])
 
 
 def categorize_weighted(df: DataFrame, text_col: str = "descripcion",

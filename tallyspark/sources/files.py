@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 SEPARATORS = [",", ";", "\t", "|"]
 SUPPORTED = [".csv", ".xlsx", ".xls", ".json", ".txt"]
 READABLE = [".csv", ".txt", ".json", ".parquet"]
-REPLACEMENT = "�"
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
@@ -31,13 +30,12 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 def utf8_flags(spark: SparkSession, path: str) -> DataFrame:
     """A2: per file, whether its bytes decode as UTF-8.
 
-    Lines are decoded as UTF-8 by the text source; an invalid byte turns
-    into U+FFFD.  One distributed aggregation over the lines gives one
-    row per file -- no file is ever loaded whole into a task.
+    The text source keeps each line's raw bytes; ``is_valid_utf8`` checks
+    them.  One distributed aggregation over the lines gives one row per
+    file -- no file is ever loaded whole into a task.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return lines.groupBy("file").agg(
-        (~F.max(F.col("value").contains(REPLACEMENT))).alias("is_utf8"))
+    return lines.groupBy("file").agg(F.min(F.expr("is_valid_utf8(value)")).alias("is_utf8"))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
