@@ -42,8 +42,8 @@ EXACT_SPLIT_MAX_ROWS = 1_000_000
 class ModelConfig:
     """D1/D6 (base) and D2/D7 (improved) settings."""
     vocab_size: int = 1000
-    min_df: float = 1.0
-    max_df: float = 1.0
+    min_df: float = 1.0             # >= 1: a document count
+    max_df: float | None = None     # in [0, 1): a fraction; None: no upper bound
     num_trees: int = 100
     max_depth: int = 10
     min_instances_per_node: int = 1
@@ -67,12 +67,16 @@ def keyword_sql(text_col: str) -> str:
     norm = (f"coalesce(array_join(filter(split(trim(regexp_replace(regexp_replace(lower({text_col}), "
             f"'(?U)[^\\\\p{{L}}\\\\p{{N}}_\\\\s]', ' '), '(?U)\\\\s+', ' ')), ' '), "
             f"w -> length(w) > 0 AND NOT array_contains(array({stop}), w)), ' '), '')")
-    kws = []
+    # one int column per keyword, then one sum per category: small generated
+    # methods instead of one huge expression
+    hits, sums, all_names = [], [], []
     for i, (_, weight, keywords) in enumerate(WEIGHTED_RULES):
-        terms = " + ".join(f"CASE WHEN contains(_norm, {_sql_str(k)}) THEN {weight_tenths(weight)} ELSE 0 END"
-                           for k in keywords)
-        kws.append(f"({terms}) / 10.0 AS kw_{i}")
-    return (f"SELECT *, {', '.join(kws)} FROM (SELECT *, {norm} AS _norm FROM __THIS__)")
+        names = [f"_k{i}_{j}" for j in range(len(keywords))]
+        all_names += names
+        hits += [f"CAST(contains(_norm, {_sql_str(k)}) AS INT) AS {n}" for k, n in zip(keywords, names)]
+        sums.append(f"({' + '.join(names)}) * {weight_tenths(weight)} / 10.0 AS kw_{i}")
+    return (f"SELECT * EXCEPT ({', '.join(all_names)}), {', '.join(sums)} FROM "
+            f"(SELECT *, {', '.join(hits)} FROM (SELECT *, {norm} AS _norm FROM __THIS__))")
 
 
 def feature_stages(cfg: ModelConfig, text_col: str = "descripcion"):
@@ -81,8 +85,9 @@ def feature_stages(cfg: ModelConfig, text_col: str = "descripcion"):
         RegexTokenizer(inputCol="_norm", outputCol="_tok", pattern=TOKEN_RX, gaps=False, minTokenLength=2),
         NGram(n=2, inputCol="_tok", outputCol="_bi"),
         SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=cfg.vocab_size,
-                        minDF=cfg.min_df, maxDF=cfg.max_df),
+        # Spark reads maxDF = 1.0 as "at most one document", so no bound -> leave it unset
+        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=cfg.vocab_size, minDF=cfg.min_df,
+                        **({"maxDF": cfg.max_df} if cfg.max_df is not None else {})),
     ]
 
 
@@ -152,7 +157,7 @@ def train(df: DataFrame, target_column: str | None = None, cfg: ModelConfig = IM
     feats = Pipeline(stages=feature_stages(cfg)).fit(train_df)
     tf_train = feats.transform(train_df)
     idf = IDF(inputCol="_tf", outputCol="_unused").fit(tf_train)
-    scale = DenseVector([v + 1.0 for v in idf.idf.toArray()]) if idf.idf.size else DenseVector([1.0])
+    scale = DenseVector([v + 1.0 for v in idf.idf.toArray()])
     tail = [ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf"),
             Normalizer(p=2.0, inputCol="_tfidf", outputCol="_tfidf_n"),
             VectorAssembler(inputCols=["_tfidf_n"] + [f"kw_{i}" for i in range(len(WEIGHTED_RULES))],
@@ -184,18 +189,44 @@ def train(df: DataFrame, target_column: str | None = None, cfg: ModelConfig = IM
 
 
 def predict_with_confidence(model: PipelineModel | None, df: DataFrame, method: str = "ml_improved",
-                            text_col: str = "descripcion") -> DataFrame:
+                            text_col: str = "descripcion", use_cache: bool = True) -> DataFrame:
     """Category, confidence = max class probability, method tag,
-    feature count; an untrained model falls back to the rules (C2/C3)."""
+    feature count; an untrained model falls back to the rules (C2/C3).
+
+    With ``use_cache`` (C7) the forest scores each distinct cache key
+    (lower + strip of the text) once; the scores are broadcast back after a
+    row-count check, or computed per row beyond it.
+    """
     if model is None:
         return categorize_weighted(df, text_col, method="rules_fallback" if method == "ml_improved" else "rules")
-    keep = df.columns
-    out = model.transform(df)
-    return out.select(*[F.col(c) for c in keep],
-                      F.col("predicted").alias("categoria"),
-                      F.array_max(vector_to_array("probability")).alias("confidence"),
-                      F.lit(method).alias("method"),
-                      F.lit(model.stages[-2].numFeatures).alias("feature_count"))
+    n_features = model.stages[-2].numFeatures
+
+    def score(d: DataFrame, src: str) -> DataFrame:
+        # the pipeline reads "descripcion"; feed it ``src`` and keep the original column
+        if src != "descripcion":
+            d_in = d.withColumnRenamed("descripcion", "_desc_orig") if "descripcion" in d.columns else d
+            scored = model.transform(d_in.withColumn("descripcion", F.col(src)))
+            cols = [F.col("_desc_orig").alias(c) if c == "descripcion" else F.col(c) for c in d.columns]
+        else:
+            scored = model.transform(d)
+            cols = [F.col(c) for c in d.columns]
+        return scored.select(*cols,
+                             F.col("predicted").alias("categoria"),
+                             F.array_max(vector_to_array("probability")).alias("confidence"))
+    base = df.drop(*[c for c in ("categoria", "confidence", "method", "feature_count") if c in df.columns])
+    if use_cache and not df.isStreaming:
+        from tallyspark.functions.text import cache_key
+        from tallyspark.operators.rules import by_distinct
+        # the scorer sees the key (lower + strip): what the cache would have scored
+        out = by_distinct(base, cache_key(F.col(text_col)), lambda d: score(d, "_key"), ["categoria", "confidence"])
+    else:
+        out = score(base, text_col)
+    return out.withColumn("method", F.lit(method)).withColumn("feature_count", F.lit(n_features))
+
+
+def feature_model(model: PipelineModel) -> PipelineModel:
+    """D3: the feature part of a trained model (everything before the forest)."""
+    return PipelineModel(stages=model.stages[:-2])
 
 
 def save_model(result: TrainResult, path: str) -> None:

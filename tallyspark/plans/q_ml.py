@@ -110,6 +110,18 @@ def _pseudo(spark, sf):
     return expenses(spark, sf)
 
 
+@register("d3_feature_matrix")
+def d3(spark, sf):
+    """D3: the assembled feature vector (tf-idf ++ 8 keyword scores) of every row."""
+    from pyspark.ml.functions import vector_to_array
+    df = expenses(spark, sf)
+    res = M.train(df, cfg=M.BASE)
+    feats = M.feature_model(res.model).transform(df)
+    arr = vector_to_array("features")
+    return feats.select("row_id", F.size(arr).alias("n_features"),
+                        F.round(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), 6).alias("feature_sum"))
+
+
 @register("d5_stratified_split")
 def d5(spark, sf):
     from tallyspark.operators.rules import pseudo_labels

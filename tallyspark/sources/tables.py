@@ -23,10 +23,12 @@ def spread(df: DataFrame) -> DataFrame:
     single row group would otherwise run every per-row expression in one
     task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- e.g. a Spark Connect session exposes no RDDs
+        return df
+    return df.repartition(cores) if parts < cores else df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
