@@ -85,3 +85,24 @@ select row_id, categoria, round(confidence, 6) as confidence, method from cat"""
 def c7b(spark, sf):
     out = categorize_distinct(expenses(spark, sf))
     return out.select("row_id", "categoria", F.round("confidence", 6).alias("confidence"), "method")
+
+
+@register("c2_weighted_conversations", with_(WRULES, weighted_cte("conversations", "text", "sc")) + """
+select c.conv_id, c.turn, s.categoria, round(case when s.s10 > 0 then least(s.s10 / 50.0, 1.0) else 0.1 end, 6)
+  as confidence from conversations c join sc s on c.text = s.t""")
+def c2_conv(spark, sf):
+    out = R.categorize_weighted(load(spark, sf, "conversations"), text_col="text")
+    return out.select("conv_id", "turn", "categoria", F.round("confidence", 6).alias("confidence"))
+
+
+@register("c2_weighted_documents", with_(WRULES, weighted_cte("documents", "text", "sd")) + """
+select d.doc_id, s.categoria, s.s10 as score_tenths from documents d join sd s on d.text = s.t""")
+def c2_docs(spark, sf):
+    out = R.rule_score(load(spark, sf, "documents"), text_col="text")
+    return out.select("doc_id", "categoria", (F.round(F.col("score") * 10)).cast("int").alias("score_tenths"))
+
+
+@register("c1_first_match_documents", with_(FRULES, first_match_cte("documents", "text", "fd")) + """
+select d.doc_id, f.categoria from documents d join fd f on d.text = f.t""")
+def c1_docs(spark, sf):
+    return R.categorize_first_match(load(spark, sf, "documents"), text_col="text").select("doc_id", "categoria")
