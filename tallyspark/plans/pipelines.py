@@ -62,10 +62,13 @@ def full_job(spark: SparkSession, raw: DataFrame, out_dir: str | None = None,
              as_of: dt.datetime | None = None) -> dict[str, DataFrame]:
     """Process -> categorise (model or rules) -> anomalies -> report (-> save).
 
-    The processed table is checkpointed once (into the shared checkpoint
-    folder) because about fifteen aggregates read it.
+    The cleaned table is checkpointed once (into the shared checkpoint
+    folder): the categoriser's size check, the model fit and the anomaly
+    statistics all read it, and a lost executor then costs a re-read, not
+    a re-run of parsing and de-duplication.  The flagged table is
+    checkpointed again because the report's sections all read it.
     """
-    processed = process_frame(raw, as_of).drop("categoria")
+    processed = materialize(process_frame(raw, as_of).drop("categoria"))
     accuracy = None
     if use_model:
         from tallyspark.ml.categorizer import categorize_smart
