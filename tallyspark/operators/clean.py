@@ -11,6 +11,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions.dates import parse_date, ts_lit
 from tallyspark.functions.money import clean_amount
@@ -54,22 +55,28 @@ def drop_invalid(df: DataFrame) -> DataFrame:
                     & (F.col("monto") > 0) & (F.length("descripcion") > 0))
 
 
+FIXED_WIDTH = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
+               T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def drop_duplicates_first(df: DataFrame, subset: tuple[str, ...] = ("descripcion", "monto"),
                           order_col: str = ROW_ID) -> DataFrame:
     """One row per ``subset``, the earliest by ``order_col`` wins.
 
-    ``min(struct(order_col, ...))`` picks the whole first row inside one
-    aggregation; its partial step runs before the shuffle, so duplicates
-    (however many) are reduced map-side and no group is ever gathered
-    into one task.
+    Fixed-width carried columns: one hash aggregation, ``min(order_col)``
+    and ``min_by(col, order_col)`` per column.  Its partial step runs
+    before the shuffle, so duplicates (however many share a key) are
+    reduced map-side and no group is gathered into one task.
+    Otherwise (e.g. string columns, which would force a sort-based
+    aggregate): the first ``order_col`` per key from the same hash
+    aggregation, then a left-semi join on the unique ``order_col``.
     """
     others = [c for c in df.columns if c not in subset and c != order_col]
-    first = F.min(F.struct(F.col(order_col), *[F.col(c) for c in others])).alias("_first")
-    out = df.groupBy(*subset).agg(first)
-    cols = [F.col(f"_first.{order_col}").alias(order_col)]
-    cols += [F.col(c) for c in subset]
-    cols += [F.col(f"_first.{c}").alias(c) for c in others]
-    return out.select(*cols).select(*df.columns)
+    if all(isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in others):
+        aggs = [F.min(order_col).alias(order_col)] + [F.min_by(c, order_col).alias(c) for c in others]
+        return df.groupBy(*subset).agg(*aggs).select(*df.columns)
+    firsts = df.groupBy(*subset).agg(F.min(order_col).alias(order_col)).select(order_col)
+    return df.join(firsts, order_col, "left_semi")
 
 
 def compute_once(df: DataFrame) -> DataFrame:
