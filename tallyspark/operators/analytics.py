@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.constants import (LARGE_DATASET_ROWS, MANY_CATEGORIES, TOP_EXPENSES,
-                                  TOP_PER_CATEGORY, TREND_DAYS)
+from tallyspark.constants import (ADVICE_LARGE, ADVICE_MANY_CATEGORIES, LARGE_DATASET_ROWS,
+                                  MANY_CATEGORIES, TOP_EXPENSES, TOP_PER_CATEGORY, TREND_DAYS)
 from tallyspark.functions.money import format_amount
 from tallyspark.operators.stats import exact_median
 
@@ -161,5 +161,8 @@ def dataset_profile(df: DataFrame, cat: str = "categoria",
     """Row count, distinct categories and the two advice flags."""
     base = df.agg(F.count(F.lit(1)).alias("row_count"),
                   F.count_distinct(cat).alias("category_count"))
-    return base.select("*", (F.col("row_count") > large_rows).alias("large_dataset"),
-                       (F.col("category_count") > many_categories).alias("many_categories"))
+    large = F.col("row_count") > large_rows
+    many = F.col("category_count") > many_categories
+    advice = F.array_compact(F.array(F.when(large, F.lit(ADVICE_LARGE)), F.when(many, F.lit(ADVICE_MANY_CATEGORIES))))
+    return base.select("*", large.alias("large_dataset"), many.alias("many_categories"),
+                       F.array_join(advice, " | ").alias("recommendations"))

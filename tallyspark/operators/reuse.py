@@ -41,6 +41,8 @@ def categorize_distinct(df: DataFrame, text_col: str = "descripcion", scorer=Non
     once per distinct key and join the result back to every row."""
     scorer = scorer or categorize_weighted
     keyed = df.withColumn("_ckey", cache_key(F.col(text_col)))
-    keys = keyed.groupBy("_ckey").agg(F.first(text_col).alias(text_col))
+    # the scorers normalise (lower, strip) themselves, so scoring the key equals
+    # scoring any of its texts; a count keeps the aggregation hash-based
+    keys = keyed.groupBy("_ckey").agg(F.count(F.lit(1)).alias("_n")).withColumn(text_col, F.col("_ckey"))
     scored = scorer(keys).select("_ckey", "categoria", "confidence", "method")
     return join_small(keyed, scored, "_ckey", "left", max_broadcast_rows).drop("_ckey")

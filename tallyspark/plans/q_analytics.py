@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import analytics as A
-from tallyspark.plans.oracle import BASE, CAT_BASE, with_
+from tallyspark.constants import ADVICE_LARGE, ADVICE_MANY_CATEGORIES
+from tallyspark.plans.oracle import BASE, CAT_BASE, q, with_
 from tallyspark.plans.registry import register
 from tallyspark.plans.views import categorized, expenses, load
 
@@ -135,16 +136,22 @@ def e15_li(spark, sf):
     return A.value_counts(load(spark, sf, "lineitem"), "l_linestatus")
 
 
-@register("e16_dataset_profile", with_(*CAT_BASE) + """
+@register("e16_dataset_profile", with_(*CAT_BASE) + f"""
 select count(*) as row_count, count(distinct categoria) as category_count,
-  count(*) > 10000 as large_dataset, count(distinct categoria) > 20 as many_categories from cat""")
+  count(*) > 10000 as large_dataset, count(distinct categoria) > 20 as many_categories,
+  concat_ws(' | ', case when count(*) > 10000 then {q(ADVICE_LARGE)} end,
+    case when count(distinct categoria) > 20 then {q(ADVICE_MANY_CATEGORIES)} end)
+  as recommendations from cat""")
 def e16(spark, sf):
     return A.dataset_profile(categorized(spark, sf))
 
 
-@register("e16_lineitem_profile", """
+@register("e16_lineitem_profile", f"""
 select count(*) as row_count, count(distinct l_partkey) as category_count,
-  count(*) > 10000 as large_dataset, count(distinct l_partkey) > 20 as many_categories from lineitem""")
+  count(*) > 10000 as large_dataset, count(distinct l_partkey) > 20 as many_categories,
+  concat_ws(' | ', case when count(*) > 10000 then {q(ADVICE_LARGE)} end,
+    case when count(distinct l_partkey) > 20 then {q(ADVICE_MANY_CATEGORIES)} end)
+  as recommendations from lineitem""")
 def e16_li(spark, sf):
     return A.dataset_profile(load(spark, sf, "lineitem"), cat="l_partkey")
 
