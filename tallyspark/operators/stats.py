@@ -4,7 +4,7 @@ Spark's exact ``percentile``/``median`` merges every distinct value of
 the column into a single final buffer, i.e. one task holds the whole
 value set.  Instead, ``kth_smallest`` narrows the search range with
 histogram passes: each pass is one distributed aggregation with at most
-``buckets + 1`` groups (``width_bucket``), and only that tiny histogram
+``buckets + 1`` groups (equal-width buckets), and only that tiny histogram
 reaches the driver.  The bucket holding rank *k* becomes the next
 range; a range with a single distinct value ends the search.  Money
 values converge in a handful of passes.
@@ -15,6 +15,8 @@ count was checked first, so its single final buffer is size-bounded.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +32,35 @@ def _values(df: DataFrame, col: str) -> DataFrame:
 
 def kth_smallest(vals: DataFrame, k: int, lo: float, hi: float,
                  buckets: int = BUCKETS, max_passes: int = 200) -> float:
-    """k-th smallest (0-based) of column ``v`` whose values lie in [lo, hi]."""
+    """k-th smallest (0-based) of column ``v`` whose values lie in [lo, hi].
+
+    Infinite values are counted apart and the search runs on the finite
+    ones; a range wider than the largest double is bucketed at half scale
+    (same order).
+    """
+    if math.isinf(lo) or math.isinf(hi):
+        head = vals.agg(F.count_if(F.col("v") == float("-inf")).alias("neg"),
+                        F.count_if(F.col("v") == float("inf")).alias("pos"),
+                        F.min(F.when(~F.col("v").isin(float("inf"), float("-inf")), F.col("v"))).alias("lo"),
+                        F.max(F.when(~F.col("v").isin(float("inf"), float("-inf")), F.col("v"))).alias("hi"),
+                        F.count(F.lit(1)).alias("n")).first()
+        if k < head["neg"]:
+            return float("-inf")
+        if k >= head["n"] - head["pos"]:
+            return float("inf")
+        finite = vals.where(~F.col("v").isin(float("inf"), float("-inf")))
+        return kth_smallest(finite, k - head["neg"], head["lo"], head["hi"], buckets, max_passes)
     offset = 0
     cur = vals
     for _ in range(max_passes):
         if lo == hi:
             return lo
-        b = F.width_bucket(F.col("v"), F.lit(lo), F.lit(hi), F.lit(buckets))
+        # monotone bucket in [0, buckets]; dividing first cannot overflow
+        # (Spark's width_bucket does for ranges near the double limit)
+        scale = 0.5 if math.isinf(hi - lo) else 1.0
+        width = hi * scale - lo * scale
+        frac = (F.col("v") * scale - F.lit(lo * scale)) / F.lit(width)
+        b = F.least(F.floor(frac * buckets), F.lit(buckets)).cast("int")
         hist = (cur.groupBy(b.alias("b"))
                    .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
                    .orderBy("b").collect())
@@ -65,7 +89,7 @@ def exact_median(df: DataFrame, col: str, small_n: int = SMALL_N) -> float | Non
     try:
         k1 = (n - 1) // 2
         v1 = kth_smallest(vals, k1, head["lo"], head["hi"])
-        if n % 2 == 1:
+        if n % 2 == 1 or math.isinf(v1):
             return v1
         # the next order statistic: v1 again if it repeats, else the next value
         nxt = vals.agg(F.count_if(F.col("v") <= v1).alias("le"),

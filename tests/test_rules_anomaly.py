@@ -110,3 +110,12 @@ def test_reference_example_golden(spark):
     counts = {r["categoria"]: r["count"] for r in categorize_weighted(e).groupBy("categoria").count().collect()}
     assert counts == {"Alimentación": 6, "Transporte": 5, "Servicios": 5, "Salud": 5,
                       "Entretenimiento": 4, "Ropa": 4, "Hogar": 4, "Educación": 3}
+
+
+def test_exact_median_extremes(spark):
+    from tallyspark.operators.stats import exact_median
+    vals = [float("-inf"), -1e308, 1.0, 2.0, 3.0, 1e308, float("inf")]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    assert exact_median(df, "v", small_n=0) == 2.0
+    df2 = spark.createDataFrame([(v,) for v in [float("inf")] * 3 + [1.0]], "v double")
+    assert exact_median(df2, "v", small_n=0) == float("inf")
