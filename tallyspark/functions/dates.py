@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 # Accepted date layouts, tried in order.  Each is guarded by a regex
 # that requires a full date, so "2024" never becomes 2024-01-01.
+# ISO dates (optionally with a time) use Spark's built-in string-to-timestamp
+# cast, a hand-written parser; the other layouts use a pattern.
+ISO_RX = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 DATE_FORMATS: list[tuple[str, str]] = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:m:s"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
 ]
@@ -23,10 +24,10 @@ MONTH_NAMES_FMT = "MMMM"
 def parse_date(c: Column, formats: list[tuple[str, str]] | None = None) -> Column:
     """Text -> timestamp_ntz; unparseable -> NULL."""
     s = F.trim(c.cast("string"))
-    s_norm = F.regexp_replace(s, "T", " ")
-    parsed = [F.when(s.rlike(rx), F.try_to_timestamp(s_norm, F.lit(fmt)))
+    iso = F.when(s.rlike(ISO_RX), s.try_cast("timestamp_ntz"))
+    parsed = [F.when(s.rlike(rx), F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz"))
               for rx, fmt in (formats or DATE_FORMATS)]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    return F.coalesce(iso, *parsed)
 
 
 def weekday(c: Column) -> Column:

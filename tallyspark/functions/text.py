@@ -13,12 +13,18 @@ from tallyspark.constants import STOP_WORDS
 
 NON_WORD = r"(?U)[^\p{L}\p{N}_\s]"  # Python str \w = letters, numbers, "_"
 SPACES = r"(?U)\s+"
-EDGE_SPACES = r"(?U)^\s+|\s+$"
+# "Replace each non-word, non-blank character by a blank, then collapse
+# blank runs" leaves exactly one blank per maximal run of non-word
+# characters, so one pass of this pattern does both steps.
+NON_WORD_RUN = r"[^\p{L}\p{N}_]+"
+# Every character str.strip() / str.split() treat as whitespace.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+              + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(c: Column) -> Column:
-    """Python-style strip: removes every kind of leading/trailing blank."""
-    return F.regexp_replace(c, EDGE_SPACES, "")
+    """Python-style strip (every kind of leading/trailing blank), no regex."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def clean_description(c: Column, null_as_text: bool = True) -> Column:
@@ -29,16 +35,13 @@ def clean_description(c: Column, null_as_text: bool = True) -> Column:
     a missing value) unless ``null_as_text`` is off.
     """
     base = F.coalesce(c, F.lit("nan")) if null_as_text else c
-    out = F.lower(strip(base))
-    out = F.regexp_replace(out, NON_WORD, " ")
-    return F.regexp_replace(out, SPACES, " ")
+    return F.regexp_replace(F.lower(strip(base)), NON_WORD_RUN, " ")
 
 
 def normalize_for_matching(c: Column, stop_words: list[str] | None = None) -> Column:
     """Lower, punctuation -> blank, drop stop words; NULL -> ''."""
     stop = F.array(*[F.lit(w) for w in (stop_words or STOP_WORDS)])
-    low = F.regexp_replace(F.lower(c), NON_WORD, " ")
-    words = F.split(F.trim(F.regexp_replace(low, SPACES, " ")), " ")
+    words = F.split(F.trim(F.regexp_replace(F.lower(c), NON_WORD_RUN, " ")), " ")
     kept = F.filter(words, lambda w: (F.length(w) > 0) & ~F.array_contains(stop, w))
     return F.coalesce(F.array_join(kept, " "), F.lit(""))
 

@@ -64,8 +64,8 @@ def _sql_str(s: str) -> str:
 def keyword_sql(text_col: str) -> str:
     """B6 + C5 as one SQL projection (used inside the saved pipeline)."""
     stop = ", ".join(_sql_str(w) for w in STOP_WORDS)
-    norm = (f"coalesce(array_join(filter(split(trim(regexp_replace(regexp_replace(lower({text_col}), "
-            f"'(?U)[^\\\\p{{L}}\\\\p{{N}}_\\\\s]', ' '), '(?U)\\\\s+', ' ')), ' '), "
+    norm = (f"coalesce(array_join(filter(split(trim(regexp_replace(lower({text_col}), "
+            f"'[^\\\\p{{L}}\\\\p{{N}}_]+', ' ')), ' '), "
             f"w -> length(w) > 0 AND NOT array_contains(array({stop}), w)), ' '), '')")
     # one int column per keyword, then one sum per category: small generated
     # methods instead of one huge expression

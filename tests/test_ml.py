@@ -110,3 +110,20 @@ def test_isolation_forest_scores_match_brute_force(spark):
         assert got[rid] == pytest.approx(math.pow(2.0, -mean_h / c), rel=1e-12)
     ranked = sorted(got.values(), reverse=True)
     assert got[999] >= ranked[len(ranked) // 20]   # the planted outlier is in the top 5%
+
+
+def test_pipeline_keyword_sql_matches_column_features(spark):
+    from pyspark.ml.feature import SQLTransformer
+
+    from tallyspark.operators.rules import keyword_features
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select(
+        "conv_id", "turn", F.col("text").alias("descripcion"))
+    extra = spark.createDataFrame([(-1, 0, "  Bar y PUB!! la anonima, H&M remera "), (-2, 0, None)],
+                                  "conv_id long, turn long, descripcion string")
+    conv = conv.unionByName(extra)
+    a = SQLTransformer(statement=M.keyword_sql("descripcion")).transform(conv)
+    b = keyword_features(conv)
+    cols = [f"kw_{i}" for i in range(8)]
+    ra = sorted(tuple(r) for r in a.select("conv_id", "turn", *cols).collect())
+    rb = sorted(tuple(r) for r in b.select("conv_id", "turn", *cols).collect())
+    assert ra == rb
