@@ -74,7 +74,7 @@ def keyword_sql(text_col: str) -> str:
         names = [f"_k{i}_{j}" for j in range(len(keywords))]
         all_names += names
         hits += [f"CAST(contains(_norm, {_sql_str(k)}) AS INT) AS {n}" for k, n in zip(keywords, names)]
-        sums.append(f"({' + '.join(names)}) * {weight_tenths(weight)} / 10.0 AS kw_{i}")
+        sums.append(f"({' + '.join(names)}) * {weight_tenths(weight)} / 10.0D AS kw_{i}")
     return (f"SELECT * EXCEPT ({', '.join(all_names)}), {', '.join(sums)} FROM "
             f"(SELECT *, {', '.join(hits)} FROM (SELECT *, {norm} AS _norm FROM __THIS__))")
 
