@@ -76,17 +76,20 @@ def kth_smallest(vals: DataFrame, k: int, lo: float, hi: float,
 
 
 def exact_median(df: DataFrame, col: str, small_n: int = SMALL_N) -> float | None:
-    """Median with linear interpolation between the two middle values."""
-    vals = _values(df, col)
-    head = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                    F.max("v").alias("hi")).first()
-    n = head["n"]
-    if n == 0:
-        return None
-    if n <= small_n:
-        return vals.agg(F.median("v")).first()[0]
-    vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
+    """Median with linear interpolation between the two middle values.
+
+    The single value column is persisted first, so every pass after the
+    first reads it instead of recomputing the upstream plan.
+    """
+    vals = _values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        head = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                        F.max("v").alias("hi")).first()
+        n = head["n"]
+        if n == 0:
+            return None
+        if n <= small_n:
+            return vals.agg(F.median("v")).first()[0]
         k1 = (n - 1) // 2
         v1 = kth_smallest(vals, k1, head["lo"], head["hi"])
         if n % 2 == 1 or math.isinf(v1):
@@ -102,21 +105,20 @@ def exact_median(df: DataFrame, col: str, small_n: int = SMALL_N) -> float | Non
 
 def exact_quantile(df: DataFrame, col: str, q: float, small_n: int = SMALL_N) -> float | None:
     """Linear-interpolated quantile (numpy's default), same strategy."""
-    vals = _values(df, col)
-    head = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                    F.max("v").alias("hi")).first()
-    n = head["n"]
-    if n == 0:
-        return None
-    if n <= small_n:
-        return vals.agg(F.percentile("v", q)).first()[0]
-    pos = q * (n - 1)
-    k1 = int(pos)
-    frac = pos - k1
-    vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
+    vals = _values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        head = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                        F.max("v").alias("hi")).first()
+        n = head["n"]
+        if n == 0:
+            return None
+        if n <= small_n:
+            return vals.agg(F.percentile("v", q)).first()[0]
+        pos = q * (n - 1)
+        k1 = int(pos)
+        frac = pos - k1
         v1 = kth_smallest(vals, k1, head["lo"], head["hi"])
-        if frac == 0 or k1 + 1 >= n:
+        if frac == 0 or k1 + 1 >= n or math.isinf(v1):
             return v1
         nxt = vals.agg(F.count_if(F.col("v") <= v1).alias("le"),
                        F.min(F.when(F.col("v") > v1, F.col("v"))).alias("above")).first()
