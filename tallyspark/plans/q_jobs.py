@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import anomaly as N
 from tallyspark.operators import report as Rp
-from tallyspark.plans import pipelines as P
+from tallyspark.plans import jobs as P
 from tallyspark.plans.oracle import BASE, CAT_BASE, FRULES, first_match_cte, with_
 from tallyspark.plans.q_anomaly import FLAGS
 from tallyspark.plans.registry import register

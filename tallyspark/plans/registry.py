@@ -26,10 +26,5 @@ def register(name: str, sql: str | None = None, headline: bool = False):
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from tallyspark.plans import q_clean, q_rules, q_analytics, q_anomaly  # noqa: F401
-    for mod in ("q_sources", "q_present", "q_ml", "q_pipeline"):
-        try:
-            __import__(f"tallyspark.plans.{mod}")
-        except ModuleNotFoundError as e:  # modules added over time
-            if mod not in str(e):
-                raise
+    from tallyspark.plans import (q_analytics, q_anomaly, q_clean, q_jobs, q_ml, q_present,  # noqa: F401
+                                  q_rules, q_sources)
