@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tallyspark.operators import analytics as A
 from tallyspark.constants import ADVICE_LARGE, ADVICE_MANY_CATEGORIES

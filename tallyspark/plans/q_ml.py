@@ -106,10 +106,6 @@ def d12_labels(spark, sf):
     return classification_report(j, "real", "predicha")
 
 
-def _pseudo(spark, sf):
-    return expenses(spark, sf)
-
-
 @register("d3_feature_matrix")
 def d3(spark, sf):
     """D3: the assembled feature vector (tf-idf ++ 8 keyword scores) of every row."""

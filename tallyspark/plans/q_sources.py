@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.constants import MERCHANT_CATALOGUE
 from tallyspark.operators.schema import standardize_columns
-from tallyspark.plans.oracle import BASE, DERIVED_PHRASES, q, sql_list, with_
+from tallyspark.plans.oracle import BASE, DERIVED_PHRASES, sql_list, with_
 from tallyspark.plans.registry import register
 from tallyspark.plans.views import expenses, load
 from tallyspark.sources import ingest as I
