@@ -26,5 +26,5 @@ def register(name: str, sql: str | None = None, headline: bool = False):
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from tallyspark.plans import (q_analytics, q_anomaly, q_clean, q_jobs, q_ml, q_present,  # noqa: F401
-                                  q_rules, q_sources)
+    from tallyspark.plans import (q_analytics, q_anomaly, q_clean, q_files, q_jobs, q_ml,  # noqa: F401
+                                  q_present, q_rules, q_sources)
