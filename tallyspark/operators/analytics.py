@@ -43,10 +43,9 @@ def by_category(df: DataFrame, cat: str = "categoria", amount: str = "monto") ->
 
 def period(df: DataFrame, date: str = "fecha") -> DataFrame:
     """First date, last date and whole days between (floored)."""
-    lo, hi = F.min(date), F.max(date)
-    micros = F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))
-    return df.agg(lo.alias("fecha_inicio"), hi.alias("fecha_fin"),
-                  F.floor(micros / F.lit(86_400_000_000)).cast("bigint").alias("dias_total"))
+    # whole days on wall-clock values: no session-time-zone (DST) shift
+    out = df.agg(F.min(date).alias("fecha_inicio"), F.max(date).alias("fecha_fin"))
+    return out.withColumn("dias_total", F.expr("timestampdiff(DAY, fecha_inicio, fecha_fin)").cast("bigint"))
 
 
 def monthly(df: DataFrame, date: str = "fecha", amount: str = "monto") -> DataFrame:
