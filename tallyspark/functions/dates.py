@@ -10,23 +10,28 @@ from pyspark.sql import functions as F
 # Accepted date layouts, tried in order.  Each is guarded by a regex
 # that requires a full date, so "2024" never becomes 2024-01-01.
 # ISO dates (optionally with a time) use Spark's built-in string-to-timestamp
-# cast, a hand-written parser; the other layouts use a pattern.
+# cast, a hand-written parser; slash layouts are built from their parts.
+# Both yield wall-clock (timestamp_ntz) values without the session time zone.
 ISO_RX = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
-DATE_FORMATS: list[tuple[str, str]] = [
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+# layout regex with (year, month, day) groups, tried in order
+DATE_FORMATS: list[tuple[str, tuple[int, int, int]]] = [
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", (1, 2, 3)),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 2, 1)),
 ]
 
 WEEKDAY_NAMES_FMT = "EEEE"
 MONTH_NAMES_FMT = "MMMM"
 
 
-def parse_date(c: Column, formats: list[tuple[str, str]] | None = None) -> Column:
-    """Text -> timestamp_ntz; unparseable -> NULL."""
+def parse_date(c: Column, formats=None) -> Column:
+    """Text -> timestamp_ntz; unparseable (or impossible, 31/02) -> NULL."""
     s = F.trim(c.cast("string"))
     iso = F.when(s.rlike(ISO_RX), s.try_cast("timestamp_ntz"))
-    parsed = [F.when(s.rlike(rx), F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz"))
-              for rx, fmt in (formats or DATE_FORMATS)]
+    parsed = []
+    for rx, (y, m, d) in (formats or DATE_FORMATS):
+        part = [F.regexp_extract(s, rx, g).try_cast("int") for g in (y, m, d)]
+        parsed.append(F.when(s.rlike(rx), F.try_make_timestamp_ntz(
+            part[0], part[1], part[2], F.lit(0), F.lit(0), F.lit(0))))
     return F.coalesce(iso, *parsed)
 
 
