@@ -22,10 +22,13 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Join a (usually tiny) table; broadcast it only when its size is proven.
 
-    ``small`` is cached and counted first; beyond ``max_rows`` the join is
-    left to Spark's shuffle join (with AQE skew-join splitting).
+    ``small`` is checkpointed (shared folder) and counted first; beyond
+    ``max_rows`` the join is left to Spark's shuffle join (with AQE
+    skew-join splitting).
     """
-    small = small.cache()
+    from tallyspark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(small.sparkSession)
+    small = small.checkpoint(eager=True)
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -7,7 +7,7 @@ keyword, summed per category) -- no Python UDF, no theta join.
 Transaction descriptions repeat heavily (merchants), so each distinct
 normalised text is scored once: the distinct texts come from a
 partial/final aggregation (a description holding a third of the rows is
-collapsed map-side), are scored, cached, counted, and broadcast back
+collapsed map-side), are scored, checkpointed, counted, and broadcast back
 when the count is within ``MAX_BROADCAST_TEXTS``.  Beyond that bound
 the same expression runs per row (narrow, no shuffle, no join).
 """
@@ -21,6 +21,7 @@ from tallyspark.constants import (DEFAULT_CATEGORY, FIRST_MATCH_RULES, PSEUDO_LA
                                   RULE_NO_MATCH_CONFIDENCE, RULE_SCORE_SCALE, WEIGHTED_RULES,
                                   weight_tenths)
 from tallyspark.functions.text import normalize_for_matching
+from tallyspark.session import ensure_checkpoint_dir
 
 
 MAX_BROADCAST_TEXTS = 2_000_000
@@ -94,10 +95,12 @@ def by_distinct(df: DataFrame, key: Column, scorer, out_cols: list[str],
     from tallyspark.operators.clean import compute_once
     keyed = compute_once(df.drop(*[c for c in out_cols if c in df.columns]).withColumn("_key", key))
     texts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
-    scored = scorer(texts.select("_key")).select("_key", *out_cols).cache()
+    # written once to the shared checkpoint folder: counting it is a cheap
+    # re-read, it holds no executor memory, and a lost executor costs a re-read
+    ensure_checkpoint_dir(df.sparkSession)
+    scored = scorer(texts.select("_key")).select("_key", *out_cols).checkpoint(eager=True)
     if scored.count() <= max_distinct:
         return keyed.join(F.broadcast(scored), "_key", "left").drop("_key")
-    scored.unpersist()
     return scorer(keyed).drop("_key")
 
 
