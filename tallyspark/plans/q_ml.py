@@ -118,7 +118,11 @@ def d3(spark, sf):
                         F.round(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), 6).alias("feature_sum"))
 
 
-@register("d5_stratified_split")
+@register("d5_stratified_split", with_(*CAT_BASE) + """
+, pl as (select e.descripcion, s.categoria from expenses e join scored s on e.descripcion = s.t where s.s10 > 10),
+c as (select categoria, count(*) as n from pl group by categoria)
+select categoria, 'test' as parte, cast(round(0.2 * n) as bigint) as n from c
+union all select categoria, 'train', n - cast(round(0.2 * n) as bigint) from c""")
 def d5(spark, sf):
     from tallyspark.operators.rules import pseudo_labels
     data = pseudo_labels(expenses(spark, sf))
