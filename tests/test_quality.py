@@ -60,3 +60,17 @@ def test_standardize_duplicate_names(spark):
     # 'fecha_valor' contains 'valor': it becomes both fecha and then monto; the original 'monto' is left out
     assert out.columns.count("monto") == 1 and out.first()["monto"] == "2024-01-01"
     assert out.first()["descripcion"] == "cafe"
+
+
+def test_dates_ignore_session_time_zone(spark):
+    from tallyspark.functions.dates import parse_date
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 1),), (dt.datetime(2024, 3, 20, 23),)], "fecha timestamp_ntz")
+        assert A.period(df).first()["dias_total"] == 19          # across the March DST change
+        txt = spark.createDataFrame([("31/02/2024",), ("15/01/2024",), ("2024-03-10 02:30:00",)], "s string")
+        assert [r[0] for r in txt.select(parse_date(F.col("s"))).collect()] == [
+            None, dt.datetime(2024, 1, 15), dt.datetime(2024, 3, 10, 2, 30)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
