@@ -119,3 +119,11 @@ def test_exact_median_extremes(spark):
     assert exact_median(df, "v", small_n=0) == 2.0
     df2 = spark.createDataFrame([(v,) for v in [float("inf")] * 3 + [1.0]], "v double")
     assert exact_median(df2, "v", small_n=0) == float("inf")
+
+
+def test_join_small_fallback_equals_broadcast(spark):
+    big = frame(spark, [(i, "abc"[i % 3], float(i)) for i in range(60)])
+    small = big.groupBy("descripcion").agg(F.count(F.lit(1)).alias("n"))
+    a = sorted(tuple(r) for r in N.join_small(big, small, "descripcion").collect())
+    b = sorted(tuple(r) for r in N.join_small(big, small, "descripcion", max_rows=0).collect())
+    assert a == b and len(a) == 60
