@@ -32,6 +32,16 @@ from pyspark.sql import functions as F
 from tallyspark.constants import ISO_CONTAMINATION, ISO_MAX_SAMPLES, ISO_TREES, SEED
 from tallyspark.operators.stats import exact_quantile
 
+# This is the only module whose functions run inside Python workers (the
+# tree builder and the scoring UDF).  Pickling them by value ships the code
+# with the task, so executors need no installed copy of this package.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    import sys as _sys
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 -- older cloudpickle: fall back to shipping the package
+    pass
+
 EULER = 0.5772156649015329
 TREE_SCHEMA = ("tree int, feature array<int>, threshold array<double>, left array<int>, "
                "right array<int>, size array<int>")
