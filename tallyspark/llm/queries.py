@@ -1,0 +1,20 @@
+"""Registered queries of the training-data operators and their DuckDB twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyspark.llm import langid, quality
+from tallyspark.sources.tables import load
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(load(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op8_quality_rules": op8_quality_rules}
+ORACLE = {"op8_quality_rules": quality.oracle()}
