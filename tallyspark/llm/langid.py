@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.arrow import small_batches, strings
+from tallyspark.llm.arrow import share, small_batches, strings
 
 BITS = 15
 ORDERS = (1, 2, 3, 4)
@@ -185,13 +185,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def language(spark: SparkSession, model: Model, text: Column) -> Column:
     """Column struct<lang_pred, score> for a text column, scored in Arrow batches."""
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     @F.arrow_udf(RESULT)
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        letters = letter_table()
+        letters, known = letter_table(), shared()
         for batch in batches:
-            langs, scores = predict(shared.value, strings(batch), letters)
+            langs, scores = predict(known, strings(batch), letters)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return score.asNondeterministic()(text)
