@@ -1,8 +1,73 @@
-"""The corpus pipeline (placeholder until its operators exist)."""
+"""The corpus pipeline: language ID, near-duplicates, benchmark decontamination, secrets, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the
+shared folder and rereads it as the next stage's docs.  All stages but the last return the columns
+that they were given.
+
+- language: documents whose language is unknown (``und``: null text, no letter) or whose score is
+  below MIN_SCORE go;
+- near_duplicates: one document of each group of near copies stays, the one with the smallest
+  doc_id; of rows that share a doc_id one stays, a row without a doc_id always stays;
+- decontaminate: documents that hold a benchmark item go;
+- secrets: every finding is masked in the text, and n_chars follows; no document goes;
+- pack: one row per piece of a document with its length bucket, batch and slot.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import decontam, langid, minhash, packing, secretscan
+from tallyspark.llm.work import Workspace
+from tallyspark.sources.tables import load
+
+MIN_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs.where(~langid.held_out()))
+    found = docs.withColumn("_pipeline_lang", langid.language(spark, model, F.col("text")))
+    sure = (F.col("_pipeline_lang.lang_pred") != langid.UNKNOWN) & (F.col("_pipeline_lang.score") >= MIN_SCORE)
+    return found.where(sure).drop("_pipeline_lang")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs)
+    kept = docs.join(found.where("kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = docs.withColumn("_pipeline_items", decontam.matches(docs, load(spark, sf_dir, "benchmark"), F.col("text")))
+    return found.where(F.size("_pipeline_items") == 0).drop("_pipeline_items")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = secretscan.train(docs)
+    found = docs.withColumn("_pipeline_masked", secretscan.redacted(docs, net, F.col("text")))
+    changed = F.col("_pipeline_masked").isNotNull()
+    size = F.when(changed, F.length("_pipeline_masked").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"text": F.coalesce("_pipeline_masked", "text"), "n_chars": size}).drop("_pipeline_masked")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("pack", pack)]
+
+# Naive Bayes, the network and the edit search can't be written in SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``."""
+    work = Workspace(spark, "pipeline")
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        before, docs = docs, work.save(stage(spark, docs, sf_dir), name)
+        work.drop(before)
+    return docs
