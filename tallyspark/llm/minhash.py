@@ -222,11 +222,19 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
 
+MARKS = "a bigint, b bigint, side int, rep bigint"
+
+
 def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From blocks of signatures: representatives that may link two components (lo, hi)."""
+    """From blocks of signatures: the representatives that may link two components.
+
+    Against the bucket's largest component C, (C, C): its members are side 0, all others side 1, so
+    that a block yields as many rows as it has, however many pairs they form.  Between two smaller
+    components, (lo, hi): side 0 and side 1.
+    """
     def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(rows)
-        query, rep, comp, size = (table.column(k).to_numpy() for k in ("query", "rep", "comp", "n"))
+        query, top, rep, comp, size = (table.column(k).to_numpy() for k in ("query", "top", "rep", "comp", "n"))
         sig = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
         ask, all_ = np.flatnonzero(query == 1), np.flatnonzero(query == 0)
         got = []
@@ -237,12 +245,14 @@ def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near &= estimates(sig[q], sig[all_]) >= PERCENT / 100 - MARGIN
             i, j = np.nonzero(near)
             i, j = q[i], all_[j]
-            lo, hi = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-            got.append(np.unique(np.concatenate([np.stack([lo, hi, rep[i]], 1), np.stack([lo, hi, rep[j]], 1)]), axis=0))
-        if not got or not sum(map(len, got)):
+            main = top[j] == 1
+            lo, hi = np.where(main, comp[j], np.minimum(comp[i], comp[j])), np.where(main, comp[j], np.maximum(comp[i], comp[j]))
+            side_i, side_j = np.where(main, 1, comp[i] == hi), np.where(main, 0, comp[j] == hi)
+            got.append(np.unique(np.concatenate([np.stack([lo, hi, side_i, rep[i]], 1), np.stack([lo, hi, side_j, rep[j]], 1)]), axis=0))
+        if not sum(map(len, got)):
             return None
-        rows_ = np.unique(np.concatenate(got), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(rows_[:, k]) for k in range(3)], ["lo", "hi", "rep"])
+        found = np.unique(np.concatenate(got), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, k], pa.int32() if k == 2 else pa.int64()) for k in range(4)], ["a", "b", "side", "rep"])
 
     held: list[pa.RecordBatch] = []
     for new, part in by_cell(batches, ["key", "i", "j"]):
@@ -275,15 +285,14 @@ def star_cells(pairs: DataFrame) -> DataFrame:
 
 
 def pair_cells(marked: DataFrame) -> DataFrame:
-    """Cells that hold a block of component ``lo`` (side 0) and one of ``hi`` (side 1)."""
-    sides = marked.select("lo", "hi", "rep", F.col("side"))
-    sizes = sides.groupBy("lo", "hi").agg(blocks(F.sum(1 - F.col("side")), CELL).alias("ni"), blocks(F.sum("side"), CELL).alias("nj"))
-    rows = sides.join(sizes, ["lo", "hi"])
+    """Cells that hold a block of side 0 and one of side 1 of a mark (a, b)."""
+    sizes = marked.groupBy("a", "b").agg(blocks(F.sum(1 - F.col("side")), CELL).alias("ni"), blocks(F.sum("side"), CELL).alias("nj"))
+    rows = marked.join(sizes, ["a", "b"])
     own = lambda n: F.array(F.pmod(F.xxhash64("rep"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     rows = rows.withColumn("i", F.explode(F.when(F.col("side") == 0, own("ni")).otherwise(every("ni"))))
     rows = rows.withColumn("j", F.explode(F.when(F.col("side") == 1, own("nj")).otherwise(every("nj"))))
-    return rows.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "i", "j", "side", "rep")
+    return rows.select("a", "b", "i", "j", "side", "rep")
 
 
 def candidate_stars(shared: DataFrame) -> DataFrame:
@@ -305,8 +314,8 @@ def mixed_blocks(shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataF
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     ask = rows.where("comp <> top").withColumn("i", own("ni")).withColumn("j", every("nj")).withColumn("query", F.lit(1))
     all_ = rows.withColumn("i", every("ni")).withColumn("j", own("nj")).withColumn("query", F.lit(0))
-    cols = ["key", "i", "j", "query", "rep", "comp"]
-    return ask.select(cols).union(all_.select(cols)).join(reps.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep").select(*cols, "n", "sig")
+    cols = ["key", "i", "j", "query", (F.col("comp") == F.col("top")).cast("int").alias("top"), "rep", "comp"]
+    return ask.select(cols).union(all_.select(cols)).join(reps.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep").select("key", "i", "j", "query", "top", "rep", "comp", "n", "sig")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,8 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = work.save(shared.select("rep").distinct().join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")), "labels")
 
     blocked = mixed_blocks(shared, labels, reps).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    marked = blocked.mapInArrow(marks, "lo bigint, hi bigint, rep bigint").distinct()
-    marked = work.save(marked.join(labels, "rep").withColumn("side", (F.col("comp") == F.col("hi")).cast("int")), "marked")
+    marked = work.save(blocked.mapInArrow(marks, MARKS).distinct(), "marked")
     more = work.save(links_of(pair_cells(marked), texts), "more")
     joined = more.join(labels.select(F.col("rep").alias("x"), F.col("comp").alias("cx")), "x").join(labels.select(F.col("rep").alias("y"), F.col("comp").alias("cy")), "y")
     second = components(work, joined, "cx", "cy")
