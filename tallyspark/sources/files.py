@@ -1,73 +1,106 @@
 """File sources (A1-A5).
 
 Everything is read as strings (no inference pass over the data); typing
-happens in the cleaning transforms.  Only the header line is looked at
-on the driver to choose the separator.
+happens in the cleaning transforms.  What a file is (separator, encoding,
+JSON array or lines) is found per file by one Spark aggregation over its
+lines; only the distinct forms reach the driver.  A folder of one form is
+read as a whole.  Where forms are mixed, each form's files are read by
+their names, which Spark's file listing holds on the driver anyway.
+
+On request rows get their true input order (file path, place in the file)
+as ``row_id``, unless the files bring a column of that name.
 """
 
 from __future__ import annotations
 
 import os
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.operators.order import place, with_input_order
+from tallyspark.session import materialize
+
 SEPARATORS = [",", ";", "\t", "|"]
 SUPPORTED = [".csv", ".xlsx", ".xls", ".json", ".txt"]
 READABLE = [".csv", ".txt", ".json", ".parquet"]
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    """A1: first separator in (, ; tab |) that splits the header in >1 column."""
-    first = spark.read.text(path).limit(1).collect()
-    header = first[0][0] if first else ""
-    for sep in SEPARATORS:
-        if len(header.split(sep)) > 1:
-            return sep
-    return ","
-
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Per file: its first and second line that is not blank, and whether all its bytes are UTF-8.
 
-def utf8_flags(spark: SparkSession, path: str) -> DataFrame:
-    """A2: per file, whether its bytes decode as UTF-8.
-
-    The text source keeps each line's raw bytes; ``is_valid_utf8`` checks
-    them.  One distributed aggregation over the lines gives one row per
-    file -- no file is ever loaded whole into a task.
+    The text source keeps each line's raw bytes.  A line's place is its
+    block's start and its position in the scan; a partial aggregation
+    keeps two lines per file and task.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return lines.groupBy("file").agg(F.min(F.expr("is_valid_utf8(value)")).alias("is_utf8"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), "value")
+    text = F.trim("value")
+    # a file that is nothing but blank lines still has a row
+    seen = F.when(F.length(text) > 0, F.struct("block", "id", F.col("value").alias("line")))
+    per_block = lines.groupBy("file", "block").agg(F.min(seen).alias("one"), F.min(F.expr("is_valid_utf8(value)")).alias("utf8"))
+    return per_block.groupBy("file").agg(F.min("one").alias("one"), F.min("utf8").alias("utf8")) \
+                    .select("file", F.coalesce("one.line", F.lit("")).alias("header"), "utf8")
+
+
+def separator_of(header: Column) -> Column:
+    """A1: the first of , ; tab | that splits the header in more than one column;
+    else the first of : ^ ~ # * that stands between two names; else a comma."""
+    sep = F.coalesce(*[F.when(F.contains(header, F.lit(s)), F.lit(s)) for s in SEPARATORS],
+                     F.regexp_extract(header, r"[\p{L}\p{N}_\"] *([:^~#*]) *[\p{L}\p{N}_\"]", 1))
+    return F.when(sep == "", F.lit(",")).otherwise(sep)
+
+
+def read_forms(forms: DataFrame, path: str, read, cols: list[str]) -> DataFrame:
+    """Union by name of ``read(paths, form)`` over the distinct forms of the files."""
+    forms = materialize(forms)
+    kinds = forms.select(*cols).distinct().orderBy(*cols).collect()
+    if len(kinds) <= 1:
+        return read(path, kinds[0] if kinds else None)
+    parts = []
+    for kind in kinds:
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(kind[c])) for c in cols])
+        parts.append(read([r["file"] for r in forms.where(same).select("file").collect()], kind))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
-                   encoding: str | None = None) -> DataFrame:
-    """A1 + A2: CSV/TXT with sniffed separator; UTF-8 files and the rest
-    (read as ISO-8859-1) are unioned by column name."""
-    sep = sep or sniff_separator(spark, path)
-
-    def read(p, enc):
-        return (spark.read.option("header", True).option("sep", sep).option("encoding", enc)
-                .option("inferSchema", False).option("multiLine", False).csv(p))
-    if encoding:
-        return read(path, encoding)
-    flags = utf8_flags(spark, path).collect()  # one row per file: bounded by the file count
-    good = [r["file"] for r in flags if r["is_utf8"]]
-    bad = [r["file"] for r in flags if not r["is_utf8"]]
-    parts = []
-    if good:
-        parts.append(read(good, "UTF-8"))
-    if bad:
-        parts.append(read(bad, "ISO-8859-1"))
-    if not parts:
-        return read(path, "UTF-8")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+def tagged(df: DataFrame) -> DataFrame:
+    """Rows with their file, block and place in the scan, unless they bring a ``row_id``."""
+    return df if "row_id" in df.columns else df.select("*", *place())
 
 
-def read_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A3: a JSON array of records (``multi_line``) or JSON lines."""
-    return spark.read.option("multiLine", multi_line).option("primitivesAsString", True).json(path)
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
+                   encoding: str | None = None, input_order: bool = False) -> DataFrame:
+    """A1 + A2: CSV/TXT; separator and encoding (UTF-8, else ISO-8859-1) per file."""
+    def read(paths, form):
+        df = (spark.read.option("header", True).option("sep", sep or (form["sep"] if form else ","))
+              .option("encoding", encoding or ("UTF-8" if form is None or form["utf8"] else "ISO-8859-1"))
+              .option("inferSchema", False).option("multiLine", False).csv(paths))
+        return tagged(df) if input_order else df
+    if sep and encoding:
+        out = read(path, None)
+    else:
+        out = read_forms(first_lines(spark, path).select("file", separator_of(F.col("header")).alias("sep"), "utf8"),
+                         path, read, ["sep", "utf8"])
+    return with_input_order(out) if input_order else out
+
+
+def read_json(spark: SparkSession, path: str, multi_line: bool | None = None, input_order: bool = False) -> DataFrame:
+    """A3: JSON lines or documents that span lines (an array of records), told apart per file
+    by the first line: a whole record there means lines."""
+    def read(paths, form):
+        many = multi_line if multi_line is not None else bool(form and form["many"])
+        df = spark.read.option("multiLine", many).option("primitivesAsString", True).json(paths)
+        return tagged(df) if input_order else df
+    if multi_line is not None:
+        out = read(path, None)
+    else:
+        head = F.trim("header")
+        lines = (head.startswith("{") & head.endswith("}")) | (head == "")
+        out = read_forms(first_lines(spark, path).select("file", (~lines).alias("many")), path, read, ["many"])
+    return with_input_order(out) if input_order else out
 
 
 def extension(path: str) -> str:
@@ -75,14 +108,15 @@ def extension(path: str) -> str:
     return os.path.splitext(p)[1].lower()
 
 
-def load_data(spark: SparkSession, path: str, file_type: str | None = None) -> DataFrame:
-    """A4: dispatch by suffix.  Unsupported formats raise ``ValueError``;
+def load_data(spark: SparkSession, path: str, file_type: str | None = None, input_order: bool = False) -> DataFrame:
+    """A4: dispatch by suffix; with ``input_order``, text files
+    bring a ``row_id`` in (path, line) order.  Unsupported formats raise ``ValueError``;
     a missing path surfaces as Spark's PATH_NOT_FOUND error."""
     kind = (file_type or extension(path)).lower()
     if kind in (".csv", ".txt"):
-        return read_delimited(spark, path)
+        return read_delimited(spark, path, input_order=input_order)
     if kind == ".json":
-        return read_json(spark, path)
+        return read_json(spark, path, input_order=input_order)
     if kind == ".parquet":
         return spark.read.parquet(path)
     if kind in (".xlsx", ".xls"):
