@@ -25,12 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.constants import ISO_CONTAMINATION, ISO_MAX_SAMPLES, ISO_TREES, SEED
 from tallyspark.operators.stats import exact_quantile
+from tallyspark.session import materialize
 
 # This is the only module whose functions run inside Python workers (the
 # tree builder and the scoring UDF).  Pickling them by value ships the code
@@ -172,6 +172,7 @@ def isolation_forest_flags(df: DataFrame, amount: str = "monto", date: str = "fe
     """F2: ``iso_score`` and ``is_ml_anomaly`` on (amount, hour, weekday)."""
     feats = with_time_features(df, date)
     model = fit_isolation_forest(feats, [amount, "_hour", "_weekday"], key, trees, max_samples, seed)
-    scored = model.transform(feats).drop("_hour", "_weekday").persist(StorageLevel.MEMORY_AND_DISK)
+    # scored once: the cut and the flags read the written table
+    scored = materialize(model.transform(feats).drop("_hour", "_weekday"))
     cut = exact_quantile(scored, "iso_score", 1.0 - contamination)
     return scored.withColumn("is_ml_anomaly", F.coalesce(F.col("iso_score") > F.lit(cut), F.lit(False)))

@@ -2,27 +2,24 @@
 
 Spark's exact ``percentile``/``median`` merges every distinct value of
 the column into a single final buffer, i.e. one task holds the whole
-value set.  Instead, ``kth_smallest`` narrows the search range with
-histogram passes: each pass is one distributed aggregation with at most
-``buckets + 1`` groups (equal-width buckets), and only that tiny histogram
-reaches the driver.  The bucket holding rank *k* becomes the next
-range; a range with a single distinct value ends the search.  Money
-values converge in a handful of passes.
-
-Below ``small_n`` rows the built-in exact ``median`` is used: the row
-count was checked first, so its single final buffer is size-bounded.
+value set.  Instead, ``kth_smallest`` narrows the search with pivots:
+each pass asks ``percentile_approx`` for values near the wanted rank,
+counts exactly how many values lie below and at each of them, and goes
+on with the segment that holds the rank.  A pivot is a value of the
+column, so every pass leaves fewer values, and with three pivots around
+the rank a pass leaves about one in a thousand.  The plan is the same at
+every size; only counts reach the driver.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_N = 2_000_000
-BUCKETS = 1024
+from tallyspark.session import materialize
+
+ACCURACY = 10_000
+NEAR = 0.0005
 
 
 def _values(df: DataFrame, col: str) -> DataFrame:
@@ -30,99 +27,59 @@ def _values(df: DataFrame, col: str) -> DataFrame:
     return df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def kth_smallest(vals: DataFrame, k: int, lo: float, hi: float,
-                 buckets: int = BUCKETS, max_passes: int = 200) -> float:
-    """k-th smallest (0-based) of column ``v`` whose values lie in [lo, hi].
-
-    Infinite values are counted apart and the search runs on the finite
-    ones; a range wider than the largest double is bucketed at half scale
-    (same order).
-    """
-    if math.isinf(lo) or math.isinf(hi):
-        head = vals.agg(F.count_if(F.col("v") == float("-inf")).alias("neg"),
-                        F.count_if(F.col("v") == float("inf")).alias("pos"),
-                        F.min(F.when(~F.col("v").isin(float("inf"), float("-inf")), F.col("v"))).alias("lo"),
-                        F.max(F.when(~F.col("v").isin(float("inf"), float("-inf")), F.col("v"))).alias("hi"),
-                        F.count(F.lit(1)).alias("n")).first()
-        if k < head["neg"]:
-            return float("-inf")
-        if k >= head["n"] - head["pos"]:
-            return float("inf")
-        finite = vals.where(~F.col("v").isin(float("inf"), float("-inf")))
-        return kth_smallest(finite, k - head["neg"], head["lo"], head["hi"], buckets, max_passes)
-    offset = 0
+def kth_smallest(vals: DataFrame, k: int, n: int) -> float:
+    """k-th smallest (0-based) of the ``n`` values in column ``v``."""
     cur = vals
-    for _ in range(max_passes):
-        if lo == hi:
-            return lo
-        # monotone bucket in [0, buckets]; dividing first cannot overflow
-        # (Spark's width_bucket does for ranges near the double limit)
-        scale = 0.5 if math.isinf(hi - lo) else 1.0
-        width = hi * scale - lo * scale
-        frac = (F.col("v") * scale - F.lit(lo * scale)) / F.lit(width)
-        b = F.least(F.floor(frac * buckets), F.lit(buckets)).cast("int")
-        hist = (cur.groupBy(b.alias("b"))
-                   .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                   .orderBy("b").collect())
-        for row in hist:
-            if offset + row["n"] > k:
-                lo, hi = row["lo"], row["hi"]
-                cur = vals.where(F.col("v").between(lo, hi))
-                break
-            offset += row["n"]
-        else:  # pragma: no cover - k out of range
-            raise ValueError("rank outside the column")
-    raise RuntimeError("selection did not converge")
-
-
-def exact_median(df: DataFrame, col: str, small_n: int = SMALL_N) -> float | None:
-    """Median with linear interpolation between the two middle values.
-
-    The single value column is persisted first, so every pass after the
-    first reads it instead of recomputing the upstream plan.
+    while True:
+        q = (k + 0.5) / n
+        near = [max(q - NEAR, 0.0), q, min(q + NEAR, 1.0)]
+        pivots = sorted(set(cur.agg(F.percentile_approx("v", near, ACCURACY)).first()[0]))
+        below = [F.count_if(F.col("v") < p) for p in pivots]
+        upto = [F.count_if(F.col("v") <= p) for p in pivots]
+        counts = cur.agg(*[c.alias(f"c{i}") for i, c in enumerate(below + upto)]).first()
+        lt, le = counts[:len(pivots)], counts[len(pivots):]
+        low, low_n, high = None, 0, None  # the open segment (low, high) that holds the rank
+        for p, a, b in zip(pivots, lt, le):
+            if a <= k < b:
+                return p
+            if b <= k:
+                low, low_n = p, b
+            elif high is None:
+                high, n_high = p, a
+        cond = F.lit(True)
+        if low is not None:
+            cond = cond & (F.col("v") > low)
+        if high is not None:
+            cond = cond & (F.col("v") < high)
+        cur = cur.where(cond)
+        k, n = k - low_n, (n_high if high is not None else n) - low_n
+
+
+def _next(vals: DataFrame, v: float, k: int) -> float:
+    """The order statistic after rank ``k``, whose value is ``v``."""
+    r = vals.agg(F.count_if(F.col("v") <= v).alias("le"), F.min(F.when(F.col("v") > v, F.col("v"))).alias("above")).first()
+    return v if r["le"] > k + 1 or r["above"] is None else r["above"]
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
+    """Linear-interpolated quantile (numpy's default); NULL and NaN do not count.
+
+    The value column alone is written once, so that no pass recomputes
+    what stands before it.
     """
-    vals = _values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        head = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                        F.max("v").alias("hi")).first()
-        n = head["n"]
-        if n == 0:
-            return None
-        if n <= small_n:
-            return vals.agg(F.median("v")).first()[0]
-        k1 = (n - 1) // 2
-        v1 = kth_smallest(vals, k1, head["lo"], head["hi"])
-        if n % 2 == 1 or math.isinf(v1):
-            return v1
-        # the next order statistic: v1 again if it repeats, else the next value
-        nxt = vals.agg(F.count_if(F.col("v") <= v1).alias("le"),
-                       F.min(F.when(F.col("v") > v1, F.col("v"))).alias("above")).first()
-        v2 = v1 if nxt["le"] > k1 + 1 else nxt["above"]
-        return (v1 + v2) / 2.0
-    finally:
-        vals.unpersist()
-
-
-def exact_quantile(df: DataFrame, col: str, q: float, small_n: int = SMALL_N) -> float | None:
-    """Linear-interpolated quantile (numpy's default), same strategy."""
-    vals = _values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        head = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                        F.max("v").alias("hi")).first()
-        n = head["n"]
-        if n == 0:
-            return None
-        if n <= small_n:
-            return vals.agg(F.percentile("v", q)).first()[0]
-        pos = q * (n - 1)
-        k1 = int(pos)
-        frac = pos - k1
-        v1 = kth_smallest(vals, k1, head["lo"], head["hi"])
-        if frac == 0 or k1 + 1 >= n or math.isinf(v1):
-            return v1
-        nxt = vals.agg(F.count_if(F.col("v") <= v1).alias("le"),
-                       F.min(F.when(F.col("v") > v1, F.col("v"))).alias("above")).first()
-        v2 = v1 if nxt["le"] > k1 + 1 else nxt["above"]
-        return v1 + (v2 - v1) * frac
-    finally:
-        vals.unpersist()
+    vals = materialize(_values(df, col))
+    n = vals.count()
+    if n == 0:
+        return None
+    pos = q * (n - 1)
+    k = int(pos)
+    v = kth_smallest(vals, k, n)
+    if pos == k or k + 1 >= n:
+        return v
+    after = _next(vals, v, k)
+    return v if after == v else v + (after - v) * (pos - k)
+
+
+def exact_median(df: DataFrame, col: str) -> float | None:
+    """Median; the mean of the two middle values of an even count."""
+    return exact_quantile(df, col, 0.5)
