@@ -3,8 +3,9 @@
 Group statistics are computed by a partial/final hash aggregation and
 joined back; they are never computed with a window partitioned by the
 group (which would pull a whole category -- possibly a third of the
-table -- into one task).  The statistics table is broadcast only after
-its row count is checked.
+table -- into one task).  Spark broadcasts the statistics if their bytes
+allow it, and otherwise splits a hot group's join.  Rows and statistics
+both read the given frame: give it materialised where it is dear.
 """
 
 from __future__ import annotations
@@ -15,25 +16,6 @@ from pyspark.sql import functions as F
 from tallyspark.constants import (ANOMALY_Z, CATEGORY_ANOMALY_Z, CATEGORY_MIN_SIZE,
                                   MIN_ROWS_FOR_DETECTION)
 
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join a (usually tiny) table; broadcast it only when its size is proven.
-
-    ``small`` is checkpointed (shared folder) and counted first; beyond
-    ``max_rows`` the join is left to Spark's shuffle join (with AQE
-    skew-join splitting).
-    """
-    from tallyspark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(small.sparkSession)
-    small = small.checkpoint(eager=True)
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
 def zscore_global(df: DataFrame, column: str = "monto", threshold: float = ANOMALY_Z) -> DataFrame:
     """|x - mean| / sample std > threshold; std 0 or undefined -> False."""
     stats = df.agg(F.avg(column).alias("_mean"), F.stddev_samp(column).alias("_std"))
@@ -51,7 +33,8 @@ def zscore_by_category(df: DataFrame, cat: str = "categoria", column: str = "mon
     """per-category z > 2.5, only in groups of more than 3 rows with std > 0."""
     stats = df.groupBy(cat).agg(F.count(F.lit(1)).alias("_n"), F.avg(column).alias("_cmean"),
                                 F.stddev_samp(column).alias("_cstd"))
-    j = join_small(df, stats, cat, "left")
+    stats = stats.withColumnRenamed(cat, "_cat")  # rows without a category are a group as well
+    j = df.join(stats, F.col(cat).eqNullSafe(F.col("_cat")), "left").drop("_cat")
     ok = (F.col("_n") > min_size) & F.col("_cstd").isNotNull() & (F.col("_cstd") > 0)
     z = F.when(ok, F.abs((F.col(column) - F.col("_cmean")) / F.col("_cstd")))
     return (j.withColumn("is_category_anomaly", F.coalesce(z > threshold, F.lit(False)))

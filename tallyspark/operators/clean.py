@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tallyspark.functions.dates import parse_date, ts_lit
 from tallyspark.functions.money import clean_amount
 from tallyspark.functions.text import clean_description
+from tallyspark.session import materialize
 
 ROW_ID = "row_id"
 
@@ -23,12 +24,13 @@ ROW_ID = "row_id"
 def with_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     """Input order for "first wins" rules when a table has no key.
 
-    ``monotonically_increasing_id`` right after the scan follows file and
-    row order and needs no shuffle.
+    Rows of files get their order when they are read
+    (``order.with_input_order``).  Any other frame without the column is
+    written once with an id, since an id made twice need not be the same.
     """
-    if name in df.columns:
+    if name in df.columns or df.isStreaming:
         return df
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def clean_descriptions(df: DataFrame, null_as_text: bool = True) -> DataFrame:
@@ -79,25 +81,29 @@ def drop_duplicates_first(df: DataFrame, subset: tuple[str, ...] = ("descripcion
     return df.join(firsts, order_col, "left_semi")
 
 
-def compute_once(df: DataFrame) -> DataFrame:
-    """Evaluate the (regex-heavy) columns of ``df`` exactly once per row.
+def compute_once(df: DataFrame, *names: str) -> DataFrame:
+    """Evaluate the named (regex-heavy) columns exactly once per row.
 
     Predicate pushdown substitutes column definitions into later filters,
     so a filter on a cleaned column would re-run the whole cleaning chain.
-    Emitting the row through a one-element ``inline`` (a Generate node,
-    codegen'd, no shuffle) keeps later filters above the computation.
+    Emitting those columns through a one-element ``inline`` (a Generate
+    node, codegen'd, no shuffle) keeps later filters above the computation.
+    All other columns stay outside, so that unused ones are still pruned.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.select(F.inline(F.array(row)))
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    made = df.select(*rest, F.inline(F.array(row)))
+    return made.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def clean_expenses(df: DataFrame, null_description_as_text: bool = True,
                    as_of: dt.datetime | None = None,
                    subset: tuple[str, ...] = ("descripcion", "monto")) -> DataFrame:
-    """B1-B5 in the reference order."""
+    """B1-B5 in the reference order.
+
+    Dates play no part in the filters and the key: they are parsed after
+    them, and not at all where no one asks for them.
+    """
     df = with_row_id(df)
-    df = clean_descriptions(df, null_description_as_text)
-    df = clean_amounts(df)
-    df = parse_dates(df, as_of)
-    df = drop_invalid(compute_once(df))
-    return drop_duplicates_first(df, subset)
+    df = compute_once(clean_amounts(clean_descriptions(df, null_description_as_text)), "descripcion", "monto")
+    return drop_duplicates_first(parse_dates(drop_invalid(df), as_of), subset)

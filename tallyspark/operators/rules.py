@@ -2,34 +2,26 @@
 
 The rule tables are fixed and small (76 / 174 keywords).  Scoring is a
 built-in expression (``contains`` per keyword, one int column per
-keyword, summed per category) -- no Python UDF, no theta join.
-
-Transaction descriptions repeat heavily (merchants), so each distinct
-normalised text is scored once: the distinct texts come from a
-partial/final aggregation (a description holding a third of the rows is
-collapsed map-side), are scored, checkpointed, counted, and broadcast back
-when the count is within ``MAX_BROADCAST_TEXTS``.  Beyond that bound
-the same expression runs per row (narrow, no shuffle, no join).
+keyword, summed per category) on every row: a narrow projection without
+a shuffle, a join or a Python UDF, the same at every size and on streams.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.constants import (DEFAULT_CATEGORY, FIRST_MATCH_RULES, PSEUDO_LABEL_MIN_SCORE,
                                   RULE_NO_MATCH_CONFIDENCE, RULE_SCORE_SCALE, WEIGHTED_RULES,
                                   weight_tenths)
 from tallyspark.functions.text import normalize_for_matching
-from tallyspark.session import ensure_checkpoint_dir
-
-
-MAX_BROADCAST_TEXTS = 2_000_000
+from tallyspark.operators.clean import compute_once
+from tallyspark.session import materialize
 
 
 def first_match_category(desc: Column, rules=FIRST_MATCH_RULES) -> Column:
-    """First category (in rule order) with a keyword inside the text."""
-    text = F.lower(desc.cast("string"))
+    """First category (in rule order) with a keyword inside the lower-cased text."""
+    text = desc
     out = None
     for category, keywords in rules:
         if not keywords:
@@ -53,10 +45,9 @@ def category_scores_tenths(norm: Column, rules=WEIGHTED_RULES) -> list[tuple[str
 
 def _keyword_hits(df: DataFrame, norm_col: str, rules=WEIGHTED_RULES) -> DataFrame:
     """One int column per keyword, computed once (small generated methods)."""
-    from tallyspark.operators.clean import compute_once
-    cols = [F.col(norm_col).contains(kw).cast("int").alias(f"_k{i}_{j}")
-            for i, (_, _, kws) in enumerate(rules) for j, kw in enumerate(kws)]
-    return compute_once(df.select("*", *cols))
+    cols = {f"_k{i}_{j}": F.col(norm_col).contains(kw).cast("int")
+            for i, (_, _, kws) in enumerate(rules) for j, kw in enumerate(kws)}
+    return compute_once(df.select("*", *[c.alias(n) for n, c in cols.items()]), *cols)
 
 
 def best_category_struct(df: DataFrame, norm_col: str = "_norm", rules=WEIGHTED_RULES) -> DataFrame:
@@ -78,55 +69,18 @@ def best_category_struct(df: DataFrame, norm_col: str = "_norm", rules=WEIGHTED_
     return hits.select(*keep, F.struct(category.alias("category"), score.alias("score_tenths")).alias("_best"))
 
 
-def best_category(scores: list[tuple[str, Column]]) -> Column:
-    """Column form of the same choice (for small inputs and docs)."""
-    best = F.greatest(*[F.struct(s.alias("score"), F.lit(-i).alias("neg_ord"),
-                                 F.lit(cat).alias("category"))
-                        for i, (cat, s) in enumerate(scores)])
-    return F.struct(
-        F.when(best["score"] > 0, best["category"]).otherwise(F.lit(DEFAULT_CATEGORY)).alias("category"),
-        best["score"].alias("score_tenths"))
-
-
-def by_distinct(df: DataFrame, key: Column, scorer, out_cols: list[str],
-                max_distinct: int = MAX_BROADCAST_TEXTS) -> DataFrame:
-    """Apply ``scorer`` (DataFrame with ``_key`` -> adds ``out_cols``) once per
-    distinct key and broadcast the result back; per row beyond the bound."""
-    from tallyspark.operators.clean import compute_once
-    keyed = compute_once(df.drop(*[c for c in out_cols if c in df.columns]).withColumn("_key", key))
-    texts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
-    # written once to the shared checkpoint folder: counting it is a cheap
-    # re-read, it holds no executor memory, and a lost executor costs a re-read
-    ensure_checkpoint_dir(df.sparkSession)
-    scored = scorer(texts.select("_key")).select("_key", *out_cols).checkpoint(eager=True)
-    if scored.count() <= max_distinct:
-        return keyed.join(F.broadcast(scored), "_key", "left").drop("_key")
-    return scorer(keyed).drop("_key")
-
-
-def categorize_first_match(df: DataFrame, out_col: str = "categoria", text_col: str = "descripcion",
-                           max_distinct: int = MAX_BROADCAST_TEXTS) -> DataFrame:
-    """C1 as a transform (scored once per distinct text)."""
-    def scorer(d):
-        return d.withColumn(out_col, first_match_category(F.col("_key")))
-    # NULL and '' both fall to the default category, so '' can stand for NULL in the key
-    return by_distinct(df, F.coalesce(F.col(text_col).cast("string"), F.lit("")), scorer, [out_col],
-                       max_distinct)
+def categorize_first_match(df: DataFrame, out_col: str = "categoria", text_col: str = "descripcion") -> DataFrame:
+    """C1 as a transform."""
+    scored = df.drop(out_col).withColumn("_text", F.lower(F.col(text_col).cast("string")))
+    scored = compute_once(scored, "_text")
+    return scored.withColumn(out_col, first_match_category(F.col("_text"))).drop("_text")
 
 
 def weighted_rule_columns(df: DataFrame, text_col: str = "descripcion") -> DataFrame:
-    """Adds ``_norm``, ``_best`` (category, score_tenths) helper columns.
-
-    Both are computed once per row (``compute_once``): later projections
-    read the struct fields instead of re-inlining the 174-keyword scoring.
-    """
-    def scorer(d):
-        d = d.withColumn("_norm", F.col("_key"))
-        return best_category_struct(d)
-    key = normalize_for_matching(F.col(text_col))
-    if df.isStreaming:  # no size-check action on a stream: score each row
-        return scorer(df.withColumn("_key", key)).drop("_key")
-    return by_distinct(df, key, scorer, ["_norm", "_best"])
+    """Adds ``_norm``, ``_best`` (category, score_tenths) helper columns,
+    each computed once per row."""
+    df = df.drop("_norm", "_best").withColumn("_norm", normalize_for_matching(F.col(text_col)))
+    return compute_once(best_category_struct(compute_once(df, "_norm")), "_best")
 
 
 def categorize_weighted(df: DataFrame, text_col: str = "descripcion",
@@ -170,14 +124,11 @@ def keyword_features(df: DataFrame, text_col: str = "descripcion",
 
 
 def category_distribution(df: DataFrame, col: str = "categoria") -> DataFrame:
-    """Counts and percentages of non-missing categories.
-
-    The window runs over the already aggregated table (one row per
-    category), never over the input rows.
-    """
+    """Counts and percentages of non-missing categories."""
     if col not in df.columns:
         df = categorize_weighted(df, out_col=col, with_confidence=False)
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    return counts.select(F.col(col).alias("categoria"), "count",
-                         (F.col("count") * 100.0 / total).alias("percentage"))
+    counts = materialize(counts)  # the total reads the counts, not the rows again
+    total = counts.agg(F.sum("count").alias("_all"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(
+        F.col(col).alias("categoria"), "count", (F.col("count") * 100.0 / F.col("_all")).alias("percentage"))

@@ -16,33 +16,22 @@ from tallyspark.constants import DERIVED_PHRASES
 from tallyspark.session import table_path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table with fewer input splits than cores one task per core.
-
-    Large inputs already have many splits (no-op); a small file that is a
-    single row group would otherwise run every per-row expression in one
-    task.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- e.g. a Spark Connect session exposes no RDDs
-        return df
-    return df.repartition(cores) if parts < cores else df
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def expenses_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_id bigint, fecha string, descripcion string, monto string."""
-    o = spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"))
+def expenses_raw(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
+    """row_id bigint, fecha string, descripcion string, monto string.
+
+    Amounts are coarse, so that de-duplication drops rows; with ``fine``
+    (bench) they differ by cents and nearly all rows stay.
+    """
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
     k = F.col("o_orderkey")
     merchant = F.element_at(F.array(*[F.lit(p) for p in DERIVED_PHRASES]),
                             (k % len(DERIVED_PHRASES)).cast("int") + 1)
     amount = ((F.when(k % 211 == 0, F.lit(40)).otherwise(F.lit(1))
-               * (F.round(F.col("o_totalprice") / 1000) * 50 + 650.5))
+               * ((F.round(F.col("o_totalprice") * 0.05, 2) if fine else F.round(F.col("o_totalprice") / 1000) * 50) + 650.5))
               .cast("decimal(14,2)").cast("string"))
     fecha = F.when(k % 97 == 0, F.lit("not-a-date")).otherwise(
         F.date_format("o_orderdate", "yyyy-MM-dd"))
