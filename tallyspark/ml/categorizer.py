@@ -4,38 +4,45 @@ Model = one ``PipelineModel``:
 
   SQLTransformer (B6 text normalisation + C5 keyword scores, generated
   from the rule table) -> RegexTokenizer -> NGram(2) -> SQLTransformer
-  (unigrams ++ bigrams) -> CountVectorizer -> ElementwiseProduct
-  (tf * (idf + 1), the smooth-idf weighting) -> Normalizer(L2) ->
+  (unigrams ++ bigrams) -> CountVectorizerModel -> SublinearTF (D2 only)
+  -> ElementwiseProduct (smooth idf) -> Normalizer(L2) ->
   VectorAssembler(tf-idf, 8 keyword scores) -> RandomForest ->
   IndexToString.
 
-Because every stage is a stock stage, ``PipelineModel.save/load`` is
-the model bundle (D14).  Training data is whatever Spark derives from
+Every stage is a stock stage or a transformer with default-params
+persistence, so ``PipelineModel.save/load`` is the model bundle (D14).  Training data is whatever Spark derives from
 the tables (pseudo-labels, C4) plus the seed set; ``fit`` is Spark's
 distributed tree learner.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, IndexToString, NGram,
-                                Normalizer, RegexTokenizer, SQLTransformer, StringIndexer,
-                                VectorAssembler)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer,
+                                RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler)
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.constants import (MIN_TRAINING_ROWS, SEED, SPLIT_MIN_ROWS, STOP_WORDS, TEST_FRACTION,
                                   WEIGHTED_RULES, weight_tenths)
-from tallyspark.ml.tfidf import TOKEN_RX
+from tallyspark.functions.text import cache_key
+from tallyspark.ml.tfidf import TOKEN_RX, vocabulary
+from tallyspark.operators.reuse import cache_stats, score_distinct
 from tallyspark.operators.rules import categorize_weighted, pseudo_labels
+from tallyspark.session import materialize
 
-EXACT_SPLIT_MAX_ROWS = 1_000_000
+SPLIT_BUCKETS = 1 << 16
+# Sublinear term frequency (D2); the vocabulary comes from the relational statistics (tfidf.vocabulary).
 
 
 @dataclass
@@ -49,12 +56,13 @@ class ModelConfig:
     min_instances_per_node: int = 1
     feature_subset: str = "auto"
     balanced: bool = False
+    sublinear_tf: bool = False
     method: str = "ml"
 
 
 BASE = ModelConfig()
 IMPROVED = ModelConfig(vocab_size=500, min_df=2.0, max_df=0.95, num_trees=150, max_depth=15,
-                       min_instances_per_node=2, feature_subset="sqrt", balanced=True, method="ml_improved")
+                       min_instances_per_node=2, feature_subset="sqrt", balanced=True, sublinear_tf=True, method="ml_improved")
 
 
 def _sql_str(s: str) -> str:
@@ -79,42 +87,90 @@ def keyword_sql(text_col: str) -> str:
             f"(SELECT *, {', '.join(hits)} FROM (SELECT *, {norm} AS _norm FROM __THIS__))")
 
 
-def feature_stages(cfg: ModelConfig, text_col: str = "descripcion"):
+class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Term counts to 1 + ln(count), 0 stays 0; built-in array functions, saved with its parameters."""
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        damped = F.transform(vector_to_array(self.getInputCol()), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
+        return df.withColumn(self.getOutputCol(), array_to_vector(damped))
+
+
+def term_stages(text_col: str = "descripcion"):
     return [
         SQLTransformer(statement=keyword_sql(text_col)),
         RegexTokenizer(inputCol="_norm", outputCol="_tok", pattern=TOKEN_RX, gaps=False, minTokenLength=2),
         NGram(n=2, inputCol="_tok", outputCol="_bi"),
         SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__"),
-        # Spark reads maxDF = 1.0 as "at most one document", so no bound -> leave it unset
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=cfg.vocab_size, minDF=cfg.min_df,
-                        **({"maxDF": cfg.max_df} if cfg.max_df is not None else {})),
     ]
 
 
-def stratified_split(df: DataFrame, label: str = "categoria", key: str = "descripcion",
-                     fraction: float = TEST_FRACTION, seed: int = SEED,
-                     n: int | None = None) -> tuple[DataFrame, DataFrame]:
+def fit_features(cfg: ModelConfig, train_df: DataFrame) -> PipelineModel:
+    """Text to [tf-idf, keyword scores].
+
+    The vocabulary and its document frequencies come from one aggregation
+    over the training terms: ``max_features`` most frequent terms within the
+    document frequency bounds, ties alphabetical, so a refit gives the same.
+    """
+    text = PipelineModel(stages=term_stages())
+    terms = text.transform(train_df.select("descripcion").withColumn("_doc", F.monotonically_increasing_id()))
+    tf = materialize(terms.select("_doc", F.explode("_terms").alias("term")).groupBy("_doc", "term")
+                          .agg(F.count(F.lit(1)).alias("tf")))
+    n = train_df.select(F.count(F.lit(1)).alias("n"))
+    rows = vocabulary(tf, n, cfg.vocab_size, cfg.min_df, cfg.max_df if cfg.max_df is not None else 1.0).collect()
+    rows = sorted(rows, key=lambda r: (-r["cf"], r["term"])) or []
+    idf = [math.log((1 + r["n"]) / (1 + r["df"])) + 1 for r in rows]
+    tf_col = "_tf"
+    stages = [*text.stages]
+    if rows:
+        stages.append(CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="_terms", outputCol="_tf"))
+        if cfg.sublinear_tf:
+            stages.append(SublinearTF(inputCol="_tf", outputCol="_stf"))
+            tf_col = "_stf"
+        stages += [ElementwiseProduct(scalingVec=DenseVector(idf), inputCol=tf_col, outputCol="_tfidf"),
+                   Normalizer(p=2.0, inputCol="_tfidf", outputCol="_tfidf_n")]
+    inputs = (["_tfidf_n"] if rows else []) + [f"kw_{i}" for i in range(len(WEIGHTED_RULES))]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
+    return PipelineModel(stages=stages)
+
+
+def stratified_split(df: DataFrame, label: str = "categoria", key: str = "row_id", fraction: float = TEST_FRACTION,
+                     seed: int = SEED, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """> 20 rows -> stratified hold-out, else train = test = all rows.
 
-    Up to ``EXACT_SPLIT_MAX_ROWS`` rows the hold-out is exact per class
-    (``round(fraction * n_class)`` rows by a seeded hash order); beyond
-    that a seeded hash threshold gives each class its share without
-    gathering a class into one task.
+    The hold-out is exact per class, ``round(fraction * n_class)`` rows, at
+    every size: the rows with the smallest hash of their ``key`` (where the
+    frame has no such column, of their place, so copies of a text fall on
+    either side).  Per class, a histogram of the hashes' leading bits gives
+    the bucket where the count is reached; whole buckets before it are test
+    rows, and only that bucket's rows are sorted.  No class meets in one task.
     """
     n = df.count() if n is None else n
     if n <= SPLIT_MIN_ROWS:
         return df, df
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    tagged = df.withColumn("_h", h)
-    if n <= EXACT_SPLIT_MAX_ROWS:
-        w = Window.partitionBy(label).orderBy("_h", key)
-        cnt = Window.partitionBy(label)
-        tagged = tagged.withColumn("_is_test", F.row_number().over(w) <=
-                                   F.round(F.count(F.lit(1)).over(cnt) * fraction))
-    else:
-        tagged = tagged.withColumn("_is_test", F.pmod(F.col("_h"), F.lit(10_000)) < fraction * 10_000)
-    tagged = tagged.drop("_h").cache()
-    return tagged.where(~F.col("_is_test")).drop("_is_test"), tagged.where("_is_test").drop("_is_test")
+    row = F.col(key) if key in df.columns else F.monotonically_increasing_id()
+    tagged = materialize(df.withColumn("_row", row).withColumn("_h", F.xxhash64("_row", F.lit(seed))))
+    tagged = tagged.withColumn("_b", F.pmod("_h", F.lit(SPLIT_BUCKETS)))
+    # SPLIT_BUCKETS rows at most per class
+    hist = tagged.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(label).orderBy("_b")
+    want = F.round(F.sum("_n").over(Window.partitionBy(label)) * fraction)
+    hist = hist.select(F.col(label).alias("_label"), "_b", "_n", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), want.alias("_want"))
+    edge = hist.where((F.col("_before") <= F.col("_want")) & (F.col("_before") + F.col("_n") > F.col("_want")))
+    edge = materialize(edge.select("_label", F.col("_b").alias("_edge"), (F.col("_want") - F.col("_before")).alias("_more")))
+    # a class whose every row is wanted has no edge
+    placed = tagged.join(edge, F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
+    sure = placed.where(F.col("_edge").isNull() | (F.col("_b") != F.col("_edge"))) \
+                 .withColumn("_is_test", F.col("_edge").isNull() | (F.col("_b") < F.col("_edge")))
+    last = placed.where(F.col("_b") == F.col("_edge"))
+    order = Window.partitionBy(label).orderBy("_h", "_row")
+    last = last.withColumn("_is_test", F.row_number().over(order) <= F.col("_more"))
+    split = materialize(sure.unionByName(last).drop("_row", "_h", "_b", "_edge", "_more"))
+    return split.where(~F.col("_is_test")).drop("_is_test"), split.where("_is_test").drop("_is_test")
 
 
 @dataclass
@@ -154,22 +210,14 @@ def train(df: DataFrame, target_column: str | None = None, cfg: ModelConfig = IM
     start = time.time()
     train_df, test_df = stratified_split(data, n=n)
     indexer = StringIndexer(inputCol="categoria", outputCol="label", stringOrderType="alphabetAsc").fit(train_df)
-    feats = Pipeline(stages=feature_stages(cfg)).fit(train_df)
-    tf_train = feats.transform(train_df)
-    idf = IDF(inputCol="_tf", outputCol="_unused").fit(tf_train)
-    scale = DenseVector([v + 1.0 for v in idf.idf.toArray()])
-    tail = [ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf"),
-            Normalizer(p=2.0, inputCol="_tfidf", outputCol="_tfidf_n"),
-            VectorAssembler(inputCols=["_tfidf_n"] + [f"kw_{i}" for i in range(len(WEIGHTED_RULES))],
-                            outputCol="features", handleInvalid="keep")]
-    prepared = PipelineModel(stages=[*feats.stages, *tail, indexer]).transform(train_df)
+    feats = fit_features(cfg, train_df)
+    # features are computed once; class counts and the forest read them
+    prepared = materialize(indexer.transform(feats.transform(train_df)).select("features", "label"))
     weight_col = None
-    if cfg.balanced:  # n / (k * n_class); the per-class counts are k rows (k = labels)
-        k = len(indexer.labels)
-        n_train = train_df.count()
-        per_class = prepared.groupBy("label").agg(
-            (F.lit(float(n_train)) / (F.lit(float(k)) * F.count(F.lit(1)))).alias("_w"))
-        prepared = prepared.join(F.broadcast(per_class), "label")
+    if cfg.balanced:  # n / (k * n_class)
+        n_train, k = prepared.count(), len(indexer.labels)
+        per_class = prepared.groupBy("label").agg((F.lit(float(n_train)) / (F.lit(float(k)) * F.count(F.lit(1)))).alias("_w"))
+        prepared = prepared.join(per_class, "label")
         weight_col = "_w"
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=cfg.num_trees,
                                 maxDepth=cfg.max_depth, minInstancesPerNode=cfg.min_instances_per_node,
@@ -177,7 +225,7 @@ def train(df: DataFrame, target_column: str | None = None, cfg: ModelConfig = IM
                                 **({"weightCol": weight_col} if weight_col else {}))
     forest = rf.fit(prepared)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
-    model = PipelineModel(stages=[*feats.stages, *tail, forest, back])
+    model = PipelineModel(stages=[*feats.stages, forest, back])
     elapsed = time.time() - start
     pred = model.transform(test_df)
     acc = pred.agg(F.avg((F.col("predicted") == F.col("categoria")).cast("double"))).first()[0]
@@ -194,8 +242,7 @@ def predict_with_confidence(model: PipelineModel | None, df: DataFrame, method:
     feature count; an untrained model falls back to the rules (C2/C3).
 
     With ``use_cache`` (C7) the forest scores each distinct cache key
-    (lower + strip of the text) once; the scores are broadcast back after a
-    row-count check, or computed per row beyond it.
+    (lower + strip of the text) once; otherwise every row.
     """
     if model is None:
         return categorize_weighted(df, text_col, method="rules_fallback" if method == "ml_improved" else "rules")
@@ -215,10 +262,8 @@ def predict_with_confidence(model: PipelineModel | None, df: DataFrame, method:
                              F.array_max(vector_to_array("probability")).alias("confidence"))
     base = df.drop(*[c for c in ("categoria", "confidence", "method", "feature_count") if c in df.columns])
     if use_cache and not df.isStreaming:
-        from tallyspark.functions.text import cache_key
-        from tallyspark.operators.rules import by_distinct
         # the scorer sees the key (lower + strip): what the cache would have scored
-        out = by_distinct(base, cache_key(F.col(text_col)), lambda d: score(d, "_key"), ["categoria", "confidence"])
+        out = score_distinct(base, cache_key(F.col(text_col)), lambda d: score(d, "_key"), ["categoria", "confidence"])
     else:
         out = score(base, text_col)
     return out.withColumn("method", F.lit(method)).withColumn("feature_count", F.lit(n_features))
@@ -252,9 +297,10 @@ def improve_with_user_data(seed: DataFrame, user: DataFrame, cfg: ModelConfig =
 
 
 def categorize_smart(df: DataFrame, model_path: str | None = None, cfg: ModelConfig = IMPROVED,
-                     target_column: str | None = None) -> tuple[DataFrame, float | None]:
+                     target_column: str | None = None, use_cache: bool = True) -> tuple[DataFrame, float | None]:
     """Load the model or train one on the data, then add
-    ``categoria``, ``confidence`` and ``method``."""
+    ``categoria``, ``confidence`` and ``method``; ``use_cache`` scores each
+    distinct text once (hits and misses: ``smart_cache_stats``)."""
     model = load_model(model_path) if model_path else None
     accuracy = None
     if model is None:
@@ -262,5 +308,17 @@ def categorize_smart(df: DataFrame, model_path: str | None = None, cfg: ModelCon
         model, accuracy = res.model, res.accuracy
         if model is not None and model_path:
             save_model(res, model_path)
-    out = predict_with_confidence(model, df.drop(*[c for c in ("categoria",) if c in df.columns]), cfg.method)
+    out = predict_with_confidence(model, df.drop(*[c for c in ("categoria",) if c in df.columns]), cfg.method,
+                                  use_cache=use_cache)
     return out.drop("feature_count") if "feature_count" in out.columns else out, accuracy
+
+
+def smart_cache_stats(df: DataFrame, use_cache: bool = True, text_col: str = "descripcion") -> DataFrame:
+    """Total predictions, cache size, hits, misses and hit rate of ``categorize_smart``;
+    without the cache nothing is held and nothing hit."""
+    stats = cache_stats(df, text_col)
+    if use_cache:
+        return stats
+    zero = F.lit(0).cast("bigint")
+    return stats.select("total_predictions", zero.alias("cache_size"), zero.alias("cache_hits"),
+                        F.col("total_predictions").alias("cache_misses"), F.lit(0.0).alias("hit_rate"))

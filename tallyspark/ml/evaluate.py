@@ -7,21 +7,23 @@ Zero divisions give 0, as in the reference report.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators.order import global_rank
+from tallyspark.session import materialize
+
 
 def label_codes(df: DataFrame, col: str = "categoria") -> DataFrame:
     """Alphabetical integer code per distinct label (0-based)."""
     labels = df.where(F.col(col).isNotNull()).select(F.col(col).alias("categoria")).distinct()
-    # the window runs over the distinct labels only
-    return labels.select("categoria", (F.dense_rank().over(Window.orderBy("categoria")) - 1).alias("code"))
+    return global_rank(labels, ["categoria"], "code").select("categoria", F.col("code").cast("int").alias("code"))
 
 
 def classification_report(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
     """Per class precision / recall / f1 / support + accuracy, macro and weighted avg."""
-    pairs = df.groupBy(F.col(true_col).cast("string").alias("t"), F.col(pred_col).cast("string").alias("p")) \
-              .agg(F.count(F.lit(1)).alias("n")).cache()
+    pairs = materialize(df.groupBy(F.col(true_col).cast("string").alias("t"), F.col(pred_col).cast("string").alias("p"))
+                          .agg(F.count(F.lit(1)).alias("n")))
     tp = pairs.where(F.col("t") == F.col("p")).select(F.col("t").alias("label"), F.col("n").alias("tp"))
     sup = pairs.groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("support"))
     pc = pairs.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("pred"))
@@ -33,7 +35,7 @@ def classification_report(df: DataFrame, true_col: str, pred_col: str) -> DataFr
     per = per.select("label", "support", "tp", prec.alias("precision"), rec.alias("recall"))
     per = per.withColumn("f1_score", F.when(F.col("precision") + F.col("recall") > 0,
                                             2 * F.col("precision") * F.col("recall")
-                                            / (F.col("precision") + F.col("recall"))).otherwise(0.0)).cache()
+                                            / (F.col("precision") + F.col("recall"))).otherwise(0.0))
     tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("k"),
                   F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"),
                   F.sum(F.col("precision") * F.col("support")).alias("wp"),

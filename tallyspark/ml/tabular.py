@@ -14,16 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.constants import SEED, TEST_FRACTION
+from tallyspark.session import materialize
 
 
 def _with_calendar(df: DataFrame) -> DataFrame:
-    return (df.withColumn("_dia_semana", F.weekday("fecha").cast("double"))
-              .withColumn("_mes", F.month("fecha").cast("double")))
+    # a missing date has codes of its own: weekday 7, month 0
+    return (df.withColumn("_dia_semana", F.coalesce(F.weekday("fecha"), F.lit(7)).cast("double"))
+              .withColumn("_mes", F.coalesce(F.month("fecha"), F.lit(0)).cast("double")))
 
 
 def train_tabular(df: DataFrame, label: str = "categoria", num_trees: int = 100,
                   seed: int = SEED) -> tuple[PipelineModel, float]:
-    data = _with_calendar(df.where(F.col(label).isNotNull() & F.col("fecha").isNotNull()))
+    data = materialize(_with_calendar(df.where(F.col(label).isNotNull())).select("row_id", label, "monto", "fecha", "_dia_semana", "_mes"))
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
     stages = [indexer,
               OneHotEncoder(inputCols=["_dia_semana", "_mes"], outputCols=["_dow_oh", "_mes_oh"],

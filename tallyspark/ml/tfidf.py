@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.session import materialize
+
 TOKEN_RX = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -28,11 +30,9 @@ def terms(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(doc_col).alias("doc"), F.explode(all_terms).alias("term"))
 
 
-def tfidf(docs: DataFrame, doc_col: str, text_col: str, max_features: int | None = 1000,
-          min_df: int = 1, max_df: float = 1.0, sublinear_tf: bool = False) -> DataFrame:
-    """(doc, term, weight) for every document and vocabulary term it contains."""
-    tf = terms(docs, doc_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n_docs = docs.select(F.count(F.lit(1)).alias("n"))  # one row
+def vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None, min_df: float, max_df: float) -> DataFrame:
+    """(term, df, cf, n): terms within the document frequency bounds, the ``max_features``
+    most frequent ones, ties alphabetical."""
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     stats = stats.crossJoin(F.broadcast(n_docs))
     stats = stats.where((F.col("df") >= min_df) &
@@ -40,6 +40,16 @@ def tfidf(docs: DataFrame, doc_col: str, text_col: str, max_features: int | None
                          if max_df < 1.0 else F.lit(True)))
     if max_features:
         stats = stats.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
+    return stats
+
+
+def tfidf(docs: DataFrame, doc_col: str, text_col: str, max_features: int | None = 1000,
+          min_df: int = 1, max_df: float = 1.0, sublinear_tf: bool = False) -> DataFrame:
+    """(doc, term, weight) for every document and vocabulary term it contains."""
+    # the counts are written once: statistics and weights both read them
+    tf = materialize(terms(docs, doc_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n_docs = docs.select(F.count(F.lit(1)).alias("n"))  # one row
+    stats = vocabulary(tf, n_docs, max_features, min_df, max_df)
     vocab = stats.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     # the vocabulary holds at most max_features rows
     j = tf.join(F.broadcast(vocab) if max_features else vocab, "term")
