@@ -7,28 +7,34 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyspark.constants import PRESET_NAMES
+
 # Accepted date layouts, tried in order.  Each is guarded by a regex
 # that requires a full date, so "2024" never becomes 2024-01-01.
 # ISO dates (optionally with a time) use Spark's built-in string-to-timestamp
 # cast, a hand-written parser; slash layouts are built from their parts.
 # Both yield wall-clock (timestamp_ntz) values without the session time zone.
 ISO_RX = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
-# layout regex with (year, month, day) groups, tried in order
-DATE_FORMATS: list[tuple[str, tuple[int, int, int]]] = [
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", (1, 2, 3)),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 2, 1)),
-]
+# layout regex with (year, month, day) groups
+YEAR_FIRST = (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", (1, 2, 3))
+MONTH_FIRST = (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 1, 2))
+DAY_FIRST = (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 2, 1))
 
 WEEKDAY_NAMES_FMT = "EEEE"
 MONTH_NAMES_FMT = "MMMM"
 
 
-def parse_date(c: Column, formats=None) -> Column:
-    """Text -> timestamp_ntz; unparseable (or impossible, 31/02) -> NULL."""
+def parse_date(c: Column, day_first: bool = False) -> Column:
+    """Text -> timestamp_ntz; unparseable (or impossible, 31/02) -> NULL.
+
+    ``05/01/2024`` is the 1st of May unless ``day_first``; a date that is
+    impossible in the chosen order is read in the other one.
+    """
+    formats = [YEAR_FIRST, *((DAY_FIRST, MONTH_FIRST) if day_first else (MONTH_FIRST, DAY_FIRST))]
     s = F.trim(c.cast("string"))
     iso = F.when(s.rlike(ISO_RX), s.try_cast("timestamp_ntz"))
     parsed = []
-    for rx, (y, m, d) in (formats or DATE_FORMATS):
+    for rx, (y, m, d) in formats:
         part = [F.regexp_extract(s, rx, g).try_cast("int") for g in (y, m, d)]
         parsed.append(F.when(s.rlike(rx), F.try_make_timestamp_ntz(
             part[0], part[1], part[2], F.lit(0), F.lit(0), F.lit(0))))
@@ -74,9 +80,6 @@ def date_range_label(start: Column, end: Column) -> Column:
 
 
 # Preset ranges relative to an "as of" instant (B15): name, start, end.
-PRESET_NAMES = ["Última semana", "Último mes", "Últimos 3 meses", "Último año",
-                "Este año", "Año pasado"]
-
 
 def preset_ranges(as_of: dt.datetime) -> list[tuple[str, dt.datetime, dt.datetime]]:
     d = dt.timedelta

@@ -16,6 +16,7 @@ from tallyspark.constants import (ADVICE_LARGE, ADVICE_MANY_CATEGORIES, LARGE_DA
                                   MANY_CATEGORIES, TOP_EXPENSES, TOP_PER_CATEGORY, TREND_DAYS)
 from tallyspark.functions.money import format_amount
 from tallyspark.operators.stats import exact_median
+from tallyspark.session import materialize
 
 MONEY = 2   # money results are rounded to cents (sums of doubles vary with order)
 RATIO = 6
@@ -95,21 +96,24 @@ def category_insights(df: DataFrame, top: int = TOP_PER_CATEGORY, cat: str = "ca
     Long form: one row per (category, rank).  The top-k window is
     filtered by rank, so Spark limits each map partition to ``top`` rows
     per category before the shuffle (``WindowGroupLimit``); the category
-    statistics are a partial/final hash aggregation.
+    statistics are a partial/final hash aggregation.  The four columns that
+    are needed are written once and read by both.  Rows without a category
+    form one of their own (NULL).
     """
+    df = materialize(df.select(cat, "descripcion", amount, order_col))
     stats = df.groupBy(cat).agg(F.sum(amount).alias("_total"), F.count(F.lit(1)).alias("transaction_count"),
                                 F.avg(amount).alias("_avg"))
-    grand = F.sum("_total").over(Window.partitionBy())
-    stats = stats.select(cat, _r(F.col("_total")).alias("total_amount"), "transaction_count",
+    grand = df.agg(F.sum(amount).alias("_grand"))  # one row
+    stats = stats.crossJoin(F.broadcast(grand)).select(F.col(cat).alias("categoria"), _r(F.col("_total")).alias("total_amount"), "transaction_count",
                          _r(F.col("_avg")).alias("average_amount"),
-                         _r(F.col("_total") / grand * 100, RATIO).alias("percentage_of_total"))
+                         _r(F.col("_total") / F.col("_grand") * 100, RATIO).alias("percentage_of_total"))
     w = Window.partitionBy(cat).orderBy(F.col(amount).desc(), F.col(order_col).asc())
     tops = (df.select(cat, "descripcion", amount, order_col)
               .withColumn("top_rank", F.row_number().over(w))
               .where(F.col("top_rank") <= top)
-              .select(cat, "top_rank", F.col("descripcion").alias("top_descripcion"),
+              .select(F.col(cat).alias("_cat"), "top_rank", F.col("descripcion").alias("top_descripcion"),
                       F.col(amount).alias("top_monto")))
-    return stats.join(tops, cat).withColumnRenamed(cat, "categoria")
+    return stats.join(tops, F.col("categoria").eqNullSafe(F.col("_cat"))).drop("_cat")
 
 
 def summary_stats(df: DataFrame, amount: str = "monto") -> DataFrame:

@@ -62,16 +62,17 @@ def confidence_band(c, high: float = CONF_HIGH, low: float = CONF_LOW):
 
 def apply_manual_category(df: DataFrame, manual_col: str = "categoria_manual",
                           auto: bool = True) -> DataFrame:
-    """A manual choice wins with confidence 1.0 (icon prefix removed);
+    """A manual choice wins with confidence 1.0 (an icon before it is
+    removed, a text without one is used as it is); blank or no choice:
     otherwise the weighted rules decide; with ``auto`` off every row is
     ``Sin categorizar`` with confidence 0.0."""
     if not auto:
         return df.withColumn("categoria_ia", F.lit(UNCATEGORISED)).withColumn("confianza_ia", F.lit(0.0))
     scored = categorize_weighted(df, out_col="_pred")
     manual = F.col(manual_col)
-    is_manual = manual.isNotNull() & (manual != F.lit(AUTO_CHOICE))
-    # "<icon> <category>": keep what follows the first blank
-    name = F.regexp_extract(manual, r"^\S+ (.*)$", 1)
+    is_manual = F.coalesce((F.trim(manual) != "") & (manual != F.lit(AUTO_CHOICE)), F.lit(False))
+    # "<icon> <category>": an icon holds no letter or digit
+    name = F.trim(F.regexp_replace(manual, r"^[^\p{L}\p{N}\s]+\s+", ""))
     return (scored.withColumn("categoria_ia", F.when(is_manual, name).otherwise(F.col("_pred")))
                   .withColumn("confianza_ia", F.when(is_manual, F.lit(1.0)).otherwise(F.col("confidence")))
                   .drop("_pred", "confidence", "method"))

@@ -13,9 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.constants import CONF_HIGH, CONF_LOW, TOP_REPORT
-
-VERSION = "2.0_mejorado"
+from tallyspark.constants import CONF_HIGH, CONF_LOW, REPORT_VERSION, TOP_REPORT, UNCATEGORISED
 
 
 def _flag(df: DataFrame, name: str):
@@ -46,15 +44,14 @@ def methods_section(df: DataFrame) -> DataFrame:
 
 def categories_section(df: DataFrame) -> DataFrame:
     """Per category: count, total, mean, mean confidence, anomalies and % share."""
-    from pyspark.sql import Window
     per = df.groupBy("categoria").agg(
         F.count(F.lit(1)).alias("cantidad"), F.sum("monto").alias("_t"),
         F.avg("monto").alias("_m"), F.avg("confidence").alias("_c"),
         F.count_if(_flag(df, "is_any_anomaly")).alias("anomalias"))
-    grand = F.sum("_t").over(Window.partitionBy())  # over the per-category rows only
-    return per.select("categoria", "cantidad", F.round("_t", 2).alias("total"), F.round("_m", 2).alias("promedio"),
+    grand = df.agg(F.sum("monto").alias("_grand"))  # one row
+    return per.crossJoin(F.broadcast(grand)).select("categoria", "cantidad", F.round("_t", 2).alias("total"), F.round("_m", 2).alias("promedio"),
                       F.round("_c", 6).alias("confianza_promedio"), "anomalias",
-                      F.round(F.col("_t") / grand * 100, 6).alias("porcentaje"))
+                      F.round(F.col("_t") / F.col("_grand") * 100, 6).alias("porcentaje"))
 
 
 def top_section(df: DataFrame, n: int = TOP_REPORT, order_col: str = "row_id") -> DataFrame:
@@ -65,12 +62,16 @@ def top_section(df: DataFrame, n: int = TOP_REPORT, order_col: str = "row_id") -
 
 def build_report(df: DataFrame, as_of: dt.datetime | None = None,
                  model_accuracy: float | None = None) -> DataFrame:
-    """One nested row (written as JSON by ``sinks.save_report_json``)."""
+    """One nested row (written as JSON by ``sinks.save_report_json``).
+
+    The sections read ``df`` several times: give it materialised.  A missing
+    category or method is reported under ``Sin categorizar``.
+    """
     stamp = (as_of or dt.datetime.now()).isoformat()
     s = summary_section(df)
-    m = methods_section(df).agg(F.map_from_entries(F.collect_list(F.struct("method", "count"))).alias("metodos"))
+    m = methods_section(df).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("method", F.lit(UNCATEGORISED)), "count"))).alias("metodos"))
     c = categories_section(df).agg(F.map_from_entries(F.collect_list(F.struct(
-        "categoria", F.struct("cantidad", "total", "promedio", "confianza_promedio", "anomalias",
+        F.coalesce("categoria", F.lit(UNCATEGORISED)), F.struct("cantidad", "total", "promedio", "confianza_promedio", "anomalias",
                               "porcentaje")))).alias("categorias_detalladas"))
     # sort key (amount desc, input order asc) rides in front and is dropped after sorting
     t = top_section(df).agg(F.sort_array(F.collect_list(F.struct(
@@ -79,7 +80,7 @@ def build_report(df: DataFrame, as_of: dt.datetime | None = None,
     t = t.select(F.transform("_top", lambda x: x.dropFields("_k1", "_k2")).alias("top_gastos"))
     one = s.crossJoin(m).crossJoin(c).crossJoin(t)
     return one.select(
-        F.lit(stamp).alias("fecha_reporte"), F.lit(VERSION).alias("version_sistema"),
+        F.lit(stamp).alias("fecha_reporte"), F.lit(REPORT_VERSION).alias("version_sistema"),
         F.struct("total_gastos", "monto_total",
                  F.struct(F.col("desde").cast("string").alias("desde"),
                           F.col("hasta").cast("string").alias("hasta")).alias("periodo"),
