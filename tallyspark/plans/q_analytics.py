@@ -81,8 +81,7 @@ st2 as (select categoria, round(t, 2) as total_amount, transaction_count, round(
 tp as (select categoria, top_rank, descripcion as top_descripcion, monto as top_monto from (
          select *, row_number() over (partition by categoria order by monto desc, row_id) as top_rank from cat) z
        where top_rank <= 3)
-select st2.*, tp.top_rank, tp.top_descripcion, tp.top_monto from st2 join tp using (categoria)""",
-          headline=True)
+select st2.*, tp.top_rank, tp.top_descripcion, tp.top_monto from st2 join tp using (categoria)""")
 def e8(spark, sf):
     return A.category_insights(categorized(spark, sf))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import anomaly as N
 from tallyspark.plans.oracle import CAT_BASE, with_
 from tallyspark.plans.registry import register
-from tallyspark.plans.views import categorized, load
+from tallyspark.plans.views import categorized_once, flagged_once, load
 
 FLAGS = with_(*CAT_BASE) + """
 , g as (select avg(monto) as m, stddev_samp(monto) as s from cat),
@@ -21,14 +21,9 @@ flags as (
 """
 
 
-def _flags(spark, sf):
-    return N.any_anomaly(N.zscore_by_category(N.zscore_global(categorized(spark, sf))))
-
-
-@register("f1_global_zscore", FLAGS + "select row_id, round(z_score, 6) as z_score, is_anomaly from flags",
-          headline=True)
+@register("f1_global_zscore", FLAGS + "select row_id, round(z_score, 6) as z_score, is_anomaly from flags")
 def f1(spark, sf):
-    return N.zscore_global(categorized(spark, sf)).select(
+    return N.zscore_global(categorized_once(spark, sf)).select(
         "row_id", F.round("z_score", 6).alias("z_score"), "is_anomaly")
 
 
@@ -41,10 +36,9 @@ def f1_events(spark, sf):
     return out.select("event_id", F.round("z_score", 6).alias("z_score"), "is_anomaly")
 
 
-@register("f3_category_zscore", FLAGS + "select row_id, categoria, is_category_anomaly from flags",
-          headline=True)
+@register("f3_category_zscore", FLAGS + "select row_id, categoria, is_category_anomaly from flags")
 def f3(spark, sf):
-    return N.zscore_by_category(categorized(spark, sf)).select("row_id", "categoria", "is_category_anomaly")
+    return N.zscore_by_category(categorized_once(spark, sf)).select("row_id", "categoria", "is_category_anomaly")
 
 
 @register("f3_events_by_type", """
@@ -59,7 +53,7 @@ def f3_events(spark, sf):
 @register("f4_any_anomaly", FLAGS + """
 select row_id, is_anomaly, is_category_anomaly, is_anomaly or is_category_anomaly as is_any_anomaly from flags""")
 def f4(spark, sf):
-    return _flags(spark, sf).select("row_id", "is_anomaly", "is_category_anomaly", "is_any_anomaly")
+    return flagged_once(spark, sf).select("row_id", "is_anomaly", "is_category_anomaly", "is_any_anomaly")
 
 
 @register("f5_anomaly_summary", FLAGS + """
@@ -68,10 +62,10 @@ select count(*) filter (where is_anomaly or is_category_anomaly) as total_detect
   count(*) filter (where is_category_anomaly) as category_anomalies,
   count(*) filter (where is_anomaly) as statistical_anomalies from flags""")
 def f5(spark, sf):
-    return N.anomaly_summary(_flags(spark, sf))
+    return N.anomaly_summary(flagged_once(spark, sf))
 
 
 @register("f5_anomaly_listing", FLAGS + """
 select row_id, descripcion, monto, categoria from flags where is_anomaly or is_category_anomaly""")
 def f5_list(spark, sf):
-    return _flags(spark, sf).where("is_any_anomaly").select("row_id", "descripcion", "monto", "categoria")
+    return flagged_once(spark, sf).where("is_any_anomaly").select("row_id", "descripcion", "monto", "categoria")

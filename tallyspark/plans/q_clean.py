@@ -33,6 +33,25 @@ def b3(spark, sf):
     return expenses_raw(spark, sf).select("row_id", parse_date(F.col("fecha")).alias("fecha"))
 
 
+@register("b3_slash_dates", """
+select o_orderkey as row_id,
+  case when o_orderkey % 3 = 1 and day(o_orderdate) <= 12
+       then make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0.0)
+       else cast(o_orderdate as timestamp) end as fecha,
+  case when o_orderkey % 3 = 0 and day(o_orderdate) <= 12
+       then make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0.0)
+       else cast(o_orderdate as timestamp) end as fecha_dia_primero
+from orders""")
+def b3_slash(spark, sf):
+    """Month first, day first and year first texts, read in both orders."""
+    o = load(spark, sf, "orders")
+    k = F.col("o_orderkey") % 3
+    text = (F.when(k == 0, F.date_format("o_orderdate", "M/d/yyyy")).when(k == 1, F.date_format("o_orderdate", "dd/MM/yyyy"))
+             .otherwise(F.date_format("o_orderdate", "yyyy/MM/dd")))
+    return o.select(F.col("o_orderkey").alias("row_id"), parse_date(text).alias("fecha"),
+                    parse_date(text, day_first=True).alias("fecha_dia_primero"))
+
+
 @register("b4_valid_rows", with_(*BASE[:3]) + "select row_id, fecha, descripcion, monto from valid")
 def b4(spark, sf):
     df = expenses_raw(spark, sf)
@@ -40,7 +59,7 @@ def b4(spark, sf):
     return C.drop_invalid(df).select("row_id", "fecha", "descripcion", "monto")
 
 
-@register("b5_clean_expenses", with_(*BASE) + "select * from expenses", headline=False)
+@register("b5_clean_expenses", with_(*BASE) + "select * from expenses")
 def b5(spark, sf):
     return expenses(spark, sf)
 

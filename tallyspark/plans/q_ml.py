@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.text import normalize_for_matching
 from tallyspark.ml import categorizer as M
-from tallyspark.ml.evaluate import classification_report, label_codes
+from tallyspark.ml.evaluate import classification_report, evaluation_triples, label_codes
 from tallyspark.ml.tabular import predict_tabular, train_tabular
 from tallyspark.ml.tfidf import tfidf
 from tallyspark.operators.iforest import isolation_forest_flags
-from tallyspark.operators.rules import categorize_first_match
+from tallyspark.constants import PSEUDO_LABEL_MIN_SCORE
+from tallyspark.operators.rules import categorize_first_match, rule_score
 from tallyspark.plans.oracle import BASE, CAT_BASE, FRULES, first_match_cte, norm_sql, with_
 from tallyspark.plans.registry import register
-from tallyspark.plans.views import categorized, expenses, load
+from tallyspark.plans.views import categorized, categorized_once, expenses, load
+from tallyspark.session import materialize
 from tallyspark.sources.ingest import seed_training_set
 
 TOK = r"'[\p{L}\p{N}_]{2,}'"
@@ -121,14 +123,17 @@ def d3(spark, sf):
 @register("d5_stratified_split", with_(*CAT_BASE) + """
 , pl as (select e.descripcion, s.categoria from expenses e join scored s on e.descripcion = s.t where s.s10 > 10),
 c as (select categoria, count(*) as n from pl group by categoria)
-select categoria, 'test' as parte, cast(round(0.2 * n) as bigint) as n from c
-union all select categoria, 'train', n - cast(round(0.2 * n) as bigint) from c""")
+select categoria, 'test' as parte, cast(round(0.2 * n) as bigint) as n, 0::bigint as en_ambas from c
+union all select categoria, 'train', n - cast(round(0.2 * n) as bigint), 0::bigint from c""")
 def d5(spark, sf):
-    from tallyspark.operators.rules import pseudo_labels
-    data = pseudo_labels(expenses(spark, sf))
+    """Sizes per category and side (every category has test rows), and rows that are on both sides."""
+    scored = rule_score(expenses(spark, sf))
+    data = scored.where(F.col("score") > PSEUDO_LABEL_MIN_SCORE).select("row_id", "descripcion", "categoria")
     train, test = M.stratified_split(data)
-    return (train.withColumn("parte", F.lit("train")).unionByName(test.withColumn("parte", F.lit("test")))
-                 .groupBy("categoria", "parte").agg(F.count(F.lit(1)).alias("n")))
+    sides = train.withColumn("parte", F.lit("train")).unionByName(test.withColumn("parte", F.lit("test")))
+    twice = sides.groupBy("row_id").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    return (sides.join(twice, "row_id", "left").groupBy("categoria", "parte")
+                 .agg(F.count(F.lit(1)).alias("n"), F.count("_m").alias("en_ambas")))
 
 
 @register("d9_training_summary")
@@ -154,7 +159,7 @@ def d13(spark, sf):
 
 @register("d15_tabular_classifier")
 def d15(spark, sf):
-    df = categorized(spark, sf).where(F.col("fecha").isNotNull())
+    df = categorized_once(spark, sf)
     model, acc = train_tabular(df)
     return predict_tabular(model, df).select("row_id", "categoria", "prediccion")
 
@@ -177,3 +182,98 @@ def f2_events(spark, sf):
 def f2(spark, sf):
     out = isolation_forest_flags(expenses(spark, sf))
     return out.select("row_id", F.round("iso_score", 6).alias("iso_score"), "is_ml_anomaly")
+
+
+# ---- what can be compared of the learned operators
+
+VOCAB = f"""
+, pl as (select e.descripcion, s.categoria from expenses e join scored s on e.descripcion = s.t where s.s10 > 10),
+toks as (select row_number() over () as doc, regexp_extract_all({norm_sql('descripcion')}, {TOK}) as t from pl),
+terms as (
+  select doc, unnest(list_concat(t, case when len(t) > 1 then
+    list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) else [] end)) as term from toks),
+st as (select term, count(distinct doc) as df from terms group by term),
+vocab as (select term from st where df >= 2 and df <= floor(0.95 * (select count(*) from pl)) limit 500)"""
+
+
+@register("d9_training_checks", with_(*CAT_BASE) + VOCAB + """
+select 'trained_improved' as status, count(*) as samples, string_agg(distinct categoria, ',' order by categoria) as categorias,
+  cast((select count(*) from vocab) + 8 as integer) as features, true as aprende from pl""")
+def d9_checks(spark, sf):
+    """Samples, categories and feature count; the hold-out accuracy is above 0.9."""
+    r = M.train(materialize(expenses(spark, sf)), cfg=M.IMPROVED)
+    return r.summary(spark).select("status", "samples", F.array_join("categories", ",").alias("categorias"), "features", (F.col("accuracy") > 0.9).alias("aprende"))
+
+
+@register("d3_feature_sizes", with_(*CAT_BASE) + VOCAB.replace("df >= 2 and df <= floor(0.95 * (select count(*) from pl)) limit 500", "true limit 1000") + """
+select count(*) as filas, cast((select count(*) from vocab) + 8 as integer) as menor, cast((select count(*) from vocab) + 8 as integer) as mayor from expenses""")
+def d3_sizes(spark, sf):
+    return d3(spark, sf).agg(F.count(F.lit(1)).alias("filas"), F.min("n_features").alias("menor"), F.max("n_features").alias("mayor"))
+
+
+CHECKS = with_(*BASE) + """
+select count(*) as filas, 0::bigint as sin_categoria, 0::bigint as fuera_de_rango, true as de_acuerdo, 'ml_improved' as method from expenses"""
+
+
+def _checks(spark, sf, out):
+    """Rows, missing categories, confidences out of (0, 1], agreement with the rules on at least 0.8."""
+    rules = categorized(spark, sf).select("row_id", F.col("categoria").alias("regla"))
+    c = F.col("confidence")
+    same = F.avg((F.col("categoria") == F.col("regla")).cast("int"))
+    return out.join(rules, "row_id").agg(
+        F.count(F.lit(1)).alias("filas"), F.count_if(F.col("categoria").isNull()).alias("sin_categoria"),
+        F.count_if(~((c > 0) & (c <= 1.0000001))).alias("fuera_de_rango"), (same >= 0.8).alias("de_acuerdo"), F.max("method").alias("method"))
+
+
+@register("d11_prediction_checks", CHECKS)
+def d11_checks(spark, sf):
+    return _checks(spark, sf, d11(spark, sf))
+
+
+@register("d16_smart_checks", CHECKS)
+def d16_checks(spark, sf):
+    return _checks(spark, sf, d16(spark, sf))
+
+
+@register("d16_cache_stats", with_(*BASE) + """
+select count(*) as total_predictions, count(distinct lower(trim(descripcion))) as cache_size,
+  count(*) - count(distinct lower(trim(descripcion))) as cache_hits,
+  count(distinct lower(trim(descripcion))) as cache_misses,
+  round(1 - count(distinct lower(trim(descripcion))) / count(*), 6) as hit_rate from expenses""")
+def d16_stats(spark, sf):
+    return M.smart_cache_stats(expenses(spark, sf))
+
+
+@register("d12_evaluation_listing", with_(*CAT_BASE, FRULES, first_match_cte("expenses", name="fmx")) + """
+select c.descripcion, f.categoria as "real", c.categoria as predicha from cat c join fmx f on c.descripcion = f.t""")
+def d12_listing(spark, sf):
+    df = categorize_first_match(categorized(spark, sf).withColumnRenamed("categoria", "predicha"), "real")
+    return evaluation_triples(df, "descripcion", "real", "predicha")
+
+
+@register("d2_pipeline_weights", with_(*BASE) + f"""
+, d as (select row_id as doc, {norm_sql('descripcion')} as txt from expenses)"""
+          + _tfidf_sql("d", 500, min_df=2, max_df=0.95, sublinear=True))
+def d2_pipeline(spark, sf):
+    """The fitted feature pipeline's weights equal the relational ones."""
+    from pyspark.ml.feature import CountVectorizerModel
+    from pyspark.ml.functions import vector_to_array
+    df = materialize(expenses(spark, sf).select("row_id", "descripcion"))
+    feats = M.fit_features(M.IMPROVED, df)
+    words = next(s.vocabulary for s in feats.stages if isinstance(s, CountVectorizerModel))  # 500 at most
+    at = feats.transform(df).select(F.col("row_id").alias("doc"), F.posexplode(vector_to_array("_tfidf_n")).alias("i", "w")).where("w > 0")
+    return at.select("doc", F.element_at(F.array(*map(F.lit, words)), F.col("i") + 1).alias("term"), F.round("w", 6).alias("weight"))
+
+
+@register("d15_tabular_checks", with_(*BASE) + "select count(*) as filas, 0::bigint as sin_prediccion from expenses")
+def d15_checks(spark, sf):
+    return d15(spark, sf).agg(F.count(F.lit(1)).alias("filas"), F.count_if(F.col("prediccion").isNull()).alias("sin_prediccion"))
+
+
+@register("f2_events_checks", "select count(*) as filas, 0::bigint as fuera_de_rango, true as parte_marcada from events")
+def f2_checks(spark, sf):
+    """Every row scored; at most a tenth flagged, and not far fewer."""
+    s = F.col("iso_score")
+    share = F.avg(F.col("is_ml_anomaly").cast("int"))
+    return f2_events(spark, sf).agg(F.count(F.lit(1)).alias("filas"), F.count_if(~((s > 0) & (s < 1))).alias("fuera_de_rango"),
+                                    ((share <= 0.1) & (share > 0.08)).alias("parte_marcada"))

@@ -125,17 +125,19 @@ def b16(spark, sf):
 
 
 def _manual_spark(df):
-    """Every fifth transaction carries a manual choice (icon + first-match category)."""
+    """Manual choices: icon + first-match category, the category alone, blank, and none."""
     from tallyspark.operators.rules import categorize_first_match
     icons = F.create_map(*[x for c, _, i in CATEGORY_STYLE for x in (F.lit(c), F.lit(i))])
     fm = F.col("_fm")
-    manual = F.when(F.col("row_id") % 5 == 0, F.concat(icons[fm], F.lit(" "), fm)).otherwise(F.lit(AUTO_CHOICE))
+    k = F.col("row_id") % 5
+    manual = (F.when(k == 0, F.concat(icons[fm], F.lit(" "), fm)).when(k == 1, fm).when(k == 2, F.lit("  "))
+               .when(k == 3, F.lit(AUTO_CHOICE)))
     return categorize_first_match(df, "_fm").withColumn("categoria_manual", manual).drop("_fm")
 
 
 @register("b17_manual_override", with_(*CAT_BASE, FRULES, first_match_cte("expenses", name="fmx")) + """
-select row_id, case when row_id % 5 = 0 then fm.categoria else cat.categoria end as categoria_ia,
-  round(case when row_id % 5 = 0 then 1.0 else confidence end, 6) as confianza_ia
+select row_id, case when row_id % 5 <= 1 then fm.categoria else cat.categoria end as categoria_ia,
+  round(case when row_id % 5 <= 1 then 1.0 else confidence end, 6) as confianza_ia
 from cat join fmx fm on cat.descripcion = fm.t""")
 def b17(spark, sf):
     out = P.apply_manual_category(_manual_spark(expenses(spark, sf)))

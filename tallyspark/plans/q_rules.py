@@ -18,7 +18,7 @@ def c1(spark, sf):
     return R.categorize_first_match(expenses(spark, sf)).select("row_id", "categoria")
 
 
-@register("c2_weighted", with_(*CAT_BASE) + "select row_id, categoria from cat", headline=True)
+@register("c2_weighted", with_(*CAT_BASE) + "select row_id, categoria from cat")
 def c2(spark, sf):
     return R.categorize_weighted(expenses(spark, sf), with_confidence=False).select("row_id", "categoria")
 

@@ -8,18 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-HEADLINE: list[str] = []
 
 
-def register(name: str, sql: str | None = None, headline: bool = False):
+def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
-        if headline:
-            HEADLINE.append(name)
         return fn
     return deco
 
