@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.arrow import SPACE_BYTES, runs, small_batches, utf8
+from tallyspark.llm.byid import among
 from tallyspark.llm.components import components
 from tallyspark.llm.work import Workspace
 
@@ -336,7 +337,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = candidate_stars(shared).join(signed, "rep").join(signed.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sig").alias("hub_sig")), "hub")
     pairs = work.save(pairs.where((100 * F.least("n_shingles", "hub_n") >= PERCENT * F.greatest("n_shingles", "hub_n"))
                                   & (estimate(F.col("sig"), F.col("hub_sig")) >= PERCENT / 100 - MARGIN)).select("hub", "rep"), "pairs")
-    texts = work.save(source.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
+    wanted = work.save(shared.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    texts = work.save(among(source, wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"), "texts")
     links = work.save(links_of(star_cells(pairs), texts), "links")
     first = components(work, links, "x", "y")
     labels = work.save(shared.select("rep").distinct().join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")), "labels")
