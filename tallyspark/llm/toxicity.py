@@ -9,8 +9,8 @@ The labels hold one category, ``toxic``.  The chain's earlier categories are def
 ``heavy`` (such words make up a high share of a toxic text); the last category is ``toxic`` itself.
 
 Features are hashed words, word beginnings of 4 and 5 characters, present or not, over whole texts.
-Training uses at most about TRAIN_ROWS labelled rows (a documented bound, an even sample by a hash of
-the id); scoring reads every document in Arrow batches with the weights broadcast
+Training uses at most about TRAIN_ROWS labelled rows and TRAIN_CHARS characters of them (documented
+bounds; an even sample of whole texts by a hash of the id); scoring reads every document in Arrow batches with the weights broadcast
 (3 x 2**FEATURE_BITS numbers).
 
 Defined results: null and wordless texts have no features and get the chain's value for no evidence,
@@ -35,6 +35,7 @@ CATEGORIES = ("marked", "heavy", "toxic")
 FEATURE_BITS = 18
 PREFIXES = (4, 5)
 TRAIN_ROWS = 12_000
+TRAIN_CHARS = 100_000_000
 FOLDS = 3
 STEPS = 300
 MIN_DOCS, CHI_SQUARED, MAX_FEATURES, SMOOTH = 3, 25.0, 1 << 14, 10.0
@@ -202,12 +203,14 @@ def cut_point(p: np.ndarray, toxic: np.ndarray) -> float:
     return float((p[order[k]] + after) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> Chain | None:
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    n = known.count()
-    if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+    known = docs.select("doc_id", "text").join(known, "doc_id")
+    n, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    share = min(1.0, max_rows / max(n, 1), max_chars / max(chars, 1))
+    if share < 1:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * share))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Cha
             lists = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([*found, np.zeros(0, np.int32)]), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), lists], ["doc_id", "toxic", "ids"])
 
-    rows = docs.select("doc_id", "text").join(known, "doc_id").mapInArrow(extract, "doc_id bigint, toxic int, ids array<int>").toArrow().sort_by("doc_id")
+    rows = known.select("doc_id", "text", "toxic").mapInArrow(extract, "doc_id bigint, toxic int, ids array<int>").toArrow().sort_by("doc_id")
     ids = rows.column("ids").combine_chunks()
     sizes = np.array([len(x) for x in ids])
     return fit_chain(ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(int), rows.column("toxic").to_numpy())
