@@ -40,7 +40,7 @@ for _tags, _closed, _borders in (
 ):
     for _tag in _tags.split():
         CLOSES[_tag] = frozenset(_closed.split()), frozenset(_borders.split())
-CLOSES_P = BLOCK - {"html", "body", "tr", "caption", "thead", "tbody", "tfoot", "legend", "li", "dt", "dd"} | {"li", "dt", "dd"}
+CLOSES_P = BLOCK - {"html", "body", "tr", "caption", "thead", "tbody", "tfoot", "legend"}
 P_BORDERS = frozenset("td th table caption button object html body".split())
 END_BORDERS = frozenset("table td th".split())  # an end tag for anything but table parts doesn't reach beyond these
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())

@@ -22,7 +22,8 @@ Tasks hold one block (BLOCK signatures or CELL sets) at a time; big buckets are
 
 Defined results: null and empty texts have an empty set, n_shingles 0, are linked with nothing and
 kept; a row without a doc_id is linked with nothing, has a null component_id and is kept; repeated
-rows get equal results, one row each; an empty table gives an empty table; other columns are ignored.
+rows get equal results, one row each; rows that share a doc_id but not the text are one node with the
+links of all its texts; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
