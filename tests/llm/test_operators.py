@@ -273,6 +273,25 @@ def test_minhash_odd_rows(spark, odd):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_components_match_union_find(spark):
+    from tallyspark.llm.components import components
+    from tallyspark.llm.work import Workspace
+    rng = random.Random(8)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2001 + k) for k in range(200)]
+    parent = {x: x for e in links for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    got = dict(tuple(r) for r in components(Workspace(spark, "test"), spark.createDataFrame(links, "x bigint, y bigint"), "x", "y").collect())
+    assert got == {x: top(x) for a, b in links if a != b for x in (a, b)}
+
+
 # ---- packing
 
 
@@ -524,3 +543,19 @@ def test_secret_odd_rows(spark, odd):
     assert len(rows) == 10 and all(r.spans == "" for r in rows)
     assert secretscan.scan_secrets(empty(spark)).count() == 0
     assert secretscan.masked("a secret=abcdef12 b", [(2, 17, 0), (9, 17, 3)]) == "a [SECRET] b"
+
+
+def test_rows_by_id(spark, monkeypatch):
+    from tallyspark.llm import byid
+    docs = spark.createDataFrame([(k % 900, f"t{k}", "x") for k in range(1000)] + [(None, "none", "x")], "doc_id bigint, text string, _page string").drop("_page")
+    ids = spark.range(0, 900, 7).select(F.col("id").alias("doc_id"))
+    want = {(k % 900, f"t{k}") for k in range(1000) if (k % 900) % 7 == 0}
+    for most in (byid.MAX_BITS, byid.PAGE):
+        monkeypatch.setattr(byid, "MAX_BITS", most)
+        assert {tuple(r) for r in byid.among(docs, ids, "doc_id").collect()} == want
+        rest = byid.not_among(docs, ids, "doc_id").collect()
+        assert len(rest) == 1001 - len(want) and {tuple(r) for r in rest} & want == set() and any(r.doc_id is None for r in rest)
+    many = spark.range(200_000).select(F.col("id").alias("doc_id"))
+    assert byid.among(docs, many, "doc_id").count() == 1000
+    maybe, rest = byid.split(docs, ids, "doc_id")
+    assert maybe.count() < 250 and maybe.count() + rest.count() == 1001
