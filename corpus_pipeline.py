@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontam, langid, minhash, packing, secretscan
+from tallyspark.llm.byid import not_among
 from tallyspark.llm.work import Workspace
 from tallyspark.sources.tables import load
 
@@ -34,10 +35,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs)
-    kept = docs.join(found.where("kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    kept = not_among(docs, found.where("not kept").select("doc_id").distinct(), "doc_id")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return kept.select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
