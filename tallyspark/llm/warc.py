@@ -30,7 +30,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.arrow import small_batches
+from tallyspark.llm.arrow import once, small_batches
+from tallyspark.llm.byid import split
 from tallyspark.llm.work import Workspace, remove
 
 MIN_REVISIT = 100
@@ -173,18 +174,19 @@ def read_records(read: Callable[[int], bytes], name: str, with_payload: bool = F
                "payload_bytes": size, "payload_digest": digest, "digest_ok": ok, "payload": b"".join(kept) if with_payload and not revisit else None}
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def plan_records(pages: DataFrame, work: Workspace, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """page_id, url, payload, revisit, refers_to: which rows repeat a payload.
 
-    Only digests of repeated payloads are joined back; Spark splits a hot digest or broadcasts the
-    digests if their size allows it.
+    Only digests of repeated payloads are joined back, and only rows whose digest may be among
+    them (by a bitmap of bounded size) go through that join; Spark splits a hot digest.
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     digest = F.when(F.octet_length("payload") >= MIN_REVISIT, F.sha2("payload", 256))
     first = rows.select("page_id", digest.alias("_digest")).where("_digest is not null").groupBy("_digest")
-    first = first.agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    found = rows.withColumn("_digest", digest).join(first, "_digest", "left")
+    first = work.save(first.agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"), "repeated")
+    maybe, rest = split(once(rows, _digest=digest), first.select("_digest"), "_digest")
+    found = maybe.join(first, "_digest", "left").unionByName(rest.withColumn("first", F.lit(None).cast("bigint")))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return found.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -248,7 +250,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark: SparkSession = pages.sparkSession
     work = Workspace(spark, "warc")
     folder = f"{work.root}/archives"
-    manifest = work.save(write_warc(plan_records(pages), folder), "manifest")
+    manifest = work.save(write_warc(plan_records(pages, work), folder), "manifest")
     page = lambda c: F.regexp_extract(c, r"(-?\d+)>$", 1).try_cast("bigint")
     found = read_warc(manifest, folder).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "digest_ok")
     out = work.save(found, "records")
