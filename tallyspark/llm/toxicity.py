@@ -206,11 +206,13 @@ def cut_point(p: np.ndarray, toxic: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> Chain | None:
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = docs.select("doc_id", "text").join(known, "doc_id")
-    n, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    share = min(1.0, max_rows / max(n, 1), max_chars / max(chars, 1))
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * share))
+    n = known.count()
+    if n > max_rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+    known = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about max_rows small rows at most
+    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > max_chars:
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * max_chars / chars))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
