@@ -1,7 +1,8 @@
 """HTML to text with layout.
 
 A tokenizer splits markup into tags, text, comments and raw-text elements; a tree builder closes
-implied tags (paragraphs, list items, table parts, options) and ignores end tags that match nothing;
+implied tags (the head, paragraphs, list items, table parts, options) and ignores end tags that match
+nothing; inside svg and math ``/>`` closes an element, and HTML tags like ``<p>`` end them;
 visibility rules drop elements that are never shown and those hidden by attribute or inline style;
 a renderer walks the tree without recursion and emits all visible text: blocks on lines of their own
 with blank lines around paragraphs, headings and the like, lists with bullets or numbers and
@@ -29,9 +30,9 @@ from tallyspark.llm.arrow import small_batches, strings
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = set("head script style template noscript iframe object canvas svg math datalist dialog title meta link base xmp noembed noframes audio video map".split())
+HIDDEN = set("head script style template noscript iframe object canvas svg math datalist title meta link base xmp noembed noframes audio video".split())
 PARAGRAPH = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
-BLOCK = PARAGRAPH | set("html body div section article aside nav header footer main address form fieldset li dt dd figcaption details summary hgroup menu center legend hr tr caption thead tbody tfoot".split())
+BLOCK = PARAGRAPH | set("html body div section article aside nav header footer main address form fieldset li dt dd figcaption details summary hgroup menu center dialog legend hr tr caption thead tbody tfoot".split())
 # a start tag on the left closes an open element on the right, up to one of the borders
 CLOSES: dict[str, tuple[frozenset, frozenset]] = {}
 for _tags, _closed, _borders in (
@@ -44,24 +45,40 @@ CLOSES_P = BLOCK - {"html", "body", "tr", "caption", "thead", "tbody", "tfoot",
 P_BORDERS = frozenset("td th table caption button object html body".split())
 END_BORDERS = frozenset("table td th".split())  # an end tag for anything but table parts doesn't reach beyond these
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())  # any other start tag ends an open head
+# elements inside svg and math that hold HTML again, and HTML tags that end svg and math
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+# input types whose value is shown as something else than text, and those that show a placeholder
+NO_VALUE = frozenset("hidden password checkbox radio file image range color".split())
+NO_PLACEHOLDER = (NO_VALUE - {"password"}) | {"submit", "button", "reset", "date", "time", "datetime-local", "month", "week"}
 
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*>?|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*>?"
                  r"|(?P<start>[a-zA-Z][^\s/>]*)(?P<attributes>(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>?)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 BLANK = re.compile(r"[ \t\n\r\f]+")
+QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "foreign")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], foreign: bool = False):
+        self.tag, self.attributes, self.children, self.foreign = tag, attributes, [], foreign
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, value, attributes): text, start, end."""
+def self_closed(raw: str) -> bool:
+    """Does the tag end in ``/>``?  A slash at the end of a value without quotes is a part of the value."""
+    if not raw.endswith("/"):
+        return False
+    words = QUOTED.sub("", raw).split()
+    return not (words[-1].partition("=")[2] or (len(words) > 1 and words[-2].endswith("=")))
+
+
+def tokens(page: str, tree: Builder) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, attributes): text, start, end.  The tree has taken a token when the next is asked for."""
     at = 0
     while at < len(page):
         m = TAG.search(page, at)
@@ -77,8 +94,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "end", m["end"].lower(), ""
         elif m["start"]:
             tag = m["start"].lower()
+            raw = tag in RAW and not tree.foreign()
             yield "start", tag, m["attributes"]
-            if tag in RAW:
+            if raw:
                 end = RAW_END[tag].search(page, at)
                 yield "text", page[at:end.start() if end else len(page)], ""
                 yield "end", tag, ""
@@ -91,6 +109,11 @@ class Builder:
     def __init__(self):
         self.root = Element("#root", {})
         self.stack, self.open = [self.root], Counter()
+        self.headed = False  # has anything come that a head can't follow?
+
+    def foreign(self) -> bool:
+        """Is the next element one of svg or math, not of HTML?"""
+        return self.stack[-1].foreign and self.stack[-1].tag not in HTML_INSIDE
 
     def push(self, element: Element) -> None:
         self.stack[-1].children.append(element)
@@ -103,6 +126,23 @@ class Builder:
             self.open[e.tag] -= 1
         del self.stack[k:]
 
+    def leave_head(self) -> None:
+        if self.stack[-1].tag == "head":
+            self.cut(len(self.stack) - 1)
+
+    def leave_foreign(self) -> None:
+        k = len(self.stack)
+        while self.stack[k - 1].foreign and self.stack[k - 1].tag not in HTML_INSIDE:
+            k -= 1
+        self.cut(k)
+
+    def text(self, value: str) -> None:
+        if not self.headed or self.stack[-1].tag == "head":
+            if value.strip(" \t\n\r\f"):
+                self.headed = True
+                self.leave_head()
+        self.stack[-1].children.append(value)
+
     def has_p(self) -> bool:
         """Is a paragraph open that a block may close?"""
         if self.open["p"]:
@@ -122,8 +162,22 @@ class Builder:
                     return None
 
     def start(self, tag: str, raw: str) -> None:
-        if tag in ("html", "body") and self.open[tag]:
+        if self.foreign() and (tag in ENDS_FOREIGN or (tag == "font" and {"color", "face", "size"} & attributes_of(raw).keys())):
+            self.leave_foreign()
+        if self.foreign() or tag in ("svg", "math"):
+            self.headed = True
+            self.leave_head()
+            self.push(Element(tag, attributes_of(raw), True))
+            if self_closed(raw):
+                self.close(tag)
+            return
+        if tag == "body" and self.open["head"] and not self.open["template"]:
+            self.cut(next(k for k, e in enumerate(self.stack) if e.tag == "head"))
+        if tag not in HEAD:
+            self.leave_head()
+        if (tag in ("html", "body") and self.open[tag]) or (tag == "head" and self.headed):
             return
+        self.headed |= tag != "html"
         if tag in CLOSES and any(self.open[t] for t in CLOSES[tag][0]):
             closed, borders = CLOSES[tag]
             first = None
@@ -136,19 +190,24 @@ class Builder:
                 self.cut(first)
         if tag in CLOSES_P and self.has_p():
             self.close("p")
-        self.push(Element(tag, {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(raw)} if raw.strip() else {}))
+        self.push(Element(tag, attributes_of(raw)))
+
+
+def attributes_of(raw: str) -> dict[str, str]:
+    return {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(raw)} if raw.strip() else {}
 
 
 def build(page: str) -> Element:
     """The tree, with implied tags closed."""
     tree = Builder()
-    for kind, value, raw in tokens(page):
+    for kind, value, raw in tokens(page, tree):
         if kind == "text":
-            at = tree.stack[-1]
-            at.children.append(unescape(value) if "&" in value and at.tag not in ("script", "style") else value)
+            tree.text(unescape(value) if "&" in value and tree.stack[-1].tag not in ("script", "style") else value)
         elif kind == "start":
             tree.start(value, raw)
         elif value == "br" or (value == "p" and not tree.has_p()):
+            if value == "br":
+                tree.leave_head()
             tree.push(Element(value, {}))
             tree.close(value)
         else:
@@ -158,7 +217,7 @@ def build(page: str) -> Element:
 
 def visible(e: Element) -> bool:
     a = e.attributes
-    if e.tag in HIDDEN or "hidden" in a or (e.tag == "input" and a.get("type", "").lower() == "hidden"):
+    if e.tag in HIDDEN or "hidden" in a or (e.tag == "dialog" and "open" not in a) or (e.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False
     return not ("style" in a and UNSEEN.search(a["style"]))
 
@@ -341,8 +400,10 @@ def enter(e: Element, w: Writer) -> list[tuple]:
         w.text(f" {e.attributes['alt']} " if e.attributes.get("alt", "").strip() else "")
         return []
     if tag == "input":
-        shown = e.attributes.get("value") or e.attributes.get("placeholder") or ""
-        w.text(f" {shown} " if e.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text") else "")
+        a, kind = e.attributes, e.attributes.get("type", "").lower()
+        placeholder = "" if kind in NO_PLACEHOLDER or (kind == "password" and a.get("value")) else a.get("placeholder", "")
+        shown = a.get("alt", "") if kind == "image" else ("" if kind in NO_VALUE else a.get("value", "")) or placeholder
+        w.text(f" {shown} " if shown.strip() else "")
         return []
     if tag in BLOCK:
         w.block(paragraph(e, w))

@@ -386,6 +386,20 @@ def test_html(page, text):
     assert html.to_text(page or "") == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<html><head><title>t</title><body><p>text", "text"), ("<head><title>t</title><p>a<p>b", "a\n\nb"), ("<head>\n<meta charset=x>\n text <b>b</b>", "text b"),
+    ("<head><script>no</script><style>no</style></head><body>x", "x"), ("<head><noscript><img alt=no></noscript><template><p>no</template><h1>h", "h"),
+    ("<head><noscript><link><body>x", "x"), ("<head></br>x", "x"), ("<head><title>t</title><html><body>x", "x"), ("<p>a<head>b</head>c", "abc"), ("<head><svg/>x", "x"),
+    ("<p>a <svg/>b", "a b"), ("<svg><path d='M=0'/><g/></svg>b", "b"), ("<svg><title/><style/></svg>b", "b"), ("<svg><title>no</title><a href=x/>no</a></svg>b", "b"),
+    ("a<math><mi>no</mi><mo/></math>b", "ab"), ("<svg><g><p>text", "text"), ("<svg><foreignObject><p>no</p></foreignObject></svg>b", "b"), ("<div/>a<p/>b", "a\n\nb"),
+    ("<map name=m><area><p>in</map>", "in"), ("<dialog>no</dialog><dialog open>yes</dialog>z", "yes\nz"),
+    ("<input type=email value=a@b.c><input type=number value=7><input value=t><input type=odd value=o>", "a@b.c 7 t o"), ("<input type=search placeholder=find><input type=password value=no placeholder=no>", "find"),
+    ("<input type=image alt=go value=no><input type=hidden value=no><input type=checkbox value=no><input type=color value=no>", "go"),
+])
+def test_html_implied_ends_and_foreign_content(page, text):
+    assert html.to_text(page) == text
+
+
 def test_html_deep_and_whole(spark):
     assert html.to_text("<div>" * 20_000 + "x").strip() == "x"
     assert html.to_text("<ul><li>" * 3000 + "x").strip().endswith("x")
