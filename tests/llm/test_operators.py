@@ -552,6 +552,24 @@ def test_secret_network_on_unseen_findings(net):
     assert np.mean(score(keys) >= net.threshold) > 0.85 and np.mean(score(plain) >= net.threshold) < 0.03
 
 
+def test_secret_threshold_keeps_recall(spark, monkeypatch):
+    """Held-out recall, of overlapping margins and of a trained network, is RECALL or more."""
+    recalls, calibrate = [], secretscan.calibrate
+
+    def measured(net, margins, labels):
+        calibrate(net, margins, labels)
+        p = 1 / (1 + np.exp(-np.clip(net.slope * margins + net.shift, -50, 50)))
+        recalls.append(np.mean(p[labels == 1] >= net.threshold))
+
+    rng = np.random.default_rng(5)
+    net = secretscan.Net(np.zeros((1, 1, 1)), np.zeros(1), np.zeros(2), 0.0)
+    for n in (7, 50, 1000):
+        measured(net, np.concatenate([rng.normal(1, 1, n), rng.normal(-1, 1, 3 * n)]), np.repeat([1.0, 0.0], [n, 3 * n]))
+    monkeypatch.setattr(secretscan, "calibrate", measured)
+    secretscan.train(read(spark, "documents"))
+    assert len(recalls) == 4 and min(recalls) >= secretscan.RECALL
+
+
 def test_secret_odd_rows(spark, odd):
     rows = secretscan.scan_secrets(odd).collect()
     assert len(rows) == 10 and all(r.spans == "" for r in rows)
