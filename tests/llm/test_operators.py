@@ -8,6 +8,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -570,6 +571,26 @@ def test_secret_threshold_keeps_recall(spark, monkeypatch):
     assert len(recalls) == 4 and min(recalls) >= secretscan.RECALL
 
 
+def test_secret_candidates_are_whole(spark, net):
+    """Runs without a digit, runs of MIN_RUN, and what base findings leave of a run reach the network."""
+    rng = random.Random(3)
+    key = lambda n, chars=secretscan.ALNUM: "".join(rng.choice(chars) for _ in range(n))
+    rows, letters, short = [], key(40, secretscan.ALNUM[:52]), key(secretscan.MIN_RUN)
+    rows += [(f"use {letters} or {short} now", [letters, short])]
+    access, rest = "AKIA" + key(16, "ABCDEFGH01234567"), "/" + key(40)
+    rows += [(f"use {access}{rest} now", [rest])]
+    digest, left, right = key(30, "0123456789abcdef"), key(20) + "_", "." + key(43)
+    rows += [(f"use {left}{digest}{right} now", [left, right]), (f"use x{digest}.{digest}.y now", []), (f"use {digest} {digest} now", [])]
+    finder = secretscan.Finder()
+    for (text, base, found), (want_text, want) in zip(finder.find(pa.array([t for t, _ in rows])), rows, strict=True):
+        assert text == want_text and [text[a:b] for a, b in found] == want and (want == [] or base or want[0] == letters)
+    df = spark.createDataFrame([(rows[1][0],), (rows[2][0],), (f"use {letters} now",)], "text string")
+    masked = [r[0] for r in df.select(secretscan.redacted(df, net, F.col("text"))).collect()]
+    assert all(re.fullmatch(r"use (\[SECRET\])+ now", m) for m in masked)
+    words = "internationally congratulations responsibilities self-explanatory electroencephalography INTERNATIONALLY"
+    assert secretscan.all_spans(pa.array([words]), finder, secretscan.char_ids(), net) == [(words, [])]
+
+
 def test_secret_odd_rows(spark, odd):
     rows = secretscan.scan_secrets(odd).collect()
     assert len(rows) == 10 and all(r.spans == "" for r in rows)
