@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -32,6 +33,16 @@ def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return lambda: pickle.loads(held.value)
 
 
+@contextmanager
+def shared(spark: SparkSession, value: Any) -> Iterator[Callable[[], Any]]:
+    """The same for a value that is needed only until some tables are written; then it is released."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    try:
+        yield lambda: pickle.loads(held.value)
+    finally:
+        held.destroy()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, and the n+1 offsets of the rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,7 +16,7 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert [n for n in names if n.startswith("op") or n == "pipeline"] and all(any(x.startswith(f"op{k}_") for x in names) for k in range(1, 11))
+    assert [n for n in names if n.startswith("op") or n == "pipeline"] and all(any(x.startswith(f"op{k}_") for x in names) for k in range(1, 14))
     assert "pipeline" in names and "pipeline" not in entry.oracle_sql()
 
 
