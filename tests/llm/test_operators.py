@@ -568,7 +568,71 @@ def test_secret_threshold_keeps_recall(spark, monkeypatch):
         measured(net, np.concatenate([rng.normal(1, 1, n), rng.normal(-1, 1, 3 * n)]), np.repeat([1.0, 0.0], [n, 3 * n]))
     monkeypatch.setattr(secretscan, "calibrate", measured)
     secretscan.train(read(spark, "documents"))
-    assert len(recalls) == 4 and min(recalls) >= secretscan.RECALL
+    assert len(recalls) > 3 and min(recalls) >= secretscan.RECALL
+
+
+def test_secret_values_are_held_out_whole(spark, monkeypatch):
+    """No value, in whatever case or place, is both trained on and held out; harmless real runs are not marked."""
+    seen = {}
+    fit = secretscan.fit
+    monkeypatch.setattr(secretscan, "fit", lambda *a: (seen.update(a=a), fit(*a))[1])
+    net = secretscan.train(read(spark, "documents"))
+    items, labels, held, real, _ = seen["a"]
+    values = [v.lower() for _, v, _ in items]
+    assert not {v for v, h in zip(values, held, strict=True) if h} & {v for v, h in zip(values, held, strict=True) if not h} and 0.15 < held.mean() < 0.35
+    harmless = [x for x, y, h, r in zip(items, labels, held, real, strict=True) if h and r and not y]
+    assert len(harmless) > 50 and not any(p >= net.threshold for p in net.scores(harmless, secretscan.char_ids()))
+
+
+def test_secret_gradients_match_differences():
+    rng, table = np.random.default_rng(2), secretscan.char_ids()
+    items = [("key ", "aZ09+/x", " end"), ("", "qwrtzplkjhgf", ""), ("é ", "abc.def-gh", " z")]
+    labels = np.array([1.0, 0.0, 1.0])
+    w = {"embed": rng.normal(0, 0.3, (2 * secretscan.SYMBOLS, secretscan.EMBED)), "conv": rng.normal(0, 0.3, (secretscan.WIDTH * secretscan.EMBED, secretscan.FILTERS)),
+         "bias": rng.normal(0, 0.1, secretscan.FILTERS), "out": rng.normal(0, 0.3, 2 * secretscan.FILTERS), "out_bias": np.array([0.1])}
+
+    def loss(w):
+        tables = np.stack([w["embed"] @ w["conv"][j * secretscan.EMBED:(j + 1) * secretscan.EMBED] for j in range(secretscan.WIDTH)])
+        m = secretscan.Net(tables, w["bias"], w["out"], float(w["out_bias"][0])).margins(*secretscan.windows(items, table))
+        return np.mean(np.log1p(np.exp(-m)) * labels + np.log1p(np.exp(m)) * (1 - labels)) + 5e-6 * sum((w[k] ** 2).sum() for k in ("embed", "conv", "out"))
+
+    grads = secretscan.gradients(w, *secretscan.windows(items, table), labels)
+    for name, g in grads.items():
+        for at in [np.unravel_index(k, g.shape) for k in np.argsort(-np.abs(g).ravel())[:5]]:
+            up, down = {k: v.copy() for k, v in w.items()}, {k: v.copy() for k, v in w.items()}
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert math.isclose((loss(up) - loss(down)) / 2e-5, g[at], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_secret_scores_do_not_depend_on_neighbours_or_slices(net, monkeypatch):
+    rng, table = random.Random(4), secretscan.char_ids()
+    items = [("a" * rng.randrange(5), "".join(rng.choice(secretscan.ALNUM) for _ in range(rng.randrange(12, 300))), "é" * rng.randrange(5)) for _ in range(40)]
+    alone = [net.scores([x], table)[0] for x in items]
+    assert np.allclose(net.scores(items, table), alone)
+    for size in (7, 50):
+        monkeypatch.setattr(secretscan, "SLICE", size)
+        assert np.allclose(net.scores(items, table), alone)
+
+
+def test_secret_very_long_texts(net):
+    """Time in proportion to a non-ASCII text with very many runs, and little memory for one very long run."""
+    import time
+    import tracemalloc
+
+    finder, part = secretscan.Finder(), "é Donaudampfschiff, "
+    took = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        ((text, base, found),) = finder.find(pa.array([part * n]))
+        took.append(time.process_time() - start)
+        assert base == [] and len(found) == n and text[found[-1][0]:found[-1][1]] == "Donaudampfschiff"
+    assert took[1] < 12 * took[0] + 0.5
+    run = "Ab3" * 2_000_000
+    tracemalloc.start()
+    net.scores([("key ", run, " end")], secretscan.char_ids())
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
 
 
 def test_secret_candidates_are_whole(spark, net):

@@ -38,11 +38,10 @@ def test_stages_match_brute_force(spark):
             assert all(got[d] == rows[d] for d in got) and len(got) > 0.8 * len(rows)
         else:
             for d, r in rows.items():
-                base = brute_secrets(r.text)
-                assert ("[SECRET]" in got[d].text) >= bool(base) and got[d].n_chars == (len(got[d].text) if base else r.n_chars)
-                if not base and "[SECRET]" not in got[d].text:
+                if not brute_secrets(r.text):  # no secret was planted here, so nothing is masked
                     assert got[d] == r
-                assert not brute_secrets(got[d].text) or "[SECRET]" in got[d].text
+                else:
+                    assert "[SECRET]" in got[d].text and got[d].n_chars == len(got[d].text)
         rows, docs = got, spark.createDataFrame(list(got.values()), docs.schema)
     packed = corpus_pipeline.run(spark, SF).collect()
     total = collections.Counter()
