@@ -23,6 +23,7 @@ from tallyspark.plans.registry import register
 from tallyspark.plans.views import expenses, expenses_raw, flagged_once
 from tallyspark.session import ensure_checkpoint_dir, materialize
 from tallyspark.sources.files import load_data
+from tallyspark.sources.records import C1_CHARS, C1_CODES, MARK
 from tallyspark.sources.sinks import save_processed, save_report_json
 
 CLEAN_SQL = with_(*BASE) + "select * from expenses"
@@ -79,6 +80,42 @@ def a2(spark, sf):
     return _kept(spark, _clean_back(load_data(spark, path)), path)
 
 
+BROKEN = "case when row_id % 3 = 0 then replace(descripcion, ' ', {nl}) when row_id % 3 = 1 then '\"' || descripcion || '\"; \"\"' else descripcion end"
+
+
+@register("a1_quoted_breaks_roundtrip", with_(BASE[0]) + f"""
+select row_id, fecha, {BROKEN.format(nl="chr(13) || chr(10)")} as descripcion, monto from expenses_raw""")
+def a1_breaks(spark, sf):
+    """Line breaks, separators and doubled quotes inside quotes, and a comma in a quoted header of a ; file."""
+    path = scratch(spark, "a1q") + ".csv"
+    rows = expenses_raw(spark, sf).withColumn("descripcion", F.expr(BROKEN.format(nl="'\\r\\n'"))).withColumnRenamed("row_id", "fila, clave")
+    rows.write.option("header", True).option("sep", ";").option("quoteAll", True).option("escape", '"').option("emptyValue", "") \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    back = load_data(spark, path)
+    return _kept(spark, back.select(F.col("fila, clave").cast("bigint").alias("row_id"), "fecha", "descripcion", "monto"), path)
+
+
+ENCODED = "descripcion || case when row_id % 6 = 5 then ' año 5 € “sí”' else ' año 5' end"
+
+
+@register("a2_five_encodings_roundtrip", with_(BASE[0]) + f"""
+select row_id, fecha, {ENCODED} as descripcion, monto from expenses_raw""")
+def a2_five(spark, sf):
+    """UTF-8 with and without a mark, UTF-16 of both byte orders, ISO-8859-1 and Windows-1252 in one folder."""
+    path = scratch(spark, "a2f") + ".csv"
+    rows = expenses_raw(spark, sf).withColumn("descripcion", F.expr(ENCODED))
+    for k, encoding in enumerate(["UTF-8", "UTF-8", "UTF-16LE", "UTF-16BE", "ISO-8859-1", "ISO-8859-1"]):
+        part = rows.where(F.col("row_id") % 6 == k)
+        if k == 1:
+            part = part.withColumnRenamed("row_id", MARK + "row_id")
+        if k == 5:  # Windows-1252 has these characters in place of ISO-8859-1's control codes
+            part = part.withColumn("descripcion", F.translate("descripcion", C1_CHARS, C1_CODES))
+        part.write.mode("append").option("header", True).option("encoding", encoding) \
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    back = load_data(spark, path)
+    return _kept(spark, back.select(F.col("row_id").cast("bigint").alias("row_id"), "fecha", "descripcion", "monto"), path)
+
+
 @register("a3_json_roundtrip", CLEAN_SQL)
 def a3(spark, sf):
     """JSON lines, told apart from documents by their first line."""

@@ -1,9 +1,11 @@
 """File sources (A1-A5).
 
 Everything is read as strings (no inference pass over the data); typing
-happens in the cleaning transforms.  What a file is (separator, encoding,
-JSON array or lines) is found per file by one Spark aggregation over its
-lines; only the distinct forms reach the driver.  A folder of one form is
+happens in the cleaning transforms.  What a file is (separator, encoding, quoted
+line breaks, JSON array or lines) is found per file by one Spark aggregation
+over its lines; only the distinct forms reach the driver.  Files that Spark's
+CSV reader can't split (quoted line breaks) or decode line by line go through
+``records``.  A folder of one form is
 read as a whole.  Where forms are mixed, each form's files are read by
 their names, which Spark's file listing holds on the driver anyway.
 
@@ -21,18 +23,22 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.order import place, with_input_order
 from tallyspark.session import materialize
+from tallyspark.sources.records import LINE_ENDS, MARK, decoded, opens, read_records
 
 SEPARATORS = [",", ";", "\t", "|"]
+ALL_SEPARATORS = [*SEPARATORS, ":", "^", "~", "#", "*"]
+ENCODINGS = ["UTF-8", "ISO-8859-1", "WINDOWS-1252", "UTF-16LE", "UTF-16BE"]
 SUPPORTED = [".csv", ".xlsx", ".xls", ".json", ".txt"]
 READABLE = [".csv", ".txt", ".json", ".parquet"]
 
 
 def first_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: its first and second line that is not blank, and whether all its bytes are UTF-8.
+    """Per file: its first line that is not blank, whether all its bytes are UTF-8, whether it has
+    bytes 0x80-0x9F in lines that are not, and whether a line opens a quote that it doesn't close.
 
     The text source keeps each line's raw bytes.  A line's place is its
     block's start and its position in the scan; a partial aggregation
-    keeps two lines per file and task.
+    keeps one line per file and task.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
@@ -40,14 +46,30 @@ def first_lines(spark: SparkSession, path: str) -> DataFrame:
     text = F.trim("value")
     # a file that is nothing but blank lines still has a row
     seen = F.when(F.length(text) > 0, F.struct("block", "id", F.col("value").alias("line")))
-    per_block = lines.groupBy("file", "block").agg(F.min(seen).alias("one"), F.min(F.expr("is_valid_utf8(value)")).alias("utf8"))
-    return per_block.groupBy("file").agg(F.min("one").alias("one"), F.min("utf8").alias("utf8")) \
-                    .select("file", F.coalesce("one.line", F.lit("")).alias("header"), "utf8")
+    valid = F.expr("is_valid_utf8(value)")
+    high = F.when(~valid, F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike("[\u0080-\u009f]"))
+    per_block = lines.groupBy("file", "block").agg(F.min(seen).alias("one"), F.min(valid).alias("utf8"), F.max(high).alias("high"), F.max(opens(F.col("value"), ALL_SEPARATORS)).alias("broken"))
+    return per_block.groupBy("file").agg(F.min("one").alias("one"), F.min("utf8").alias("utf8"), F.max("high").alias("high"), F.max("broken").alias("broken")) \
+                    .select("file", F.coalesce("one.line", F.lit("")).alias("header"), "utf8", F.coalesce("high", F.lit(False)).alias("high"), "broken")
+
+
+def encoding_of(header: Column, utf8: Column, high: Column) -> Column:
+    """A2 from a file's bytes: a mark at its start, zero bytes in odd or even places of its first
+    line, invalid UTF-8, and bytes that are control codes in ISO-8859-1 but letters and marks in
+    Windows-1252."""
+    bytes_ = F.hex(header.cast("binary"))
+    pairs = F.regexp_extract_all(bytes_, F.lit("(....)"), F.lit(1))
+    zeros = lambda side: F.size(F.filter(pairs, side))
+    low, up = zeros(lambda p: p.endswith("00")), zeros(lambda p: p.startswith("00"))
+    return (F.when(bytes_.startswith("FFFE") | (low > up), "UTF-16LE").when(bytes_.startswith("FEFF") | (up > low), "UTF-16BE")
+             .when(utf8, "UTF-8").when(high, "WINDOWS-1252").otherwise("ISO-8859-1"))
 
 
 def separator_of(header: Column) -> Column:
     """A1: the first of , ; tab | that splits the header in more than one column;
-    else the first of : ^ ~ # * that stands between two names; else a comma."""
+    else the first of : ^ ~ # * that stands between two names; else a comma.
+    What stands in quotes splits nothing."""
+    header = F.regexp_replace(header, '"[^"]*("|$)', '"')
     sep = F.coalesce(*[F.when(F.contains(header, F.lit(s)), F.lit(s)) for s in SEPARATORS],
                      F.regexp_extract(header, r"[\p{L}\p{N}_\"] *([:^~#*]) *[\p{L}\p{N}_\"]", 1))
     return F.when(sep == "", F.lit(",")).otherwise(sep)
@@ -73,17 +95,26 @@ def tagged(df: DataFrame) -> DataFrame:
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
                    encoding: str | None = None, input_order: bool = False) -> DataFrame:
-    """A1 + A2: CSV/TXT; separator and encoding (UTF-8, else ISO-8859-1) per file."""
+    """A1 + A2: CSV/TXT; separator and encoding per file, line breaks and doubled quotes inside quotes."""
     def read(paths, form):
-        df = (spark.read.option("header", True).option("sep", sep or (form["sep"] if form else ","))
-              .option("encoding", encoding or ("UTF-8" if form is None or form["utf8"] else "ISO-8859-1"))
-              .option("inferSchema", False).option("multiLine", False).csv(paths))
+        kind = encoding or (form["encoding"] if form else "UTF-8")
+        by = sep or (form["sep"] if form else ",")
+        if form and not form["plain"] and not misaligned(paths, kind):
+            df = read_records(spark, paths, kind, by, input_order)
+            return df if input_order and "row_id" not in df.columns else df.drop("_file", "_block", "_id")
+        df = (spark.read.option("header", True).option("sep", by).option("encoding", kind).option("escape", '"')
+              .option("inferSchema", False).option("multiLine", kind.startswith("UTF-16")).csv(paths))
         return tagged(df) if input_order else df
-    if sep and encoding:
-        out = read(path, None)
-    else:
-        out = read_forms(first_lines(spark, path).select("file", separator_of(F.col("header")).alias("sep"), "utf8"),
-                         path, read, ["sep", "utf8"])
+
+    def misaligned(paths, kind: str) -> bool:
+        """A line end found between two UTF-16 characters: such files are read whole, a task each."""
+        return kind.startswith("UTF-16") and bool(spark.read.option("lineSep", LINE_ENDS[kind]).text(paths).where(F.octet_length("value") % 2 == 1).take(1))
+
+    forms = first_lines(spark, path).withColumn("encoding", F.lit(encoding) if encoding else encoding_of(F.col("header"), F.col("utf8"), F.col("high")))
+    text = F.coalesce(*[F.when(F.col("encoding") == e, decoded(F.col("header"), e)) for e in ENCODINGS], F.col("header"))
+    plain = ~F.col("broken") & F.col("encoding").isin("UTF-8", "ISO-8859-1") & ~F.startswith(text, F.lit(MARK))
+    forms = forms.select("file", (F.lit(sep) if sep else separator_of(text)).alias("sep"), "encoding", plain.alias("plain"))
+    out = read_forms(forms, path, read, ["sep", "encoding", "plain"])
     return with_input_order(out) if input_order else out
 
 

@@ -17,8 +17,8 @@ def save_processed(df: DataFrame, path: str, mode: str = "overwrite") -> str:
         return path
     if ext != ".csv":
         path = path[: len(path) - len(ext)] + ".csv" if ext else path + ".csv"
-    # Spark's CSV writer trims blanks by default; values must round-trip
-    (df.write.mode(mode).option("header", True).option("encoding", "UTF-8")
+    # Spark's CSV writer trims blanks by default; values must round-trip, quotes doubled as the reader expects
+    (df.write.mode(mode).option("header", True).option("encoding", "UTF-8").option("escape", '"')
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 

@@ -1,14 +1,17 @@
 """A1-A11 and the streaming twin, with files in a per-test scratch folder."""
 
+import csv
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators.schema import rename_plan, standardize_columns
 from tallyspark.sources import files as Fs
+from tallyspark.sources.records import ends_quoted
 from tallyspark.sources.ingest import parse_quick_list, seed_training_set, synthesize
 from tallyspark.sources.sinks import save_processed, save_report_json
 
@@ -36,6 +39,63 @@ def test_encodings_mixed(spark, scratch):
     assert got == ["Año ñandú", "Baño"]
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp1252", "latin-1", "utf-16-le", "utf-16-be", "utf-16"])
+def test_quoted_breaks_in_any_encoding(spark, scratch, encoding):
+    """Breaks, doubled quotes and separators in quotes, over files cut in many blocks, in their order."""
+    rng, want = random.Random(encoding), []
+    texts = ["plain", 'say "hi"; ok', "two\nlines", "a\r\nb\n\nc", "", '5" pipe', "ñandú" if encoding == "latin-1" else "ñandú €", "x" * 400]
+    for k in range(2):
+        rows = [[f"{k}-{i}", rng.choice(texts), str(i)] for i in range(40)]
+        with open(os.path.join(scratch, f"f{k}.csv"), "w", encoding=encoding, newline="") as f:
+            w = csv.writer(f, delimiter=";", lineterminator=["\n", "\r\n"][k], quoting=csv.QUOTE_ALL)
+            w.writerows([["id, uno", "descripcion", "monto"], *rows])
+        want += [(a, b or None, c) for a, b, c in rows]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        df = Fs.read_delimited(spark, scratch, input_order=True)
+        assert df.columns == ["id, uno", "descripcion", "monto", "row_id"]
+        assert [tuple(r)[:3] for r in df.orderBy("row_id").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_quotes_that_open_nothing(spark, scratch):
+    """A quote inside a field, and one that never closes."""
+    write(os.path.join(scratch, "a.csv"), 'a,b\n5" pipe,1\n"x\ny",2\n6" pipe,3\n')
+    write(os.path.join(scratch, "b.csv"), 'a,b\n"one\ntwo",1\n"never,2\nthree,3\nfour,4\n')
+    got = [tuple(r) for r in Fs.read_delimited(spark, os.path.join(scratch, "a.csv")).collect()]
+    assert sorted(got) == [('5" pipe', "1"), ('6" pipe', "3"), ("x\ny", "2")]
+    got = {r[0]: r[1] for r in Fs.read_delimited(spark, os.path.join(scratch, "b.csv")).collect()}
+    assert got["one\ntwo"] == "1" and got["three"] == "3" and got["four"] == "4" and len(got) == 4
+
+
+def test_utf16_line_end_between_characters(spark, scratch):
+    text = "a,b\nx\u0a05\u0a00\u000ay,1\n" + "".join(f"ਊ\u4e00\u0100{k},2\n" for k in range(5))
+    for encoding in ("utf-16-le", "utf-16-be"):
+        p = os.path.join(scratch, encoding + ".csv")
+        write(p, text.replace("\u000ay", "y"), encoding)
+        assert Fs.read_delimited(spark, p).count() == 6
+
+
+def test_line_states_match_a_plain_walk(spark):
+    """Where lines end, against a character by character walk."""
+    def walk(line, sep, inside):
+        state = 2 if inside else 1
+        for c in line:
+            if c == '"':
+                state = {0: 0, 1: 2, 2: 3, 3: 2}[state]
+            elif state != 2:
+                state = 1 if c == sep else 0
+        return state == 2
+
+    rng = random.Random(8)
+    lines = ["".join(rng.choice('a",";') for _ in range(rng.randrange(12))) for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    got = df.select("t", *[ends_quoted(F.col("t"), F.lit(s), i).alias(f"{s}{i}") for s in ",;" for i in (False, True)]).collect()
+    assert all(list(r)[1:] == [walk(r.t, s, i) for s in ",;" for i in (False, True)] for r in got)
+
+
 def test_json_and_dispatch(spark, scratch):
     p = os.path.join(scratch, "g.json")
     write(p, json.dumps([{"fecha": "2024-01-01", "descripcion": "Cine", "monto": 10.5}]))
