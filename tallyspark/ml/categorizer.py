@@ -30,12 +30,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.constants import (MIN_TRAINING_ROWS, SEED, SPLIT_MIN_ROWS, STOP_WORDS, TEST_FRACTION,
                                   WEIGHTED_RULES, weight_tenths)
 from tallyspark.functions.text import cache_key
+from tallyspark.ml.bundle import load_bundle, save_bundle
+from tallyspark.ml.prune import with_min_samples_split
 from tallyspark.ml.tfidf import TOKEN_RX, vocabulary
 from tallyspark.operators.reuse import cache_stats, score_distinct
 from tallyspark.operators.rules import categorize_weighted, pseudo_labels
@@ -54,6 +56,7 @@ class ModelConfig:
     num_trees: int = 100
     max_depth: int = 10
     min_instances_per_node: int = 1
+    min_samples_split: int = 2      # nodes with fewer training rows are not split
     feature_subset: str = "auto"
     balanced: bool = False
     sublinear_tf: bool = False
@@ -62,7 +65,7 @@ class ModelConfig:
 
 BASE = ModelConfig()
 IMPROVED = ModelConfig(vocab_size=500, min_df=2.0, max_df=0.95, num_trees=150, max_depth=15,
-                       min_instances_per_node=2, feature_subset="sqrt", balanced=True, sublinear_tf=True, method="ml_improved")
+                       min_instances_per_node=2, min_samples_split=5, feature_subset="sqrt", balanced=True, sublinear_tf=True, method="ml_improved")
 
 
 def _sql_str(s: str) -> str:
@@ -199,10 +202,12 @@ class TrainResult:
 def train(df: DataFrame, target_column: str | None = None, cfg: ModelConfig = IMPROVED,
           text_col: str = "descripcion") -> TrainResult:
     """Labelled column or pseudo-labels (C4); < 10 rows -> rule_based."""
+    # the row id decides the split, so that equal data are split alike in any partitioning
+    key = ["row_id"] if "row_id" in df.columns else []
     if target_column and target_column in df.columns:
-        data = df.select(F.col(text_col).alias("descripcion"), F.col(target_column).alias("categoria"))
+        data = df.select(*key, F.col(text_col).alias("descripcion"), F.col(target_column).alias("categoria"))
     else:
-        data = pseudo_labels(df, text_col).select("descripcion", "categoria")
+        data = pseudo_labels(df, text_col).select(*key, "descripcion", "categoria")
     data = data.where(F.col("descripcion").isNotNull() & F.col("categoria").isNotNull())
     n = data.count()
     if n < MIN_TRAINING_ROWS:
@@ -224,6 +229,8 @@ def train(df: DataFrame, target_column: str | None = None, cfg: ModelConfig = IM
                                 featureSubsetStrategy=cfg.feature_subset, seed=SEED,
                                 **({"weightCol": weight_col} if weight_col else {}))
     forest = rf.fit(prepared)
+    if cfg.min_samples_split > 2:
+        forest = with_min_samples_split(df.sparkSession, forest, cfg.min_samples_split)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
     model = PipelineModel(stages=[*feats.stages, forest, back])
     elapsed = time.time() - start
@@ -274,25 +281,27 @@ def feature_model(model: PipelineModel) -> PipelineModel:
     return PipelineModel(stages=model.stages[:-2])
 
 
-def save_model(result: TrainResult, path: str) -> None:
-    """The pipeline directory is the bundle."""
+def save_model(result: TrainResult, path: str, rules: DataFrame | None = None) -> None:
+    """Pipeline and rule table (the built-in one unless given) as a new version of the bundle."""
     if result.model is None:
         raise ValueError("nothing to save: the model is rule based")
-    result.model.write().overwrite().save(path)
+    save_bundle(SparkSession.active(), result.model, path, rules)
 
 
 def load_model(path: str) -> PipelineModel | None:
-    """``None`` (instead of an exception) when the model cannot be read."""
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 -- a missing or broken bundle means "not trained"
-        return None
+    """The bundle's model; ``None`` only where nothing was saved.  A broken bundle is an error."""
+    bundle = load_bundle(SparkSession.active(), path)
+    return bundle.model if bundle else None
 
 
 def improve_with_user_data(seed: DataFrame, user: DataFrame, cfg: ModelConfig = BASE) -> TrainResult:
     """Seed set + the user's labelled rows, then retrain."""
     if "categoria" in user.columns:
-        seed = seed.unionByName(user.select("descripcion", "categoria"))
+        key = ["row_id"] if "row_id" in user.columns else []
+        if key:  # the user's ids are kept; the phrases, which have none, get ids below them
+            low = F.least(F.lit(0).cast("bigint"), F.lit(user.agg(F.min("row_id")).first()[0] or 0))
+            seed = seed.withColumn("row_id", low - 1 - F.abs(F.xxhash64("descripcion", "categoria") % (1 << 30)))
+        seed = seed.unionByName(user.select(*key, "descripcion", "categoria"))
     return train(seed, "categoria", cfg)
 
 

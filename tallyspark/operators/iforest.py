@@ -10,9 +10,9 @@ Spark ML has no isolation forest, so it is built from Spark pieces:
    (seed, tree, row key): results do not depend on partitioning.
 2. **Build** -- ``groupBy(tree).applyInPandas`` grows one tree per group
    (numpy, ``psi`` rows) into flat node arrays.
-3. **Score** -- the trees (at most ``trees * (2*psi - 1)`` nodes) are
-   shipped inside a vectorised pandas UDF that walks all trees for a
-   whole Arrow batch at once.
+3. **Score** -- the trees (at most ``trees * (2*psi - 1)`` nodes) become
+   constant arrays; array functions walk all trees level by level in the
+   JVM, so the scoring plan has no Python.
 4. **Cut** -- rows whose score lies above the ``1 - contamination``
    quantile are flagged; the quantile is exact and distributed
    (``operators.stats``).
@@ -33,7 +33,7 @@ from tallyspark.operators.stats import exact_quantile
 from tallyspark.session import materialize
 
 # This is the only module whose functions run inside Python workers (the
-# tree builder and the scoring UDF).  Pickling them by value ships the code
+# tree builder).  Pickling them by value ships the code
 # with the task, so executors need no installed copy of this package.
 try:
     from pyspark import cloudpickle as _cloudpickle
@@ -89,6 +89,11 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
     return feature, threshold, left, right, size
 
 
+def literal(values: list, kind: str) -> F.Column:
+    """A constant array, folded by the optimizer into one literal."""
+    return F.expr(f"cast(split('{','.join(map(repr, values))}', ',') as array<{kind}>)")
+
+
 @dataclass
 class IsolationForestModel:
     trees: list[tuple]
@@ -96,33 +101,35 @@ class IsolationForestModel:
     features: list[str]
     max_depth: int
 
+    def node_arrays(self) -> dict[str, list]:
+        """All trees' nodes end to end; a leaf's value is its path length, depth and what its rows would add."""
+        out: dict[str, list] = {"feature": [], "threshold": [], "left": [], "right": [], "value": [], "roots": []}
+        for feature, threshold, left, right, size in self.trees:
+            at, depth = len(out["feature"]), [0] * len(feature)
+            for k in range(len(feature)):  # parents stand before their children
+                if feature[k] >= 0:
+                    depth[left[k]] = depth[right[k]] = depth[k] + 1
+            out["roots"].append(at)
+            out["feature"] += list(feature)
+            out["threshold"] += [float(x) for x in threshold]
+            out["left"] += [x + at for x in left]
+            out["right"] += [x + at for x in right]
+            out["value"] += [d + float(avg_path(s)) for d, s in zip(depth, size, strict=True)]
+        return out
+
     def score_column(self) -> F.Column:
-        trees = [tuple(np.asarray(a) for a in t) for t in self.trees]
-        c_psi = float(avg_path(self.psi))
-        max_depth = self.max_depth
-
-        @F.pandas_udf("double")
-        def iso_score(*cols: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-            n = len(x)
-            total = np.zeros(n)
-            rows = np.arange(n)
-            for feat, thr, lft, rgt, size in trees:
-                node = np.zeros(n, dtype=np.int64)
-                depth = np.zeros(n)
-                for _ in range(max_depth + 1):
-                    f = feat[node]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    val = x[rows, np.where(inner, f, 0)]
-                    nxt = np.where(val < thr[node], lft[node], rgt[node])
-                    node = np.where(inner, nxt, node)
-                    depth = depth + inner
-                total += depth + avg_path(size[node])
-            return pd.Series(np.power(2.0, -(total / len(trees)) / c_psi))
-
-        return iso_score(*[F.col(c).cast("double") for c in self.features])
+        """Every tree is walked level by level with array functions over constant node arrays."""
+        n = {k: literal(v, "double" if k in ("threshold", "value") else "int") for k, v in self.node_arrays().items()}
+        x = F.array(*[F.col(c).cast("double") for c in self.features])
+        levels = F.sequence(F.lit(1), F.lit(self.max_depth + 1))
+
+        def step(node: F.Column, _level: F.Column) -> F.Column:
+            feature = F.get(n["feature"], node)
+            lower = F.get(x, feature) < F.get(n["threshold"], node)
+            return F.when(feature < 0, node).when(lower, F.get(n["left"], node)).otherwise(F.get(n["right"], node))
+
+        total = F.aggregate(n["roots"], F.lit(0.0), lambda acc, root: acc + F.get(n["value"], F.aggregate(levels, root, step)))
+        return F.pow(F.lit(2.0), -(total / len(self.trees)) / float(avg_path(self.psi)))
 
     def transform(self, df: DataFrame, out_col: str = "iso_score") -> DataFrame:
         return df.withColumn(out_col, self.score_column())

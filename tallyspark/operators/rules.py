@@ -107,10 +107,11 @@ def rule_score(df: DataFrame, text_col: str = "descripcion") -> DataFrame:
 
 def pseudo_labels(df: DataFrame, text_col: str = "descripcion",
                   min_score: float = PSEUDO_LABEL_MIN_SCORE) -> DataFrame:
-    """C4: (descripcion, categoria, confidence=raw score) where score > 1.0."""
+    """C4: (descripcion, categoria, confidence=raw score) where score > 1.0, with ``row_id`` if there is one."""
     scored = rule_score(df, text_col)
+    key = ["row_id"] if "row_id" in df.columns else []
     return (scored.where(F.col("score") > F.lit(min_score))
-                  .select(F.col(text_col).alias("descripcion"), "categoria",
+                  .select(*key, F.col(text_col).alias("descripcion"), "categoria",
                           F.col("score").alias("confidence")))
 
 

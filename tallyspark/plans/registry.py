@@ -24,4 +24,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     # importing the modules registers their queries
     from tallyspark.plans import (q_analytics, q_anomaly, q_clean, q_files, q_jobs, q_ml,  # noqa: F401
-                                  q_present, q_rules, q_sources)
+                                  q_present, q_rules, q_sources, q_state)

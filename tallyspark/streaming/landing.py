@@ -2,7 +2,7 @@
 
 ``readStream`` picks up new CSV files in a landing folder; each
 micro-batch is cleaned (B1-B4), categorised by the weighted rules
-(C2/C3, per row: a stream cannot run the size check of the batch path)
+(C2/C3, per row)
 and appended to a Parquet table.  Optionally duplicates on
 (description, amount) are dropped within an event-time watermark, which
 keeps the de-duplication state bounded.  The checkpoint lives in the
