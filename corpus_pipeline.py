@@ -6,8 +6,9 @@ that they were given.
 
 - language: documents whose language is unknown (``und``: null text, no letter) or whose score is
   below MIN_SCORE go;
-- near_duplicates: one document of each group of near copies stays, the one with the smallest
-  doc_id; of rows that share a doc_id one stays, a row without a doc_id always stays;
+- near_duplicates: one document of each group of near copies (similarity of PERCENT or more) stays,
+  the one with the smallest doc_id, or an arbitrary row of those that share it; rows are told apart by a
+  number of their own, so unlike texts under one doc_id stay and copies without one go;
 - decontaminate: documents that hold a benchmark item go;
 - secrets: every finding is masked in the text, and n_chars follows; no document goes;
 - pack: one row per piece of a document with its length bucket, batch and slot.
@@ -24,34 +25,49 @@ from tallyspark.llm.work import Workspace
 from tallyspark.sources.tables import load
 
 MIN_SCORE = 0.5
+PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.train(docs.where(~langid.held_out()))
-    found = docs.withColumn("_pipeline_lang", langid.language(spark, model, F.col("text")))
-    sure = (F.col("_pipeline_lang.lang_pred") != langid.UNKNOWN) & (F.col("_pipeline_lang.score") >= MIN_SCORE)
-    return found.where(sure).drop("_pipeline_lang")
+    model, name = langid.train(docs.where(~langid.held_out())), free_name(docs, "found")
+    found = docs.withColumn(name, langid.language(spark, model, F.col("text")))
+    sure = (F.col(name)["lang_pred"] != langid.UNKNOWN) & (F.col(name)["score"] >= MIN_SCORE)
+    return found.where(sure).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs)
-    kept = not_among(docs, found.where("not kept").select("doc_id").distinct(), "doc_id")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-    return kept.select(docs.columns)
+    work = Workspace(spark, "pipeline-rows")
+    row = free_name(docs, "row")
+    numbered = work.save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # written once: the number stays
+    found = work.save(minhash.near_duplicates(numbered, row, "text", PERCENT).select(F.col("doc_id").alias(row), "component_id"), "found")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))
+    first = work.save(found.join(numbered.select(row, "doc_id"), row).groupBy("component_id").agg(F.min_by(row, order).alias("first")), "first")
+    others = work.save(found.join(first, "component_id").where(F.col(row) != F.col("first")).select(row), "others")
+    kept = not_among(numbered, others, row).select(docs.columns)
+    work.drop(found, first)
+    return kept
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = docs.withColumn("_pipeline_items", decontam.matches(docs, load(spark, sf_dir, "benchmark"), F.col("text")))
-    return found.where(F.size("_pipeline_items") == 0).drop("_pipeline_items")
+    name = free_name(docs, "items")
+    found = docs.withColumn(name, decontam.matches(docs, load(spark, sf_dir, "benchmark"), F.col("text")))
+    return found.where(F.size(name) == 0).drop(name)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = secretscan.train(docs)
-    found = docs.withColumn("_pipeline_masked", secretscan.redacted(docs, net, F.col("text")))
-    changed = F.col("_pipeline_masked").isNotNull()
-    size = F.when(changed, F.length("_pipeline_masked").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns({"text": F.coalesce("_pipeline_masked", "text"), "n_chars": size}).drop("_pipeline_masked")
+    name = free_name(docs, "masked")
+    found = docs.withColumn(name, secretscan.redacted(docs, net, F.col("text")))
+    size = F.when(F.col(name).isNotNull(), F.length(name).cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"text": F.coalesce(name, "text"), "n_chars": size}).drop(name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,10 +30,11 @@ def split(docs: DataFrame, ids: DataFrame, col: str) -> tuple[DataFrame, DataFra
     page, at = _place(F.col(col), bits)
     pages = ids.select(page.alias("_byid_page"), at.cast("long").alias("_byid_at")).groupBy("_byid_page").agg(F.bitmap_construct_agg("_byid_at").alias("_byid_map"))
     # MAX_BITS / 8 bytes at most
-    tested = docs.withColumns({"_byid_page": F.when(F.col(col).isNotNull(), page), "_byid_at": at}).join(F.broadcast(pages), "_byid_page", "left")
+    own = F.struct(*docs.columns).alias("_byid_row")  # so that no column of the table can clash
+    tested = docs.select(own, F.when(F.col(col).isNotNull(), page).alias("_byid_page"), at.alias("_byid_at")).join(F.broadcast(pages), "_byid_page", "left")
     byte = F.conv(F.hex(F.substring("_byid_map", F.floor(F.col("_byid_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("_byid_at") % 8)) % 2 == 1, F.lit(False))
-    return tested.where(hit).select(docs.columns), tested.where(~hit).select(docs.columns)
+    return tested.where(hit).select("_byid_row.*"), tested.where(~hit).select("_byid_row.*")
 
 
 def among(docs: DataFrame, ids: DataFrame, col: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a document's set holds its distinct
 five-word shingles (the whole sequence where there are fewer words), as 64-bit hashes.  Documents
-are linked when 100 * intersection >= 85 * union of their sets.
+are linked when 100 * intersection >= percent * union of their sets, with 85 percent unless told otherwise.
 
 1. Sketch: HASHES minima per set.  ROWS minima make a band key; the low BITS bits of each minimum
    are packed into the signature.
@@ -16,9 +16,13 @@ are linked when 100 * intersection >= 85 * union of their sets.
    each other one by one.
 5. Components of all links; one row per document.
 
-Bounds: a similarity of exactly 0.85 shares no bucket with probability (1 - 0.85**ROWS)**BANDS = 3e-7,
-and MARGIN is 4.5 standard deviations of the estimate.  No bucket, class or partner count is capped.
-Tasks hold one block (BLOCK signatures or CELL sets) at a time; big buckets are split into blocks.
+Bounds: a similarity of exactly 0.85 shares no bucket with probability (1 - 0.85**ROWS)**BANDS = 3e-7 (6e-5
+at 0.80), and the margin of 4.5 standard deviations leaves out 3e-6 of the pairs at the threshold.  No bucket,
+class or partner count is capped.  Tasks hold one block (BLOCK signatures or CELL sets) at a time; big buckets
+are split into blocks.  What is aggregated by a key is written before it meets the key's rows again, so
+that both sides of that join are plain scans and Spark can split a hot key.  Inside a bucket all that lies
+outside its largest component is compared with all of the bucket: exact, in blocks, and quadratic where a
+bucket holds many near misses.
 
 Defined results: null and empty texts have an empty set, n_shingles 0, are linked with nothing and
 kept; a row without a doc_id is linked with nothing, has a null component_id and is kept; repeated
@@ -44,8 +48,6 @@ SHINGLE = 5
 PERCENT = 85
 ROWS, BANDS, BITS = 6, 32, 4
 HASHES = ROWS * BANDS
-#: 4.5 standard deviations of the estimate at the threshold, with collisions by chance
-MARGIN = 4.5 * (0.859 * 0.141 / HASHES) ** 0.5 / (1 - 2.0**-BITS)
 BLOCK = 2048
 CELL = 256
 BYTES = 1 << 22
@@ -53,6 +55,12 @@ BYTES = 1 << 22
 NIBBLES = 0x1111111111111111
 
 
+def margin(percent: int = PERCENT) -> float:
+    """4.5 standard deviations of the estimate at the threshold, with collisions by chance."""
+    equal = percent / 100 + (1 - percent / 100) * 2.0**-BITS
+    return 4.5 * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -188,7 +196,7 @@ def by_cell(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
             last = cell
 
 
-def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links between side 0 and side 1 of each cell on full sets: one per row of side 1 at most."""
     shingler = Shingler()
     held: list[np.ndarray] = []
@@ -216,7 +224,7 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             common = np.bincount(index[1][at], minlength=len(held))
-            linked = np.flatnonzero(100 * common >= PERCENT * (len(found) + index[2] - common))
+            linked = np.flatnonzero(100 * common >= percent * (len(found) + index[2] - common))
             if len(linked):
                 xs.append(names[linked[0]])
                 ys.append(rep[k])
@@ -227,7 +235,7 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 MARKS = "a bigint, b bigint, side int, rep bigint"
 
 
-def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def marks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """From blocks of signatures: the representatives that may link two components.
 
     Against the bucket's largest component C, (C, C): its members are side 0, all others side 1, so
@@ -243,8 +251,8 @@ def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(ask), 64):
             q = ask[at:at + 64]
             small, large = np.minimum.outer(size[q], size[all_]), np.maximum.outer(size[q], size[all_])
-            near = (comp[q][:, None] != comp[all_][None, :]) & (100 * small >= PERCENT * large)
-            near &= estimates(sig[q], sig[all_]) >= PERCENT / 100 - MARGIN
+            near = (comp[q][:, None] != comp[all_][None, :]) & (100 * small >= percent * large)
+            near &= estimates(sig[q], sig[all_]) >= percent / 100 - margin(percent)
             i, j = np.nonzero(near)
             i, j = q[i], all_[j]
             main = top[j] == 1
@@ -271,24 +279,24 @@ def blocks(n: Column, size: int) -> Column:
     return F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
 
 
-def links_of(cells: DataFrame, texts: DataFrame) -> DataFrame:
+def links_of(cells: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (x, y) of cells (a, b, i, j, side, rep)."""
     rows = cells.join(texts, "rep").repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j", "side")
-    return rows.select("a", "b", "i", "j", "side", "rep", "text").mapInArrow(confirm, "x bigint, y bigint")
+    return rows.select("a", "b", "i", "j", "side", "rep", "text").mapInArrow(lambda batches: confirm(batches, percent), "x bigint, y bigint")
 
 
-def star_cells(pairs: DataFrame) -> DataFrame:
+def star_cells(work: Workspace, pairs: DataFrame) -> DataFrame:
     """Cells of a hub and at most about CELL of its candidates."""
-    sizes = pairs.groupBy("hub").agg(blocks(F.count("*"), CELL).alias("nb"))
+    sizes = work.save(pairs.groupBy("hub").agg(blocks(F.count("*"), CELL).alias("nb")), "sizes")
     held = pairs.join(sizes, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("j"))
     cell = lambda df, side, rep: df.select(F.col("hub").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("i"), "j", F.lit(side).alias("side"), F.col(rep).alias("rep"))
     hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
     return cell(hubs, 0, "hub").union(cell(held, 1, "rep"))
 
 
-def pair_cells(marked: DataFrame) -> DataFrame:
+def pair_cells(work: Workspace, marked: DataFrame) -> DataFrame:
     """Cells that hold a block of side 0 and one of side 1 of a mark (a, b)."""
-    sizes = marked.groupBy("a", "b").agg(blocks(F.sum(1 - F.col("side")), CELL).alias("ni"), blocks(F.sum("side"), CELL).alias("nj"))
+    sizes = work.save(marked.groupBy("a", "b").agg(blocks(F.sum(1 - F.col("side")), CELL).alias("ni"), blocks(F.sum("side"), CELL).alias("nj")), "sizes")
     rows = marked.join(sizes, ["a", "b"])
     own = lambda n: F.array(F.pmod(F.xxhash64("rep"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -297,20 +305,20 @@ def pair_cells(marked: DataFrame) -> DataFrame:
     return rows.select("a", "b", "i", "j", "side", "rep")
 
 
-def candidate_stars(shared: DataFrame) -> DataFrame:
+def candidate_stars(work: Workspace, shared: DataFrame) -> DataFrame:
     """(hub, rep): the hub of each bucket with every other representative in it."""
     weight = shared.groupBy("rep").agg(F.sum("c").alias("w"))
     hubs = shared.join(weight, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("top"))
-    hubs = hubs.select("key", (-F.col("top.r")).alias("hub"))
+    hubs = work.save(hubs.select("key", (-F.col("top.r")).alias("hub")), "hubs")
     return shared.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct()
 
 
-def mixed_blocks(shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+def mixed_blocks(work: Workspace, shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """Blocks of the buckets that hold several components: those outside the largest against all."""
-    rows = shared.select("key", "rep").join(labels, "rep")
+    rows = work.save(shared.select("key", "rep").join(labels, "rep"), "labelled")
     parts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     per_key = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
-    per_key = per_key.select("key", F.col("top.comp").alias("top"), blocks(F.col("all") - F.col("top.n"), BLOCK).alias("ni"), blocks(F.col("all"), BLOCK).alias("nj"))
+    per_key = work.save(per_key.select("key", F.col("top.comp").alias("top"), blocks(F.col("all") - F.col("top.n"), BLOCK).alias("ni"), blocks(F.col("all"), BLOCK).alias("nj")), "per_key")
     rows = rows.join(per_key, "key")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -320,8 +328,8 @@ def mixed_blocks(shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataF
     return ask.select(cols).union(all_.select(cols)).join(reps.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep").select("key", "i", "j", "query", "top", "rep", "comp", "n", "sig")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per row of ``docs``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row per row of ``docs``.  Links: similarity of ``percent`` or more."""
     spark = docs.sparkSession
     small_batches(spark)
     work = Workspace(spark, "minhash")
@@ -331,27 +339,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sketches.where("n_shingles > 0 and doc_id is not null")
     reps = work.save(named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
     banded = reps.select("rep", F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    crowded = work.save(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "crowded")
     shared = work.save(banded.join(crowded, "key"), "shared")
 
     signed = reps.select("rep", "n_shingles", "sig")
-    pairs = candidate_stars(shared).join(signed, "rep").join(signed.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sig").alias("hub_sig")), "hub")
-    pairs = work.save(pairs.where((100 * F.least("n_shingles", "hub_n") >= PERCENT * F.greatest("n_shingles", "hub_n"))
-                                  & (estimate(F.col("sig"), F.col("hub_sig")) >= PERCENT / 100 - MARGIN)).select("hub", "rep"), "pairs")
+    pairs = candidate_stars(work, shared).join(signed, "rep").join(signed.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sig").alias("hub_sig")), "hub")
+    pairs = work.save(pairs.where((100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n"))
+                                  & (estimate(F.col("sig"), F.col("hub_sig")) >= percent / 100 - margin(percent))).select("hub", "rep"), "pairs")
     wanted = work.save(shared.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     texts = work.save(among(source, wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text"), "texts")
-    links = work.save(links_of(star_cells(pairs), texts), "links")
+    links = work.save(links_of(star_cells(work, pairs), texts, percent), "links")
     first = components(work, links, "x", "y")
     labels = work.save(shared.select("rep").distinct().join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")), "labels")
 
-    blocked = mixed_blocks(shared, labels, reps).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    marked = work.save(blocked.mapInArrow(marks, MARKS).distinct(), "marked")
-    more = work.save(links_of(pair_cells(marked), texts), "more")
+    blocked = mixed_blocks(work, shared, labels, reps).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    marked = work.save(blocked.mapInArrow(lambda batches: marks(batches, percent), MARKS).distinct(), "marked")
+    more = work.save(links_of(pair_cells(work, marked), texts, percent), "more")
     joined = more.join(labels.select(F.col("rep").alias("x"), F.col("comp").alias("cx")), "x").join(labels.select(F.col("rep").alias("y"), F.col("comp").alias("cy")), "y")
     second = components(work, joined, "cx", "cy")
     labels2 = labels.join(second.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("component_id"))
 
-    member = reps.select("d1", "d2", "n_shingles", "rep").join(labels2, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("_class"))
+    member = work.save(reps.select("d1", "d2", "n_shingles", "rep").join(labels2, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "rep").alias("_class")), "member")
     # empty sets and rows without an id join with nothing
     nameless = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     rest = sketches.where(nameless).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

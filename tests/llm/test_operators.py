@@ -202,7 +202,7 @@ def shingles(text):
     return frozenset(tuple(words[k:k + 5]) for k in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {d: shingles(t) for d, t in rows}
     parent = {d: d for d in sets}
 
@@ -215,7 +215,7 @@ def brute_components(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1:]:
             common = len(sets[a] & sets[b])
-            if common and 100 * common >= 85 * len(sets[a] | sets[b]):
+            if common and 100 * common >= percent * len(sets[a] | sets[b]):
                 x, y = top(a), top(b)
                 parent[max(x, y)] = min(x, y)
     return {d: (len(s), top(d)) for d, s in sets.items()}
@@ -262,7 +262,7 @@ def test_minhash_estimate_is_close():
             a, b = np.concatenate([every[:n], every[n:n + rest]]), np.concatenate([every[:n], every[n + rest:]])
             one, two = (minhash.pack(minhash.minima(x, flip, times))[None] for x in (a, b))
             got.append(minhash.estimates(one, two)[0, 0])
-        assert abs(np.mean(got) - share) < 0.02 and abs(np.array(got) - share).max() < minhash.MARGIN * 1.5
+        assert abs(np.mean(got) - share) < 0.02 and abs(np.array(got) - share).max() < minhash.margin() * 1.5
 
 
 def test_minhash_odd_rows(spark, odd):
