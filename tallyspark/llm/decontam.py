@@ -10,8 +10,10 @@ Texts and items are lower-cased and runs of white space become one blank; whole
 The items are read by the driver in blocks of at most about BLOCK_CHARS characters, each broadcast
 as an automaton; a benchmark of any size becomes more blocks, all applied in the same scan.
 
-Defined results: items that are null or shorter than MIN_CHARS characters after normalising are no
-passages and match nothing; null and empty texts match nothing; of equal items all match; repeated
+An item shorter than MIN_CHARS characters after normalising is no passage that edits could leave
+recognisable: it matches unchanged only, and between word borders.
+
+Defined results: items that are null or blank match nothing; an item without an id is reported with a null id; null and empty texts match nothing; of equal items all match; repeated
 rows get equal results; an empty benchmark matches nothing; other columns are ignored.
 """
 
@@ -47,6 +49,11 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def stands_alone(text: str, a: int, b: int) -> bool:
+    """Is text[a:b] cut off by word borders where it begins or ends with a letter or digit?"""
+    return not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
+
+
 def peq(pattern: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -82,7 +89,7 @@ class Searcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
         places: dict[str, list[tuple[int, int]]] = {}
-        self.items = [(i, t, budget(len(t), rate)) for i, t in items]
+        self.items = [(i, t, budget(len(t), rate) if len(t) >= MIN_CHARS else 0) for i, t in items]
         for n, (_, t, k) in enumerate(self.items):
             for at, piece in pieces(t, k):
                 places.setdefault(piece, []).append((n, at + len(piece)))
@@ -93,7 +100,7 @@ class Searcher:
             self.automaton.make_automaton()
         self.masks: dict[int, dict[str, int]] = {}
 
-    def find(self, text: str) -> list[tuple[int, int]]:
+    def find(self, text: str) -> list[tuple[int | None, int]]:
         """(item_id, edit distance) of every item that the text holds."""
         if not self.items:
             return []
@@ -101,23 +108,24 @@ class Searcher:
         starts: dict[int, set[int]] = {}
         for end, where in self.automaton.iter(text):
             for n, offset in where:
-                starts.setdefault(n, set()).add(end + 1 - offset)
+                at = end + 1 - offset
+                if len(self.items[n][1]) >= MIN_CHARS or stands_alone(text, at, end + 1):
+                    starts.setdefault(n, set()).add(at)
         found = []
         for n, at in starts.items():
             item, pattern, k = self.items[n]
             if (d := self.distance(n, pattern, k, text, sorted(at))) <= k:
                 found.append((item, d))
-        return sorted(found)
+        return sorted(found, key=lambda f: (f[0] is None, f[0] or 0, f[1]))
 
     def distance(self, n: int, pattern: str, k: int, text: str, starts: list[int]) -> int:
-        m, best = len(pattern), k + 1
-        while starts:  # hits near each other share a window
-            lo = hi = starts[0]
-            rest = 1
-            while rest < len(starts) and starts[rest] <= hi + k:
-                hi = starts[rest]
-                rest += 1
-            starts = starts[rest:]
+        m, best, at = len(pattern), k + 1, 0
+        while at < len(starts):  # hits near each other share a window
+            lo = hi = starts[at]
+            at += 1
+            while at < len(starts) and starts[at] <= hi + k:
+                hi = starts[at]
+                at += 1
             window = text[max(0, lo - k):hi + m + k]
             if pattern in window:
                 return 0
@@ -126,7 +134,7 @@ class Searcher:
         return best
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int | None, str]]]:
     """Normalised items in blocks of about BLOCK_CHARS characters; the sizes are summed first."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -134,7 +142,7 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     found = []
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        found.append(sorted((r.item_id if r.item_id is not None else -1, t) for r in rows if len(t := normal(r.text)) >= MIN_CHARS))
+        found.append(sorted(((r.item_id, t) for r in rows if (t := normal(r.text))), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
     return found
 
 

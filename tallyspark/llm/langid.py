@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.arrow import share, small_batches, strings
+from tallyspark.llm.work import Workspace
 
 BITS = 15
 ORDERS = (1, 2, 3, 4)
@@ -164,12 +165,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                                               pa.array(np.concatenate([[rows[lang]], own[used]]), pa.int64())], ["lang", "bucket", "n"])
 
     counted = learnable(docs, id_col, text_col, lang_col, max_rows).mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # the collect is bounded: at most one row more than MAX_LANGUAGES full languages
-    got = counted.limit(MAX_LANGUAGES * ((1 << BITS) + 1) + 1).toArrow()
-    langs, buckets, n = (got.column(k).to_numpy() for k in range(3))
+    work = Workspace(docs.sparkSession, "langid")
+    counted = work.save(counted, "counted")
+    # a dirty label column may hold any number of values: the most frequent MAX_LANGUAGES of the sample are learned
+    learned = counted.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
+    got = counted.join(F.broadcast(learned), "lang").toArrow()
+    work.drop(counted)
+    langs, buckets, n = (got.column(k).to_numpy() for k in ("lang", "bucket", "n"))
     languages = sorted(set(langs))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     index = {x: k for k, x in enumerate(languages)}
     where = np.array([index[x] for x in langs], int)
     counts = np.zeros((1 << BITS, len(languages)))

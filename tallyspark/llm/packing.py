@@ -7,9 +7,9 @@ boundaries with the least padding overall (ties: the smaller boundary).  Inside
 order of a hash of their id fill batches of floor(TOKEN_BUDGET / boundary) pieces, so that only the
 last batch of a bucket may be short.
 
-Places in a bucket are counted in shards of the hash's range: row numbers inside a shard plus the
-sizes of the shards before it.  No bucket passes through one task, and the outcome is the same for
-any number of shards.
+Places in a bucket come from one range-partitioned sort by bucket, hash, id, piece, length and a written row
+number: a row's place is its position in its partition plus the sizes of the partitions before it.  Since
+the row number is part of the key, no bucket, id or group of rows without an id passes through one task.
 
 Defined results: null and wordless texts give one row with length 0 and no bucket, batch or slot;
 rows without an id share the hash of an empty id; repeated rows take places of their own; an empty
@@ -20,17 +20,15 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.llm.arrow import once
 from tallyspark.llm.work import Workspace
+from tallyspark.operators.order import global_rank
 
 MAX_LENGTH = 2048
 BUCKETS = 8
 TOKEN_BUDGET = 16_384
-SHARD_ROWS = 50_000
-MAX_DIGITS = 6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,19 +83,14 @@ def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS,
     if not ends:
         none = lambda kind: F.lit(None).cast(kind)
         return cut.select("*", none("long").alias("bucket"), none("long").alias("batch"), none("long").alias("slot"), F.when(F.lit(False), 0).cast("long").alias("padding"))
-    total = int(histogram["n"].sum())
-    digits = min(MAX_DIGITS, max(1, int(np.ceil(np.log(max(total / SHARD_ROWS, 1)) / np.log(16)))))
     bucket = F.coalesce(*[F.when(F.col("length") <= e, F.lit(e)) for e in ends]).cast("long")
     key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("piece").cast("string")))
-    full = cut.where("length > 0").select("*", bucket.alias("bucket"), key.alias("_key"))
-    full = full.withColumn("_shard", F.conv(F.substring("_key", 1, digits), 16, 10).cast("int"))
-    sizes = full.groupBy("bucket", "_shard").agg(F.count("*").alias("_n"))
-    # 8 x 16**digits rows at most, per bucket in one task: fewer than one for each SHARD_ROWS / 16 pieces
-    before = sizes.select("bucket", "_shard", (F.sum("_n").over(W.partitionBy("bucket").orderBy("_shard")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("bucket", "_shard").orderBy("_key", "doc_id", "piece", "length")) - 1
-    placed = full.withColumn("_inside", inside).join(before, ["bucket", "_shard"])
+    full = cut.where("length > 0").select("*", bucket.alias("bucket"), key.alias("_key"), F.monotonically_increasing_id().alias("_row"))
+    placed = global_rank(full, ["bucket", "_key", "doc_id", "piece", "length", "_row"], "_place")
+    sizes = [int(histogram["n"][(histogram["length"] <= e) & (histogram["length"] > before)].sum()) for before, e in zip([0, *ends[:-1]], ends, strict=True)]
+    first = F.coalesce(*[F.when(F.col("bucket") == e, F.lit(sum(sizes[:k]))) for k, e in enumerate(ends)])
     room = F.greatest(F.floor(F.lit(token_budget) / F.col("bucket")), F.lit(1)).cast("long")
-    at = F.col("_before") + F.col("_inside")
+    at = F.col("_place") - first
     placed = placed.select("doc_id", "piece", "start", "length", "bucket", F.floor(at / room).cast("long").alias("batch"), (at % room).cast("long").alias("slot"), (F.col("bucket") - F.col("length")).alias("padding"))
     empty = cut.where("length = 0").select("doc_id", "piece", "start", "length", *[F.lit(None).cast("long").alias(c) for c in ("bucket", "batch", "slot", "padding")])
     return placed.unionByName(empty)

@@ -8,7 +8,8 @@ The labels hold one category, ``toxic``.  The chain's earlier categories are def
 ``marked`` (the text holds words that only toxic texts use: learned from the training rows) and
 ``heavy`` (such words make up a high share of a toxic text); the last category is ``toxic`` itself.
 
-Features are hashed words, word beginnings of 4 and 5 characters, present or not, over whole texts.
+Features are hashed words, word beginnings of 4 and 5 bytes, and inside runs of more than LONG_RUN bytes
+(text without blanks) all pieces of LONG_GRAM bytes; present or not, over whole texts and whole words.
 Training uses at most about TRAIN_ROWS labelled rows and TRAIN_CHARS characters of them (documented
 bounds; an even sample of whole texts by a hash of the id); scoring reads every document in Arrow batches with the weights broadcast
 (3 x 2**FEATURE_BITS numbers).
@@ -30,10 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.arrow import runs, share, small_batches, utf8
+from tallyspark.llm.words import WordHasher, grams, mix
 
 CATEGORIES = ("marked", "heavy", "toxic")
 FEATURE_BITS = 18
 PREFIXES = (4, 5)
+LONG_RUN, LONG_GRAM = 32, 9
+FACTOR = 0x2545F4914F6CDD1D
 TRAIN_ROWS = 12_000
 TRAIN_CHARS = 100_000_000
 FOLDS = 3
@@ -43,39 +47,44 @@ RESULT = "struct<marked: double, heavy: double, toxic: double, flagged: boolean>
 BYTES = 1 << 22
 
 
-def word_bytes() -> tuple[np.ndarray, np.ndarray]:
-    """Is a UTF-8 byte part of a word (letters; all above ASCII), and its lower-cased value mixed."""
+def word_hasher() -> tuple[WordHasher, np.ndarray]:
+    """Words are letters and all bytes above ASCII, read in lower case; and each byte's mixed value."""
     inside = np.zeros(256, bool)
     inside[65:91] = inside[97:123] = inside[128:] = True
     lower = np.arange(256)
     lower[65:91] += 32
-    return inside, (lower.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    return WordHasher(inside, lower), mix(lower.astype(np.uint64) + np.uint64(1))
 
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct feature numbers of each row; rows are taken some BYTES at a time."""
-    inside, mixed = word_bytes()
+    hasher, mixed = word_hasher()
+    number = lambda x, kind: (mix(x + np.uint64(kind)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
     raw, offsets = utf8(column)
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BYTES, "right")) - 1)
         part, local = raw[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
-        starts, ends = runs(inside[part], local)
+        starts, ends = runs(hasher.inside[part], local)
         length = ends - starts
-        value = np.concatenate([mixed[part], np.zeros(64, np.uint32)])
-        h, made = np.full(len(starts), 0x811C9DC5, np.uint32), []
-        for k in range(int(min(length.max(), 64)) if len(length) else 0):  # a word's hash covers 64 bytes
-            going = length > k
-            h = np.where(going, (h ^ value[np.minimum(starts + k, len(value) - 1)]) * np.uint32(0x01000193), h)
-            h ^= np.where(going, h >> np.uint32(15), np.uint32(0))
-            if k + 1 in PREFIXES:
-                made.append((h * np.uint32(0x85EBCA6B) + np.uint32(k + 1), length > k + 1))
-        made.append((h * np.uint32(0xC2B2AE35), np.ones(len(starts), bool)))
-        ids = np.stack([(x >> np.uint32(32 - FEATURE_BITS)).astype(np.int32) for x, _ in made]) if len(starts) else np.zeros((1, 0), np.int32)
-        used = np.stack([m for _, m in made]) if len(starts) else np.zeros((1, 0), bool)
-        firsts = np.searchsorted(starts, local)
-        for lo, hi in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
-            yield np.unique(ids[:, lo:hi][used[:, lo:hi]])
+        words, firsts = hasher.words(part, local)
+        made, used = [number(words, 0)], [np.ones(len(starts), bool)]
+        for size in PREFIXES:
+            beginning = grams(mixed[part], size, FACTOR)
+            longer = length > size
+            value = np.zeros(len(starts), np.uint64)
+            value[longer] = beginning[starts[longer]]
+            made.append(number(value, size))
+            used.append(longer)
+        ids, used_ = np.stack(made), np.stack(used)
+        # long runs have no blanks to cut them into words, so every place in them counts
+        long = np.flatnonzero(length > LONG_RUN)
+        count = length[long] - LONG_GRAM + 1
+        place = np.repeat(starts[long] - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(long) else starts[:0], count) + np.arange(count.sum())
+        inner = number(grams(mixed[part], LONG_GRAM, FACTOR)[place], LONG_GRAM) if len(place) else np.zeros(0, np.int32)
+        inner_firsts = np.searchsorted(place, local)
+        for k, (lo, hi) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)):
+            yield np.unique(np.concatenate([ids[:, lo:hi][used_[:, lo:hi]], inner[inner_firsts[k]:inner_firsts[k + 1]]]))
         at = to
 
 
@@ -209,10 +218,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_ch
     n = known.count()
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
-    known = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about max_rows small rows at most
-    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars > max_chars:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * max_chars / chars))
+    known = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where(F.length(F.trim("text")) > 0)  # about max_rows small rows at most
+    rows, chars = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    share_of = min(1.0, max_rows / max(rows, 1), max_chars / max(chars, 1))  # a labelled id may stand in many rows
+    if share_of < 1:
+        known = known.where(F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 20)) < int((1 << 20) * share_of))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -119,9 +119,12 @@ class Stream:
             raise self.fail(str(e)) from e
         return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (at := self.data.find(mark)) < 0:
-            if len(self.data) > most or not self.more():
+    def until(self, mark: bytes) -> bytes:
+        """What stands before the mark; a header may be of any length that memory holds."""
+        seen = 0
+        while (at := self.data.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.data)
+            if not self.more():
                 raise self.fail("no end of a header")
         found, self.data = self.data[:at], self.data[at + len(mark):]
         return found

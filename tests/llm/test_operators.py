@@ -110,6 +110,14 @@ def test_language_slices_add_up(spark, monkeypatch):
     assert np.allclose(whole, langid.loglik(model, text, langid.letter_table())[0])
 
 
+def test_language_keeps_the_most_frequent_labels(spark, monkeypatch):
+    """A dirty label column stops nothing: the most frequent labels are learned."""
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(k, "the cat and the dog", "en") for k in range(20)] + [(100 + k, "der hund und die katze", "de") for k in range(20)] + [(200 + k, f"zzz{k}", f"dirt{k}") for k in range(15)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert list(model.languages) == ["de", "en"]
+
+
 def test_language_odd_rows(spark, odd):
     rows = langid.language_id(odd).collect()
     assert len(rows) == 10
@@ -187,6 +195,26 @@ def test_toxicity_features_match_brute_force():
         assert set(got.tolist()) == set().union(*alone) and list(got) == sorted(set(got))
 
 
+def test_toxicity_reads_whole_words():
+    """What stands behind the first bytes of a very long word, or anywhere in text without blanks, is seen."""
+    features = lambda t: set(next(iter(toxicity.features(pa.array([t])))).tolist())
+    assert features("x" * 100 + "a") != features("x" * 100 + "b")
+    inner, around = "毒毒毒", ["日本語" * 40, "文章" * 70]
+    shared = set.intersection(*[features(a + inner + a) for a in around])
+    assert shared and not shared & set.union(*[features(a) for a in around])
+    assert len(features("ab" * 16)) == 3 and len(features("ab" * 17)) > 3  # pieces only in runs over LONG_RUN bytes
+
+
+def test_toxicity_training_rows_are_bounded(spark, monkeypatch):
+    """One labelled id on very many rows does not bring them all to the driver."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda ids, bounds, toxic: seen.append(len(toxic)))
+    docs = spark.range(5000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id bigint, quality int, toxic int")
+    toxicity.train(docs, labels, max_rows=100)
+    assert 20 < seen[0] < 250
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(2, 0, 1), (None, 0, 1), (4, None, None), (77, 1, 0)], "doc_id bigint, quality int, toxic int")
     rows = toxicity.score_toxicity(odd, labels).collect()
@@ -310,10 +338,9 @@ def test_boundaries_match_brute_force():
             assert padding(got) == best and len(got) == min(buckets, len(lengths))
 
 
-def test_packing_places(spark, texts, monkeypatch):
+def test_packing_places(spark, texts):
     rows = packing.pack(read(spark, "documents"), max_length=300).collect()
-    monkeypatch.setattr(packing, "SHARD_ROWS", 5)  # more shards, same outcome
-    assert sorted(rows) == sorted(packing.pack(read(spark, "documents"), max_length=300).collect())
+    assert sorted(rows) == sorted(packing.pack(read(spark, "documents").repartition(13), max_length=300).collect())
     total, batches = collections.Counter(), collections.Counter()
     for r in rows:
         total[r.doc_id] += r.length
@@ -326,6 +353,20 @@ def test_packing_places(spark, texts, monkeypatch):
     assert len({(r.bucket, r.batch, r.slot) for r in rows}) == len(rows)
 
 
+def test_packing_spreads_rows_without_an_id(spark):
+    """Every row gets a place of its own, and rows of one key are sorted by several tasks."""
+    n = 4000
+    docs = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).cast("bigint").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text")).repartition(8)
+    out = packing.pack(docs)
+    rows = out.collect()
+    assert len(rows) == n and len({(r.bucket, r.batch, r.slot) for r in rows}) == n
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    ranked = packing.global_rank(docs.select(F.lit("same").alias("k"), F.monotonically_increasing_id().alias("_row")), ["k", "_row"])
+    parts = ranked.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1
+
+
 def test_packing_odd_rows(spark, odd):
     rows = packing.pack(odd).collect()
     assert {r.doc_id for r in rows if r.length == 0} == {1, 2, 3} and all(r.bucket is None for r in rows if r.length == 0)
@@ -361,6 +402,13 @@ def test_warc_records_and_damage():
         list(warc.read_records(reader(warc.gzip_member(bad + bad)), "t"))
 
 
+def test_warc_headers_of_any_length(spark):
+    """A url of 2 MiB makes a header block as long; it is written and read back."""
+    pages = spark.createDataFrame([(1, "http://x/" + "a" * (2 << 20), "<p>hello" * 30), (2, "http://y/", "<p>short")], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert got[1].payload_bytes == 240 and got[2].payload_bytes == 8 and got[1].record_type == "response"
+
+
 def test_warc_odd_rows(spark):
     big = "é" * 60
     rows = [(5, "u", big), (3, None, big), (3, None, big), (8, "x y", "small"), (9, "z", "small"), (None, "n", big), (None, "n", "b" * 200), (1, "", None), (2, "", "")]
@@ -471,7 +519,7 @@ def test_myers_matches_dynamic_programming():
 def test_search_matches_brute_force(spark, texts):
     rng = random.Random(4)
     words = [w for t in texts.values() for w in t.split()]
-    items = [" ".join(rng.sample(words, rng.randrange(6, 30))) for _ in range(8)]
+    items = [x for _ in range(12) if len(decontam.normal(x := " ".join(rng.sample(words, rng.randrange(6, 30))))) >= decontam.MIN_CHARS][:8]
     docs = []
     for _ in range(40):
         item = list(rng.choice(items))
@@ -485,13 +533,34 @@ def test_search_matches_brute_force(spark, texts):
         want = []
         for k, t in enumerate(items):
             t, d = decontam.normal(t), edit_search(decontam.normal(t), decontam.normal(doc))
-            if len(t) >= decontam.MIN_CHARS and d <= decontam.budget(len(t)):
+            assert len(t) >= decontam.MIN_CHARS
+            if d <= decontam.budget(len(t)):
                 want.append((k, d))
         assert searcher.find(doc) == want
         hits += bool(want)
     assert hits > 5
 
 
+def test_short_items_match_unchanged_between_borders():
+    searcher = decontam.Searcher([(1, "cats"), (2, "is 2+2=4?"), (3, "日本"), (None, "a" * 23), (5, "b" * 24)])
+    found = lambda t: [i for i, _ in searcher.find(t)]
+    assert found("The CATS sat") == [1] and found("concatscend") == [] and found("cat s") == [] and found("cats") == [1]
+    assert found("so, is  2+2=4? yes") == [2] and found("his 2+2=4?") == [] and found("(日本)") == [3]
+    assert found("x " + "a" * 23 + ".") == [None] and found("a" * 24) == [] and found("a" * 22) == []
+    assert found("xx" + "b" * 23 + "c") == [5]  # from 24 characters on, one edit is allowed, anywhere
+
+
+def test_many_hits_take_linear_time():
+    import time
+    item = "ab " * 12 + "end of the passage"
+    searcher, took = decontam.Searcher([(1, item)]), []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        searcher.find("ab " * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_decontaminate_tables(spark, odd, texts):
     items = dict(duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall())
     got = {r.doc_id: r for r in queries.op9_decontaminate(spark, SF).collect()}
@@ -500,7 +569,7 @@ def test_decontaminate_tables(spark, odd, texts):
         assert set(exact) <= set(got[d].item_ids) and got[d].contaminated == bool(got[d].item_ids)
     bench = spark.createDataFrame([(1, None), (2, "the"), (None, "text without id, of some words"), (4, " ".join(f"word{k} und der" for k in range(40)))], "item_id bigint, text string")
     rows = {r.doc_id: r for r in decontam.decontaminate(odd, bench).collect()}
-    assert rows[None].item_ids == [-1] and rows[4].item_ids == [4] and not rows[1].contaminated
+    assert rows[None].item_ids == [None] and rows[4].item_ids == [4] and not rows[1].contaminated
     assert not decontam.decontaminate(odd, bench.limit(0)).where("contaminated").count() and decontam.decontaminate(empty(spark), bench).count() == 0
 
 
