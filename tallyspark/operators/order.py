@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.session import materialize
@@ -15,12 +15,16 @@ def global_rank(df: DataFrame, cols: list[str], name: str = "_rank") -> DataFram
 
     A range-partitioned sort is written once; a row's rank is its position
     in its partition plus the sizes of the partitions before it: a running
-    sum over one row per shuffle partition.
+    sum over one number per shuffle partition, made by the driver.
     """
     done = materialize(df.orderBy(*cols).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", LOW_BITS)
     sizes = done.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_before"))
+    rows, total = [], 0
+    for p, n in sorted(map(tuple, sizes.collect())):
+        rows.append((p, total))
+        total += n
+    before = df.sparkSession.createDataFrame(rows, "_part bigint, _before bigint")
     at = F.col("_at").bitwiseAND(F.lit((1 << LOW_BITS) - 1))
     return (done.withColumn("_part", part).join(before, "_part")
                 .withColumn(name, F.col("_before") + at).drop("_part", "_before", "_at"))
