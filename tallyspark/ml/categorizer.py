@@ -44,6 +44,7 @@ from tallyspark.operators.rules import categorize_weighted, pseudo_labels
 from tallyspark.session import materialize
 
 SPLIT_BUCKETS = 1 << 16
+FOREST_MB = 1024  # statistics of the nodes that grow in one pass over the rows
 # Sublinear term frequency (D2); the vocabulary comes from the relational statistics (tfidf.vocabulary).
 
 
@@ -216,8 +217,9 @@ def train(df: DataFrame, target_column: str | None = None, cfg: ModelConfig = IM
     train_df, test_df = stratified_split(data, n=n)
     indexer = StringIndexer(inputCol="categoria", outputCol="label", stringOrderType="alphabetAsc").fit(train_df)
     feats = fit_features(cfg, train_df)
-    # features are computed once; class counts and the forest read them
-    prepared = materialize(indexer.transform(feats.transform(train_df)).select("features", "label"))
+    # features are computed once per distinct text; class counts and the forest read every row
+    by_text = lambda model: lambda keys: model.transform(keys.withColumn("descripcion", F.col("_key")))
+    prepared = materialize(score_distinct(indexer.transform(train_df), F.col("descripcion"), by_text(feats), ["features"]).select("features", "label"))
     weight_col = None
     if cfg.balanced:  # n / (k * n_class)
         n_train, k = prepared.count(), len(indexer.labels)
@@ -226,7 +228,7 @@ def train(df: DataFrame, target_column: str | None = None, cfg: ModelConfig = IM
         weight_col = "_w"
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=cfg.num_trees,
                                 maxDepth=cfg.max_depth, minInstancesPerNode=cfg.min_instances_per_node,
-                                featureSubsetStrategy=cfg.feature_subset, seed=SEED,
+                                featureSubsetStrategy=cfg.feature_subset, seed=SEED, maxMemoryInMB=FOREST_MB,
                                 **({"weightCol": weight_col} if weight_col else {}))
     forest = rf.fit(prepared)
     if cfg.min_samples_split > 2:
@@ -234,7 +236,7 @@ def train(df: DataFrame, target_column: str | None = None, cfg: ModelConfig = IM
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
     model = PipelineModel(stages=[*feats.stages, forest, back])
     elapsed = time.time() - start
-    pred = model.transform(test_df)
+    pred = score_distinct(test_df, F.col("descripcion"), by_text(model), ["predicted"])
     acc = pred.agg(F.avg((F.col("predicted") == F.col("categoria")).cast("double"))).first()[0]
     n_feats = forest.numFeatures
     return TrainResult("trained" if cfg.method == "ml" else "trained_improved", n, model, acc,
