@@ -17,6 +17,7 @@ an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -344,28 +345,51 @@ def span(e: Element, name: str) -> int:
 MAX_PAD = 120
 
 
-def table_lines(grid: list[list[tuple[str, int]]]) -> list[str]:
-    """Cells (text, columns they span) in aligned columns, two blanks apart; all text is kept.
-
-    Cells longer than MAX_PAD don't widen their column: what follows them moves to the right.
-    """
-    widths: dict[int, int] = {}
+def placed(grid: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
+    """(first column, column behind the last, text) of each cell; cells that reach down keep their columns free below."""
+    out, busy = [], {}
     for row in grid:
-        at = 0
-        for text, n in row:
-            if n == 1:
+        cells, below, at = [], {c: n - 1 for c, n in busy.items() if n > 1}, 0
+        for text, wide, down in row:
+            while at in busy:
+                at += 1
+            cells.append((at, at + wide, text))
+            if down > 1:
+                below |= dict.fromkeys(range(at, at + wide), down - 1)
+            at += wide
+        out.append(cells)
+        busy = below
+    return out
+
+
+def table_lines(grid: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Cells (text, columns and rows they span) in aligned columns, two blanks apart; all text is kept.
+
+    Only columns that some cell begins in are laid out, so a span is no wider than what it spans.  Cells
+    longer than MAX_PAD don't widen their column: what follows them moves to the right.
+    """
+    rows = placed(grid)
+    columns = sorted({a for row in rows for a, _, _ in row})
+    number = {c: k for k, c in enumerate(columns)}
+    widths = [0] * len(columns)
+    behind = lambda b: bisect.bisect_left(columns, b)
+    for row in rows:
+        for a, b, text in row:
+            if behind(b) == number[a] + 1:
                 widest = max((len(x) for x in text.split("\n")), default=0)
-                widths[at] = max(widths.get(at, 0), min(widest, MAX_PAD))
-            at += n
+                widths[number[a]] = max(widths[number[a]], min(widest, MAX_PAD))
     lines = []
-    for row in grid:
-        cells = [text.split("\n") for text, _ in row]
-        for k in range(max(map(len, cells), default=0)):
+    for row in rows:
+        if not any(text for *_, text in row):
+            continue
+        cells = [(number[a], behind(b), text.split("\n")) for a, b, text in row]
+        for k in range(max((len(c) for *_, c in cells), default=0)):
             parts, at = [], 0
-            for (_, n), cell in zip(row, cells, strict=True):
-                width = sum(widths.get(at + c, 0) for c in range(n)) + 2 * (n - 1)
+            for first, end, cell in cells:
+                parts += [" " * w for w in widths[at:first]]  # columns of a cell further up
+                width = sum(widths[first:end]) + 2 * (end - first - 1)
                 parts.append((cell[k] if k < len(cell) else "").ljust(width))
-                at += n
+                at = max(end, first + 1)
             lines.append("  ".join(parts).rstrip(" "))
     return lines
 
@@ -414,7 +438,7 @@ def enter(e: Element, w: Writer) -> list[tuple]:
     if tag == "table":
         rows, other = rows_of(e)
         cells = [[(Writer(), c) for c in row] for row in rows]
-        todo: list[tuple] = [("leave", e, w), ("table", [[(cw, span(c, "colspan")) for cw, c in row] for row in cells], w)]
+        todo: list[tuple] = [("leave", e, w), ("table", [[(cw, span(c, "colspan"), span(c, "rowspan")) for cw, c in row] for row in cells], w)]
         todo += [("node", Inside(c), cw) for row in reversed(cells) for cw, c in reversed(row)]
         return todo + [("node", x, w) for x in reversed(other)]
     if tag in ("ul", "ol", "menu"):
@@ -456,9 +480,8 @@ def leave(e: Element, w: Writer) -> None:
         w.block(paragraph(e, w))
 
 
-def finish_table(grid: list[list[tuple[Writer, int]]], w: Writer) -> None:
-    rows = [[(cw.result(), n) for cw, n in row] for row in grid]
-    w.raw(table_lines([r for r in rows if any(text for text, _ in r)]))
+def finish_table(grid: list[list[tuple[Writer, int, int]]], w: Writer) -> None:
+    w.raw(table_lines([[(cw.result(), wide, down) for cw, wide, down in row] for row in grid]))
 
 
 def to_text(page: str) -> str:

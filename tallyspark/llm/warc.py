@@ -20,6 +20,7 @@ gives no archive and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -146,11 +147,16 @@ def read_records(read: Callable[[int], bytes], name: str, with_payload: bool = F
         lines = stream.until(b"\r\n\r\n").decode("utf-8", "surrogatepass").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise stream.fail("no WARC version line")
-        head = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
-        block, payload = hashlib.sha256(), hashlib.sha256()
+        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        declared = {part: head.get(f"warc-{part}-digest") for part in ("block", "payload")}
+        block, payload = Digest(declared["block"]), Digest(declared["payload"])
         http, kept, size = b"", [], 0
-        in_payload = False
-        for part in stream.take(int(head["content-length"])):
+        in_payload = not head.get("content-type", "").lower().startswith("application/http")  # of other records the block is the payload
+        try:
+            length = int(head["content-length"])
+        except (KeyError, ValueError) as e:
+            raise stream.fail("no Content-Length") from e
+        for part in stream.take(length):
             block.update(part)
             if not in_payload:
                 http += part
@@ -164,17 +170,40 @@ def read_records(read: Callable[[int], bytes], name: str, with_payload: bool = F
                 kept.append(part)
         if b"".join(stream.take(4)) != b"\r\n\r\n":
             raise stream.fail("no end of record")
-        revisit = head["warc-type"] == "revisit"
-        ok = head.get("warc-block-digest") == f"sha256:{block.hexdigest()}"
-        digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
-        if revisit:  # its HTTP header tells the length of the full payload
-            fields = dict(x.split(b": ", 1) for x in http.split(b"\r\n")[1:])
-            size = int(fields[b"Content-Length"])
+        revisit = head.get("warc-type") == "revisit"
+        checks = [block.matches()]
+        digest = payload.sha256.hexdigest()
+        if revisit:  # its HTTP header, if it has one, tells the length of the full payload
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])}
+            size = int(fields[b"content-length"]) if fields.get(b"content-length", b"").isdigit() else None
+            digest = (declared["payload"] or "").removeprefix("sha256:") or None
         else:
-            ok = ok and digest == payload.hexdigest()
-            digest = payload.hexdigest()
-        yield {"record_id": head["warc-record-id"], "record_type": head["warc-type"], "target_uri": head.get("warc-target-uri"), "refers_to": head.get("warc-refers-to"),
-               "payload_bytes": size, "payload_digest": digest, "digest_ok": ok, "payload": b"".join(kept) if with_payload and not revisit else None}
+            checks.append(payload.matches())
+        known = [c for c in checks if c is not None]
+        yield {"record_id": head.get("warc-record-id"), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "refers_to": head.get("warc-refers-to"),
+               "payload_bytes": size, "payload_digest": digest, "digest_ok": all(known) if known else None, "payload": b"".join(kept) if with_payload and not revisit else None}
+
+
+class Digest:
+    """A running SHA-256, and the digest that a header declares: hexadecimal or base 32, of any algorithm of hashlib's."""
+
+    def __init__(self, declared: str | None):
+        name, _, self.value = (declared or "").partition(":")
+        name = name.strip().lower().replace("-", "")
+        self.sha256 = hashlib.sha256()
+        self.own = None if name not in hashlib.algorithms_guaranteed or name.startswith("shake") else self.sha256 if name == "sha256" else hashlib.new(name)
+
+    def update(self, part: bytes) -> None:
+        self.sha256.update(part)
+        if self.own is not None and self.own is not self.sha256:
+            self.own.update(part)
+
+    def matches(self) -> bool | None:
+        """None where no digest, or one of an unknown algorithm, is declared."""
+        if self.own is None:
+            return None
+        found = self.own.digest()
+        return self.value.strip().lower() == found.hex() or self.value.strip().upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
 
 
 def plan_records(pages: DataFrame, work: Workspace, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:

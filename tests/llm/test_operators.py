@@ -402,6 +402,29 @@ def test_warc_records_and_damage():
         list(warc.read_records(reader(warc.gzip_member(bad + bad)), "t"))
 
 
+def test_warc_of_other_writers():
+    """A warcinfo record, SHA-1 digests in base 32, a revisit without HTTP header, unknown and wrong digests."""
+    import base64
+    import io
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+
+    def make(kind, block, *lines):
+        head = ["WARC/1.0", f"WARC-Type:{kind}", "WARC-Record-ID: <urn:uuid:1>", *lines, f"Content-Length: {len(block)}"]
+        return warc.gzip_member("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    info, page = b"software: x\r\n", b"<p>hello"
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + page
+    kind = "Content-Type: application/http; msgtype=response"
+    data = make("warcinfo", info, "Content-Type: application/warc-fields", "WARC-Block-Digest: " + sha1(info))
+    data += make("response", http, kind, "WARC-Block-Digest: " + sha1(http), "WARC-Payload-Digest: " + sha1(page))
+    data += make("response", http, kind, "WARC-Payload-Digest: " + sha1(page + b"!")) + make("response", http, kind, "WARC-Payload-Digest: blake9:77") + make("revisit", b"", kind, "WARC-Refers-To: <urn:uuid:1>")
+    rows = list(warc.read_records(io.BytesIO(data).read, "t", True))
+    assert [r["digest_ok"] for r in rows] == [True, True, False, None, None]
+    assert [r["payload_bytes"] for r in rows] == [len(info), 8, 8, 8, None] and rows[1]["payload"] == page
+    with pytest.raises(warc.ArchiveError):
+        list(warc.read_records(io.BytesIO(warc.gzip_member(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n\r\n\r\n")).read, "t"))
+
+
 def test_warc_headers_of_any_length(spark):
     """A url of 2 MiB makes a header block as long; it is written and read back."""
     pages = spark.createDataFrame([(1, "http://x/" + "a" * (2 << 20), "<p>hello" * 30), (2, "http://y/", "<p>short")], "page_id bigint, url string, html string")
@@ -449,6 +472,21 @@ def test_html_implied_ends_and_foreign_content(page, text):
     assert html.to_text(page) == text
 
 
+@pytest.mark.parametrize("table,lines", [
+    ("<tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e", ["a  b  c", "   d  e"]),
+    ("<tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td>f<td>gg<tr><td>h<td>i<td>j", ["a  b  c", "d     e", "f     gg", "h  i  j"]),
+    ("<tr><td rowspan=2 colspan=2>ww<td>c<tr><td>d<tr><td>x<td>y<td>z", ["ww    c", "      d", "x  y  z"]),
+    ("<tr><td>a<td colspan=1000>b<td>c<tr><td>d<td>e", ["a  b  c", "d  e"]),
+    ("<tr><td rowspan=9>a<td>b<tr><td><tr><td>c", ["a  b", "   c"])])
+def test_html_spans(table, lines):
+    assert html.to_text(f"<table>{table}</table>").split("\n") == lines
+
+
+def test_html_spans_pad_no_more_than_they_cover():
+    page = "<table>" + "<tr><td colspan=1000>a<td>b" * 40 + "</table>"
+    assert len(html.to_text(page)) < len(page)
+
+
 def test_html_deep_and_whole(spark):
     assert html.to_text("<div>" * 20_000 + "x").strip() == "x"
     assert html.to_text("<ul><li>" * 3000 + "x").strip().endswith("x")
