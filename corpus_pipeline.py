@@ -58,7 +58,7 @@ def free_name(docs: DataFrame, name: str) -> str:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = free_name(docs, "items")
-    found = docs.withColumn(name, decontam.matches(docs, load(spark, sf_dir, "benchmark"), F.col("text")))
+    found = decontam.with_matches(docs, load(spark, sf_dir, "benchmark"), name)
     return found.where(F.size(name) == 0).drop(name)
 
 

@@ -7,8 +7,9 @@ Myers' bit-parallel algorithm computes the edit distance around that place.
 
 Texts and items are lower-cased and runs of white space become one blank; whole texts are searched.
 
-The items are read by the driver in blocks of at most about BLOCK_CHARS characters, each broadcast
-as an automaton; a benchmark of any size becomes more blocks, all applied in the same scan.
+The items are read by the driver in blocks of about BLOCK_CHARS characters.  One block at a time is
+broadcast and searched for in every text; what it found is written before the next block is read, so that
+neither driver nor workers hold more than one, however many items there are.
 
 An item shorter than MIN_CHARS characters after normalising is no passage that edits could leave
 recognisable: it matches unchanged only, and between word borders.
@@ -19,15 +20,15 @@ rows get equal results; an empty benchmark matches nothing; other columns are ig
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.arrow import share, small_batches, strings
+from tallyspark.llm.arrow import share, shared, small_batches, strings
+from tallyspark.llm.work import Workspace
 
 ERROR_RATE = 0.08
 MIN_CHARS = 24
@@ -134,41 +135,49 @@ class Searcher:
         return best
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int | None, str]]]:
-    """Normalised items in blocks of about BLOCK_CHARS characters; the sizes are summed first."""
+def distinct_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """Different (item_id, text) and the number of blocks that they take."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_CHARS)
-    found = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        found.append(sorted(((r.item_id, t) for r in rows if (t := normal(r.text))), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-    return found
+    return items, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: Column, rate: float = ERROR_RATE) -> Column:
-    """Column of the items that a text holds, as array<struct<item_id, distance>>."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def item_block(items: DataFrame, k: int, n: int) -> list[tuple[int | None, str]]:
+    """Block k of n: normalised items by id."""
+    rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+    return sorted(((r.item_id, t) for r in rows if (t := normal(r.text))), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
 
-    def column(items: list[tuple[int, str]]) -> Column:
-        shared = share(spark, items)
+def searched(given: Callable[[], list[tuple[int | None, str]]], text: Column, rate: float) -> Column:
+    """Column of the given items that a text holds."""
+    @F.arrow_udf(MATCH)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        searcher = Searcher(given(), rate)
+        for batch in batches:
+            rows = [[{"item_id": i, "distance": d} for i, d in searcher.find(t)] for t in strings(batch)]
+            yield pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())])))
 
-        @F.arrow_udf(MATCH)
-        def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            searcher = Searcher(shared(), rate)
-            for batch in batches:
-                rows = [[{"item_id": i, "distance": d} for i, d in searcher.find(t)] for t in strings(batch)]
-                yield pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())])))
+    return search.asNondeterministic()(text)
 
-        return search.asNondeterministic()(text)
 
-    found = [column(items) for items in item_blocks(benchmark)]
-    return reduce(F.concat, found) if found else F.array().cast(MATCH)
+def with_matches(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+    """The documents with a column of the items that their text holds, as array<struct<item_id, distance>>."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    work = Workspace(spark, "decontam")
+    items, n = distinct_items(benchmark)
+    found = docs.withColumn(name, F.array().cast(MATCH))
+    for k in range(n):
+        block = item_block(items, k, n)
+        if k + 1 == n:  # the last one is searched for when the result is read
+            return found.withColumn(name, F.concat(name, searched(share(spark, block), F.col(text_col), rate)))
+        with shared(spark, block) as given:
+            before, found = found, work.save(found.withColumn(name, F.concat(name, searched(given, F.col(text_col), rate))), "found")
+        work.drop(before)
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids and least distance, one row per document."""
-    found = docs.select("doc_id", matches(docs, benchmark, F.col("text")).alias("_found"))
+    found = with_matches(docs.select("doc_id", "text"), benchmark, "_found")
     return found.select("doc_id", (F.size("_found") > 0).alias("contaminated"), F.size("_found").cast("long").alias("n_items"),
                         F.sort_array("_found.item_id").alias("item_ids"), F.array_min("_found.distance").alias("least_distance"))

@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.arrow import share, small_batches, strings
-from tallyspark.llm.work import Workspace
 
 BITS = 15
 ORDERS = (1, 2, 3, 4)
@@ -134,13 +133,26 @@ def predict(model: Model, texts: list[str], letters: np.ndarray) -> tuple[list[s
     return [model.languages[b] if s else UNKNOWN for b, s in zip(best, seen, strict=True)], np.where(seen, score, 0.0)
 
 
-def learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int) -> DataFrame:
-    """(lang, text) of labelled rows: all, or an even sample of about ``max_rows`` by a hash of the id."""
-    labelled = docs.where(F.col(lang_col).isNotNull())
-    n = labelled.select(lang_col).count()
-    if n > max_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
-    return labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+def shares(rows: dict[str, int], max_rows: int) -> dict[str, float]:
+    """Share of each language's rows to learn from: small languages keep all, the others divide what is left evenly."""
+    left, out = float(max_rows), {}
+    for k, lang in enumerate(sorted(rows, key=lambda x: (rows[x], x))):
+        quota = left / (len(rows) - k)
+        out[lang] = min(1.0, quota / rows[lang])
+        left -= min(float(rows[lang]), quota)
+    return out
+
+
+def learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, text) rows to learn from, about ``max_rows`` at most, and the number of all rows of each learned language.
+
+    A dirty label column may hold any number of values: the MAX_LANGUAGES most frequent are learned.
+    """
+    named = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
+    rows = {r.lang: r.n for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    cuts = docs.sparkSession.createDataFrame([(lang, int((1 << 20) * share)) for lang, share in shares(rows, max_rows).items()], "lang string, cut int")
+    chosen = named.join(F.broadcast(cuts), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.col("cut"))  # MAX_LANGUAGES cuts at most
+    return chosen.select("lang", "text"), rows
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = TRAIN_ROWS) -> Model:
@@ -164,13 +176,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(used) + 1), pa.string()), pa.array(np.concatenate([[-1], used]), pa.int32()),
                                               pa.array(np.concatenate([[rows[lang]], own[used]]), pa.int64())], ["lang", "bucket", "n"])
 
-    counted = learnable(docs, id_col, text_col, lang_col, max_rows).mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    work = Workspace(docs.sparkSession, "langid")
-    counted = work.save(counted, "counted")
-    # a dirty label column may hold any number of values: the most frequent MAX_LANGUAGES of the sample are learned
-    learned = counted.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    got = counted.join(F.broadcast(learned), "lang").toArrow()
-    work.drop(counted)
+    chosen, known = learnable(docs, id_col, text_col, lang_col, max_rows)
+    got = chosen.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # the model's size at most
     langs, buckets, n = (got.column(k).to_numpy() for k in ("lang", "bucket", "n"))
     languages = sorted(set(langs))
     index = {x: k for k, x in enumerate(languages)}
@@ -178,8 +185,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = np.zeros((1 << BITS, len(languages)))
     gram = buckets >= 0
     counts[buckets[gram], where[gram]] = n[gram]
-    prior = np.zeros(len(languages))
-    prior[where[~gram]] = n[~gram]
+    prior = np.array([known[x] for x in languages], float)
     table = np.log((counts + ALPHA) / (counts.sum(axis=0) + ALPHA * len(counts)))
     table[blank_buckets()] = 0
     return Model(languages, table, np.log(prior / max(prior.sum(), 1)))

@@ -118,6 +118,15 @@ def test_language_keeps_the_most_frequent_labels(spark, monkeypatch):
     assert list(model.languages) == ["de", "en"]
 
 
+def test_language_learns_rare_languages_whole(spark):
+    """The sample is divided between the languages, and the prior is that of all rows."""
+    assert langid.shares({"a": 1000, "b": 10, "c": 400}, 100) == {"b": 1.0, "c": 45 / 400, "a": 45 / 1000}
+    rows = [(k, f"the cat and the dog {k}", "en") for k in range(3000)] + [(5000 + k, "le chat et le chien", "fr") for k in range(4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_rows=60)
+    assert list(model.languages) == ["en", "fr"] and np.allclose(np.exp(model.prior), [3000 / 3004, 4 / 3004])
+    assert langid.predict(model, ["le chien et le chat"], langid.letter_table())[0][0] == "fr"
+
+
 def test_language_odd_rows(spark, odd):
     rows = langid.language_id(odd).collect()
     assert len(rows) == 10
@@ -612,10 +621,14 @@ def test_decontaminate_tables(spark, odd, texts):
 
 
 def test_item_blocks_cover_all(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 2000)
-    blocks = decontam.item_blocks(read(spark, "benchmark"))
-    assert len(blocks) > 1 and sum(map(len, blocks)) == read(spark, "benchmark").count()
-    assert queries.op9_decontaminate(spark, SF).count() == 200
+    """Many blocks, one after another, find what one block finds; no item is in two."""
+    docs, bench = read(spark, "documents"), read(spark, "benchmark")
+    found = lambda: {r.doc_id: tuple(r) for r in decontam.decontaminate(docs, bench).collect()}
+    whole = found()
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 2500)
+    items, n = decontam.distinct_items(bench)
+    assert n > 1 and sum(len(decontam.item_block(items, k, n)) for k in range(n)) == bench.count()
+    assert found() == whole and any(r[1] for r in whole.values())
 
 
 # ---- secrets
