@@ -224,6 +224,57 @@ def test_toxicity_training_rows_are_bounded(spark, monkeypatch):
     assert 20 < seen[0] < 250
 
 
+@pytest.fixture(scope="module")
+def toy():
+    """Documents as feature numbers, of which a few tell toxic ones."""
+    rng = np.random.default_rng(4)
+    toxic = (rng.random(240) < 0.3).astype(int)
+    docs = [sorted({int(x) for x in rng.integers(0, 40, 8)} | ({100 + int(rng.integers(0, 3))} if t and rng.random() < 0.9 else set())) for t in toxic]
+    return docs, np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])]), toxic
+
+
+def test_toxicity_chain_matches_plain_python(toy, monkeypatch):
+    """Probabilities by plain sums; earlier categories reach a model's training as out-of-fold predictions only."""
+    docs, ids, bounds, toxic = toy
+    calls, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda i, b, earlier, y: (calls.append((fit(i, b, earlier, y), earlier)), calls[-1][0])[1])
+    chain = toxicity.fit_chain(ids, bounds, toxic)
+
+    def plain(models, doc, earlier=()):
+        out = list(earlier)
+        for m in models:
+            out.append(1 / (1 + math.exp(-(sum(m.weights[f] for f in doc) + sum(w * e for w, e in zip(m.extra, out, strict=True)) + m.bias))))
+        return out
+
+    assert np.allclose(chain.probabilities(ids, bounds), [plain(chain.models, d) for d in docs])
+    fold, size = np.random.default_rng(11).permutation(len(docs)) % toxicity.FOLDS, toxicity.FOLDS + 1
+    for k in range(1, len(toxicity.CATEGORIES)):
+        given = calls[k * size + toxicity.FOLDS][1]  # what the category's model over all rows was given
+        assert given.shape == (len(docs), k)
+        for row, doc in enumerate(docs):
+            part = calls[(k - 1) * size + fold[row]][0]  # fitted without this row's fold
+            assert math.isclose(given[row, -1], plain([part], doc, given[row, :-1])[-1], abs_tol=1e-9)
+
+
+def test_toxicity_fit_matches_newton(toy):
+    """Feature choice by the 2 x 2 chi-squared test, and weights against Newton's method on a dense matrix."""
+    docs, ids, bounds, toxic = toy
+    scale, n, ones, l2 = toxicity.telling(ids, bounds, toxic), len(docs), int(toxic.sum()), 1e-2
+    for f in {f for d in docs for f in d}:
+        there, inside = sum(f in d for d in docs), sum(f in d for d, t in zip(docs, toxic, strict=True) if t)
+        chance = n * (inside * (n - ones - there + inside) - (ones - inside) * (there - inside)) ** 2 / (there * ones * (n - there) * (n - ones))
+        assert (scale[f] != 0) == (there >= toxicity.MIN_DOCS and chance > toxicity.CHI_SQUARED)
+    used = np.flatnonzero(scale)
+    assert len(used) == 3
+    x = np.array([[scale[f] * (f in d) for f in used] + [1.0] for d in docs])
+    w, pull = np.zeros(len(used) + 1), np.append(np.full(len(used), l2), 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) / n + np.diag(pull), x.T @ (p - toxic) / n + pull * w)
+    model = toxicity.fit(ids, bounds, np.zeros((n, 0)), toxic.astype(float), l2)
+    assert np.allclose(toxicity.sigmoid(model.margin(ids, bounds, np.zeros((n, 0)))), 1 / (1 + np.exp(-x @ w)), atol=0.005)
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(2, 0, 1), (None, 0, 1), (4, None, None), (77, 1, 0)], "doc_id bigint, quality int, toxic int")
     rows = toxicity.score_toxicity(odd, labels).collect()
@@ -506,6 +557,50 @@ def test_html_deep_and_whole(spark):
     assert queries.op7_html_text(spark, SF).where("n_chars > 0").count() == 50
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_html_words_match_a_second_parser(seed):
+    """On well-formed pages the visible words, in order, are those that Python's own parser meets."""
+    from html.parser import HTMLParser
+
+    class Visible(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("br", "hr"):
+                self.open.append(tag in ("script", "style", "template") or "hidden" in dict(attrs) or "none" in dict(attrs).get("style", ""))
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            if not any(self.open):
+                self.words += re.findall(r"w\d+", data)
+
+    rng, made = random.Random(seed), iter(range(10**6))
+
+    def inline(depth):
+        word = f"w{next(made)}"
+        return rng.choice([f"{word} &amp; ", f"<b>{word}</b> ", f"<a href='w0.html'>{word}</a> ", f"{word}<br>", f"<!-- {word} -->", f"<span style='display:none'>{word}</span>", f"<script>if (a < {word}) b</script>", f"<i><em>{word}</em></i> "])
+
+    def block(depth):
+        inner = lambda kind=block: "".join(kind(depth - 1) for _ in range(rng.randrange(1, 4)))
+        if not depth:
+            return f"<p>{inner(inline)}</p>"
+        return rng.choice([
+            lambda: f"<div>{inner()}</div>", lambda: f"<section><h2>{inner(inline)}</h2>{inner()}</section>", lambda: f"<ul>{''.join(f'<li>{inner(inline)}{inner()}</li>' for _ in range(3))}</ul>",
+            lambda: f"<ol><li>{inner()}</li><li>{inner(inline)}</li></ol>", lambda: f"<div hidden>{inner()}</div>", lambda: f"<pre>{inner(inline)}</pre>", lambda: f"<blockquote>{inner()}</blockquote>",
+            lambda: "<table>" + "".join("<tr>" + "".join(f"<td><b>w{next(made)}</b></td>" for _ in range(3)) + "</tr>" for _ in range(2)) + "</table>"])()
+
+    for _ in range(40):
+        page = "<html><head><style>w0</style></head><body>" + "".join(block(3) for _ in range(4)) + "</body></html>"
+        parser = Visible()
+        parser.feed(page)
+        parser.close()
+        assert re.findall(r"w\d+", html.to_text(page)) == parser.words
+
+
 def test_html_keeps_every_word(spark):
     """Words of paragraphs and cells all arrive, in order."""
     for r in read(spark, "pages").limit(20).collect():
