@@ -4,7 +4,9 @@ The template language is a small sandbox: text, ``{{ expression }}``, ``{% for m
 ``{% if %} / {% elif %} / {% else %}``, ``{% set name = expression %}`` and ``{% generation %}``, which
 marks what a model shall learn to write.  Expressions have strings, whole numbers, names, fields
 (``m.role``), ``==  !=  <  >  and  or  not  ~  in``, brackets and the filters in FILTERS.  There are no
-calls, no Python attributes and no imports; fields exist on messages and ``loop`` only.
+calls, no Python attributes and no imports; fields exist on messages and ``loop`` only.  Every fault of a
+template is a TemplateError: what can't be read, values of the wrong kind, and nesting (a chain of operators
+nests too) beyond MAX_DEPTH.
 
 A template is parsed to a syntax tree, constants are folded (constant expressions, branches that are
 never or always taken, texts that meet), and the tree becomes Python closures.  ``messages`` is read
@@ -25,6 +27,7 @@ form one conversation; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import operator
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -39,6 +42,7 @@ from tallyspark.llm.arrow import small_batches
 OPEN, CLOSE = "### ", "</turn>"
 CONTROL = (OPEN, CLOSE)
 PART_CHARS = 1 << 20
+MAX_DEPTH = 200
 TEMPLATE = ("{% for m in messages %}{{ '### ' ~ (m.role | escape | colon) ~ ': ' }}"
             "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}"
             "{% else %}{{ m.text | escape }}{% endif %}{{ '</turn>' ~ '\\n' }}{% endfor %}")
@@ -60,9 +64,19 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+def checked(f: Callable) -> Callable:
+    """The function, whose values of the wrong kind are the template's fault."""
+    def run(*given: Any) -> Any:
+        try:
+            return f(*given)
+        except TypeError as e:
+            raise TemplateError(str(e)) from e
+    return run
+
+
 FILTERS: dict[str, Callable[[Any], Any]] = {
     "escape": lambda x: escape(str(x)), "colon": lambda x: str(x).replace(":", "\\:"), "trim": lambda x: str(x).strip(),
-    "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "capitalize": lambda x: str(x).capitalize(), "length": lambda x: len(x),
+    "upper": lambda x: str(x).upper(), "lower": lambda x: str(x).lower(), "capitalize": lambda x: str(x).capitalize(), "length": checked(len),
 }
 
 # ---- syntax tree
@@ -93,7 +107,7 @@ def tokens(source: str) -> list[tuple[str, str]]:
 
 
 class Expression:
-    """Recursive descent over one expression's tokens; depth is bounded by the template's own."""
+    """Recursive descent over one expression's tokens."""
 
     LEVELS = (("or",), ("and",), ("==", "!=", "<", ">", "in"), ("~",))
 
@@ -217,14 +231,29 @@ class Parser:
         raise TemplateError(f"no tag {word!r}")
 
 
+def inner_nodes(node: Node) -> list[Node]:
+    return [x for test, body in node.parts for x in (test, *body)] if node.kind == "if" else node.parts
+
+
 def parse(source: str) -> list[Node]:
-    return Parser(source).body()[0]
+    """The syntax tree, at most MAX_DEPTH levels deep; what follows may then walk it by recursion."""
+    try:
+        tree = Parser(source).body()[0]
+    except RecursionError as e:
+        raise TemplateError("nested too deeply") from e
+    level, depth = tree, 0
+    while level:
+        depth += 1
+        if depth > MAX_DEPTH:
+            raise TemplateError("nested too deeply")
+        level = [x for node in level for x in inner_nodes(node)]
+    return tree
 
 
 # ---- constant folding
 
 BINARY: dict[str, Callable[[Any, Any], Any]] = {
-    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "~": lambda a, b: f"{a}{b}",
+    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": checked(operator.lt), ">": checked(operator.gt), "~": lambda a, b: f"{a}{b}",
     "in": lambda a, b: str(a) in str(b), "and": lambda a, b: a and b, "or": lambda a, b: a or b,
 }
 

@@ -159,6 +159,26 @@ def test_template_reads_no_python_attributes():
         list(t.render(iter([{"text": "x"}])))
 
 
+@pytest.mark.parametrize("source", ["{{ 'a' < 1 }}", "{{ 3 | length }}", "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}", "{{ " + " ~ ".join(["x"] * 2000) + " }}", "{{ " + "not " * 5000 + "x }}", "{% if x %}" * 3000 + "{% endif %}" * 3000])
+def test_template_faults_when_compiled(source):
+    """Values of the wrong kind in constants, and deep nesting of brackets, chains and blocks."""
+    with pytest.raises(chat.TemplateError):
+        chat.Template(source + "{% for m in messages %}{% endfor %}")
+
+
+@pytest.mark.parametrize("value", ["m.text < 1", "m.turn > 'a'", "m.turn | length", "m.none", "none"])
+def test_template_faults_when_rendered(value):
+    t = chat.Template("{% for m in messages %}{{ " + value + " }}{% endfor %}")
+    with pytest.raises(chat.TemplateError):
+        list(t.render(iter([{"text": "x", "turn": 1}])))
+
+
+def test_template_nests_up_to_the_bound():
+    deep = "{{ " + " ~ ".join(["m.text"] * 150) + " }}{{ " + "(" * 20 + "m.text" + ")" * 20 + " }}"
+    t = chat.Template("{% for m in messages %}" + deep + "{% endfor %}")
+    assert list(t.render(iter([{"text": "x"}]))) == [("x" * 151, [])]
+
+
 def test_escape_round_trip():
     rng = random.Random(1)
     for _ in range(3000):
