@@ -6,8 +6,12 @@ optional sublinear tf = 1 + ln(tf); min/max document frequency filters
 first, then the ``max_features`` most frequent terms (corpus count,
 ties alphabetical); rows L2-normalised.
 
-Every step is a Spark aggregation or join: term counts are a
-partial/final aggregation, the vocabulary is a top-k
+Every step is a Spark aggregation or join.  Texts are dealt out by
+document before they become terms: the shuffle carries each text once
+instead of its terms, long documents are spread over the tasks, and the
+counts by document need no shuffle of their own.  Rows that share an id
+(or have none) are one document, counted in one task by a hash
+aggregation that spills.  The vocabulary is a top-k
 (TakeOrderedAndProject, bounded by ``max_features``) and is broadcast,
 and the per-document norm is a window over one document's terms.
 """
@@ -47,7 +51,8 @@ def tfidf(docs: DataFrame, doc_col: str, text_col: str, max_features: int | None
           min_df: int = 1, max_df: float = 1.0, sublinear_tf: bool = False) -> DataFrame:
     """(doc, term, weight) for every document and vocabulary term it contains."""
     # the counts are written once: statistics and weights both read them
-    tf = materialize(terms(docs, doc_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
+    dealt = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).repartition("doc")
+    tf = materialize(terms(dealt, "doc", "text").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = docs.select(F.count(F.lit(1)).alias("n"))  # one row
     stats = vocabulary(tf, n_docs, max_features, min_df, max_df)
     vocab = stats.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
