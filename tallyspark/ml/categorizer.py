@@ -121,11 +121,13 @@ def fit_features(cfg: ModelConfig, train_df: DataFrame) -> PipelineModel:
     document frequency bounds, ties alphabetical, so a refit gives the same.
     """
     text = PipelineModel(stages=term_stages())
-    terms = text.transform(train_df.select("descripcion").withColumn("_doc", F.monotonically_increasing_id()))
-    tf = materialize(terms.select("_doc", F.explode("_terms").alias("term")).groupBy("_doc", "term")
-                          .agg(F.count(F.lit(1)).alias("tf")))
+    # every term counts once for its text and once for each of its places: sums that combine before the shuffle
+    counted = lambda terms, df, cf: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf")))
+    terms = text.transform(train_df.select("descripcion"))
+    stats = (terms.select(F.inline(F.concat(counted(F.array_distinct("_terms"), 1, 0), counted(F.col("_terms"), 0, 1))))
+                  .groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
     n = train_df.select(F.count(F.lit(1)).alias("n"))
-    rows = vocabulary(tf, n, cfg.vocab_size, cfg.min_df, cfg.max_df if cfg.max_df is not None else 1.0).collect()
+    rows = vocabulary(stats, n, cfg.vocab_size, cfg.min_df, cfg.max_df if cfg.max_df is not None else 1.0).collect()
     rows = sorted(rows, key=lambda r: (-r["cf"], r["term"])) or []
     idf = [math.log((1 + r["n"]) / (1 + r["df"])) + 1 for r in rows]
     tf_col = "_tf"

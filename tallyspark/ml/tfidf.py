@@ -34,10 +34,9 @@ def terms(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(doc_col).alias("doc"), F.explode(all_terms).alias("term"))
 
 
-def vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None, min_df: float, max_df: float) -> DataFrame:
-    """(term, df, cf, n): terms within the document frequency bounds, the ``max_features``
-    most frequent ones, ties alphabetical."""
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+def vocabulary(stats: DataFrame, n_docs: DataFrame, max_features: int | None, min_df: float, max_df: float) -> DataFrame:
+    """(term, df, cf, n): of (term, df, cf) those within the document frequency bounds, the
+    ``max_features`` most frequent ones, ties alphabetical."""
     stats = stats.crossJoin(F.broadcast(n_docs))
     stats = stats.where((F.col("df") >= min_df) &
                         (F.col("df") <= F.floor(F.lit(max_df) * F.col("n"))
@@ -54,7 +53,8 @@ def tfidf(docs: DataFrame, doc_col: str, text_col: str, max_features: int | None
     dealt = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).repartition("doc")
     tf = materialize(terms(dealt, "doc", "text").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = docs.select(F.count(F.lit(1)).alias("n"))  # one row
-    stats = vocabulary(tf, n_docs, max_features, min_df, max_df)
+    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    stats = vocabulary(stats, n_docs, max_features, min_df, max_df)
     vocab = stats.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     # the vocabulary holds at most max_features rows
     j = tf.join(F.broadcast(vocab) if max_features else vocab, "term")
