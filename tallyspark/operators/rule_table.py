@@ -1,11 +1,13 @@
 """Rules as a table (C1-C3 for any number of keywords).
 
 ``rules`` scores a fixed set with one int column per keyword; a table of thousands of keywords needs
-another plan.  Each keyword is filed under one anchor, its 3-gram that the fewest keywords share (a
-keyword of one or two characters under itself).  A text that contains the keyword contains its anchor,
-so an equi-join of the distinct texts' grams with the anchors finds every possible hit once, and
-``contains`` confirms it.  The plan has the same size for any number of keywords; Spark broadcasts the
-anchors if their bytes allow it, and otherwise shuffles and splits a hot gram.
+another plan.  A keyword without a blank lies inside one word of a text, so the distinct words of all texts
+are scored once, and each text then collects the rules of its words; keywords with blanks are looked for in
+whole texts.  Each keyword is filed under one anchor, a rare one of its 6-grams (3-grams below six
+characters, itself below three).  A word that contains the keyword contains its anchor, so an equi-join of
+the words' grams with the anchors finds every possible hit once, and ``contains`` confirms it.  The plan has
+the same size for any number of keywords.  Tables of keywords, words and hits are shuffled, never
+broadcast, since their size can't be told from that of the files they come from; Spark splits a hot one.
 
 A rule table has (category, ord, weight_tenths, keyword); several categories may share a keyword, ties go
 to the lower ``ord``.  Rules without a keyword match nothing.
@@ -13,14 +15,18 @@ to the lower ``ord``.  Rules without a keyword match nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.constants import DEFAULT_CATEGORY, FIRST_MATCH_RULES, RULE_NO_MATCH_CONFIDENCE, RULE_SCORE_SCALE, WEIGHTED_RULES, weight_tenths
 from tallyspark.functions.text import normalize_for_matching
 from tallyspark.operators.reuse import score_distinct
+from tallyspark.session import materialize
 
-GRAM = 3
+SHORT, LONG = 3, 6  # characters of an anchor
+BUCKETS = 1 << 16  # grams are counted by hash; an anchor need not be the rarest
 SCHEMA = "category string, ord int, weight_tenths int, keyword string"
 
 
@@ -39,21 +45,40 @@ def grams(text: Column, size: Column) -> Column:
 
 
 def anchored(rules: DataFrame) -> DataFrame:
-    """Distinct keywords with the gram that files them: the one that the fewest keywords share."""
+    """Distinct keywords with the gram that files them, one that few keywords share."""
     keywords = rules.where(F.length("keyword") > 0).select("keyword").distinct()
-    filed = keywords.select("keyword", F.explode(grams(F.col("keyword"), F.least(F.length("keyword"), F.lit(GRAM)))).alias("gram"))
-    shared = filed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return filed.join(shared, "gram").groupBy("keyword").agg(F.min(F.struct("n", "gram")).alias("best")).select("keyword", F.col("best.gram").alias("gram"))
+    n = F.length("keyword")
+    filed = keywords.withColumn("_grams", grams(F.col("keyword"), F.when(n >= LONG, F.lit(LONG)).otherwise(F.least(n, F.lit(SHORT)))))
+    filed = filed.select("keyword", F.explode("_grams").alias("gram")).withColumn("_bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)))
+    counts = filed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))  # at most BUCKETS rows
+    return filed.join(F.broadcast(counts), "_bucket").groupBy("keyword").agg(F.min(F.struct("n", "gram")).alias("best")).select("keyword", F.col("best.gram").alias("gram"))
+
+
+def found_in(texts: DataFrame, text_col: str, anchors: DataFrame, sizes: list[int]) -> DataFrame:
+    """The columns of ``texts`` but the text, and ``keyword``: every keyword of ``anchors`` that the text contains, once."""
+    every = F.flatten(F.array(*[grams(F.col(text_col), F.lit(n)) for n in sizes]))
+    cut = texts.select("*", F.explode(every).alias("gram"))
+    return cut.join(anchors.hint("merge"), "gram").where(F.contains(F.col(text_col), F.col("keyword")))
 
 
 def hits(texts: DataFrame, text_col: str, rules: DataFrame, key: list[str]) -> DataFrame:
     """(key, category, ord, weight_tenths): every rule whose keyword the text contains, once."""
-    anchors = anchored(rules)
-    lengths = [r[0] for r in anchors.select(F.length("gram")).distinct().collect()]  # 1 to 3
-    every = F.flatten(F.array(*[grams(F.col(text_col), F.lit(n)) for n in sorted(lengths)])) if lengths else F.array().cast("array<string>")
-    cut = texts.select(*key, text_col, F.explode(every).alias("gram"))
-    found = cut.join(anchors, "gram").where(F.contains(F.col(text_col), F.col("keyword"))).select(*key, "keyword")
-    return found.join(rules, "keyword").drop("keyword")
+    # written once, each row with a number of its own
+    rules = materialize(rules.where(F.length("keyword") > 0).withColumn("_rule", F.monotonically_increasing_id()))
+    anchors = materialize(anchored(rules).withColumn("_blank", F.contains("keyword", F.lit(" "))))
+    forms = anchors.select("_blank", F.length("gram")).distinct().collect()  # at most 2 x 4
+    columns, parts = ["category", "ord", "weight_tenths"], []
+    if sizes := sorted(n for blank, n in forms if not blank):
+        words = texts.select(*key, F.explode(F.array_distinct(F.split(text_col, " "))).alias("_word"))
+        found = found_in(words.select("_word").distinct(), "_word", anchors.where("not _blank"), sizes).select("_word", "keyword")
+        hit = F.struct("_rule", *columns).alias("_hit")
+        by_word = found.join(rules.hint("merge"), "keyword").groupBy("_word").agg(F.collect_list(hit).alias("_hits"))
+        dealt = words.join(by_word.hint("merge"), "_word").select(*key, "_hits").repartition(*key)
+        parts.append(dealt.select(*key, F.explode("_hits").alias("_hit")).select(*key, "_hit.*").distinct().select(*key, *columns))
+    if sizes := sorted(n for blank, n in forms if blank):
+        found = found_in(texts.select(*key, text_col), text_col, anchors.where("_blank"), sizes).select(*key, "keyword")
+        parts.append(found.join(rules.hint("merge"), "keyword").select(*key, *columns))
+    return reduce(DataFrame.unionByName, parts) if parts else texts.select(*key).join(rules.select(*columns), F.lit(False))
 
 
 def best_rule(keys: DataFrame, rules: DataFrame) -> DataFrame:

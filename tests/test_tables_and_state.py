@@ -67,6 +67,16 @@ def test_rule_table_plan_does_not_grow_with_keywords(spark):
     assert "BroadcastNestedLoopJoin" not in plan_of(R.best_rule(texts, R.weighted_rules(spark)))
 
 
+def test_rule_table_keywords_are_never_broadcast(spark):
+    """A small estimate proves nothing about the number of keywords; blanks, repeated rules and words count right."""
+    rules = spark.createDataFrame([("a", 0, 10, "nafta super"), ("a", 0, 10, "super"), ("b", 1, 10, "naftalina"), ("b", 1, 10, "naftalina"), ("c", 2, 10, "r y"), ("c", 2, 10, "nafta")], R.SCHEMA)
+    texts = spark.createDataFrame([("super nafta", 1), ("nafta super nafta", 2), ("naftalina naftalina", 3), ("otro", 4)], "t string, k int")
+    hits = R.hits(texts, "t", rules, ["k"])
+    assert "Broadcast" not in plan_of(hits)
+    got = sorted((r.k, r.category, r.n) for r in hits.groupBy("k", "category").agg(F.sum("weight_tenths").alias("n")).collect())
+    assert got == [(1, "a", 10), (1, "c", 10), (2, "a", 20), (2, "c", 10), (3, "b", 20), (3, "c", 10)]
+
+
 # ---- bundles
 
 
