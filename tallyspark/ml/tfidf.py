@@ -9,7 +9,10 @@ ties alphabetical); rows L2-normalised.
 Every step is a Spark aggregation or join.  Texts are dealt out by
 document before they become terms: the shuffle carries each text once
 instead of its terms, long documents are spread over the tasks, and the
-counts by document need no shuffle of their own.  Rows that share an id
+counts by document need no shuffle of their own.  The number of tasks
+follows the bytes of the texts (TASK_BYTES each), since texts take many
+times their size when they are terms; a fixed number of tasks, or tasks
+merged by the size of the texts, would grow in memory with the corpus.  Rows that share an id
 (or have none) are one document, counted in one task by a hash
 aggregation that spills.  The vocabulary is a top-k
 (TakeOrderedAndProject, bounded by ``max_features``) and is broadcast,
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import materialize
 
+TASK_BYTES = 4 << 20
 TOKEN_RX = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -50,7 +54,8 @@ def tfidf(docs: DataFrame, doc_col: str, text_col: str, max_features: int | None
           min_df: int = 1, max_df: float = 1.0, sublinear_tf: bool = False) -> DataFrame:
     """(doc, term, weight) for every document and vocabulary term it contains."""
     # the counts are written once: statistics and weights both read them
-    dealt = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).repartition("doc")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    dealt = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).repartition(size // TASK_BYTES + 1, "doc")
     tf = materialize(terms(dealt, "doc", "text").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = docs.select(F.count(F.lit(1)).alias("n"))  # one row
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))

@@ -127,3 +127,16 @@ def test_pipeline_keyword_sql_matches_column_features(spark):
     ra = sorted(tuple(r) for r in a.select("conv_id", "turn", *cols).collect())
     rb = sorted(tuple(r) for r in b.select("conv_id", "turn", *cols).collect())
     assert ra == rb
+
+
+def test_tfidf_tasks_follow_the_bytes_of_the_texts(spark, monkeypatch):
+    """Terms are counted in tasks of a bounded amount of text, which aren't merged; weights are those of one task."""
+    from tallyspark.ml import tfidf as T
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 17:02d}" for j in range(40))) for k in range(60)], "doc long, text string")
+    want = {(r.doc, r.term): r.weight for r in T.tfidf(docs, "doc", "text").collect()}
+    seen = []
+    monkeypatch.setattr(T, "TASK_BYTES", 1000)
+    monkeypatch.setattr(T, "materialize", lambda df, keep=T.materialize: seen.append(df.rdd.getNumPartitions()) or keep(df))
+    got = {(r.doc, r.term): r.weight for r in T.tfidf(docs, "doc", "text").collect()}
+    assert seen == [60 * 159 // 1000 + 1]
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
