@@ -3,7 +3,8 @@
 A file is cut into lines wherever Spark cuts it into blocks, so it stays splittable.  What a line does
 to the quotes is a function of two states: where does it end if it begins outside quotes (f0), and where if
 it begins inside (f1)?  Such functions compose in any grouping, so the state is carried in three steps:
-along the lines of a block, along the block sums of a file (one row per block), and back to the lines.
+along the lines of a part, along the part sums of a file (one row per part), and back to the lines.
+A part is at most 2 ** PART_BITS neighbouring lines of a block, so that no task has to hold a block.
 Lines that begin inside quotes belong to the record of the line before.
 
 A quote opens a field only at the field's start and a doubled one inside a quoted field stands for itself,
@@ -27,6 +28,7 @@ C1_CODES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94
 C1_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 MARK = "﻿"
 LINE_ENDS = {"UTF-16LE": "\n\0", "UTF-16BE": "\0\n"}
+PART_BITS = 13
 # states inside a line
 MIDDLE, START, QUOTED, CLOSED = 0, 1, 2, 3
 
@@ -90,22 +92,23 @@ def records(spark: SparkSession, paths, encoding: str, sep: str) -> DataFrame:
     # known: both states end alike; otherwise value says whether the state flips
     lines = lines.withColumn("_f", F.struct(f0.alias("f0"), f1.alias("f1")))
     lines = lines.withColumn("known", F.col("_f.f0") == F.col("_f.f1")).withColumn("value", F.col("_f.f0")).drop("_f")
-    tracked = materialize(with_state(lines, ["file", "block"], ["id"]).drop("known", "value"))
-    # one row per block, about 128 MB of file
-    blocks = tracked.groupBy("file", "block").agg(F.max_by("after", "id").alias("f"))
-    blocks = with_state(blocks.select("file", "block", F.col("f.known").alias("known"), F.col("f.value").alias("value")), ["file"], ["block"])
-    blocks = blocks.select("file", "block", applied("before", F.lit(0)).alias("carry"), applied("after", F.lit(0)).alias("left"))
-    open_files = blocks.groupBy("file").agg(F.max_by("left", "block").alias("unclosed"))
-    rows = tracked.join(blocks.select("file", "block", "carry"), ["file", "block"]).withColumn("inside", applied("before", F.col("carry")))
+    lines = lines.withColumn("part", F.struct("block", F.shiftright("id", PART_BITS).alias("n")))
+    tracked = materialize(with_state(lines, ["file", "part"], ["id"]).drop("known", "value"))
+    # one row per part
+    parts = tracked.groupBy("file", "part").agg(F.max_by("after", "id").alias("f"))
+    parts = with_state(parts.select("file", "part", F.col("f.known").alias("known"), F.col("f.value").alias("value")), ["file"], ["part"])
+    parts = parts.select("file", "part", applied("before", F.lit(0)).alias("carry"), applied("after", F.lit(0)).alias("left"))
+    open_files = parts.groupBy("file").agg(F.max_by("left", "part").alias("unclosed"))
+    rows = tracked.join(parts.select("file", "part", "carry"), ["file", "part"]).withColumn("inside", applied("before", F.col("carry")))
     begun = rows.where("inside = 0").groupBy("file").agg(F.max(F.struct("block", "id")).alias("last")).join(open_files, "file").where("unclosed = 1").select("file", "last")
     rows = rows.join(begun, "file", "left").withColumn("begins", (F.col("inside") == 0) | F.coalesce(F.struct("block", "id") > F.col("last"), F.lit(False)))
-    rows = materialize(rows.select("file", "block", "id", "text", "begins"))
-    line = Window.partitionBy("file", "block").orderBy("id")
+    rows = materialize(rows.select("file", "part", "block", "id", "text", "begins"))
+    line = Window.partitionBy("file", "part").orderBy("id")
     rows = rows.withColumn("k", F.sum(F.col("begins").cast("int")).over(line))
-    counts = rows.groupBy("file", "block").agg(F.max("k").alias("n"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("file", "block", F.last(F.when(F.col("n") > 0, F.struct("block", F.col("n").alias("k"))), ignorenulls=True).over(earlier).alias("open"))
-    rows = rows.join(counts, ["file", "block"]).withColumn("owner", F.when(F.col("k") > 0, F.struct("block", "k")).otherwise(F.col("open")))
+    counts = rows.groupBy("file", "part").agg(F.max("k").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("file", "part", F.last(F.when(F.col("n") > 0, F.struct("part", F.col("n").alias("k"))), ignorenulls=True).over(earlier).alias("open"))
+    rows = rows.join(counts, ["file", "part"]).withColumn("owner", F.when(F.col("k") > 0, F.struct("part", "k")).otherwise(F.col("open")))
     whole = rows.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("block", "id", "text"))).alias("parts"))
     record = F.regexp_replace(F.array_join("parts.text", "\n"), "\r$", "")
     first = F.element_at("parts", 1)

@@ -70,6 +70,22 @@ def test_quotes_that_open_nothing(spark, scratch):
     assert got["one\ntwo"] == "1" and got["three"] == "3" and got["four"] == "4" and len(got) == 4
 
 
+def test_quotes_are_followed_over_small_parts(spark, scratch, monkeypatch):
+    """Parts of four lines: fields longer than a part, parts without a record's start, a quote left open."""
+    monkeypatch.setattr("tallyspark.sources.records.PART_BITS", 2)
+    rng, want = random.Random(5), []
+    for k in range(2):
+        rows = [[f"{k}-{i}", rng.choice(["a", "b\n" * 3, "c\n\n" * 9 + "c", 'd "d"\n;d'])] for i in range(50)]
+        with open(os.path.join(scratch, f"f{k}.csv"), "w", newline="") as f:
+            csv.writer(f, delimiter=";", lineterminator="\n", quoting=csv.QUOTE_ALL).writerows([["id", "descripcion"], *rows])
+        want += map(tuple, rows)
+    with open(os.path.join(scratch, "f1.csv"), "a") as f:
+        f.write('x;"open\n' + "".join(f"y{i};z\n" for i in range(9)))
+    got = [tuple(r) for r in Fs.read_delimited(spark, scratch, input_order=True).orderBy("row_id").select("id", "descripcion").collect()]
+    assert got[:100] == want
+    assert [r[0] for r in got[100:]] == ["x", *[f"y{i}" for i in range(9)]]
+
+
 def test_utf16_line_end_between_characters(spark, scratch):
     text = "a,b\nx\u0a05\u0a00\u000ay,1\n" + "".join(f"ਊ\u4e00\u0100{k},2\n" for k in range(5))
     for encoding in ("utf-16-le", "utf-16-be"):
