@@ -124,15 +124,18 @@ def a3(spark, sf):
     return _kept(spark, _clean_back(load_data(spark, path)), path)
 
 
+ARRAY_KEYS = 50_000  # about 3 MB a file; each file costs a listing and an opening in every pass
+
+
 @register("a3_json_both_forms_roundtrip", CLEAN_SQL)
 def a3_both(spark, sf):
     """JSON lines and JSON arrays (one per file) in one folder."""
     path = scratch(spark, "a3b") + ".json"
     raw = expenses_raw(spark, sf)
     raw.where(F.col("row_id") % 2 == 0).write.json(path)
-    rows = raw.where(F.col("row_id") % 2 == 1).withColumn("_part", F.floor(F.col("row_id") / 1000))
+    rows = raw.where(F.col("row_id") % 2 == 1).withColumn("_part", F.floor(F.col("row_id") / ARRAY_KEYS))
     arrays = rows.groupBy("_part").agg(F.array_join(F.collect_list(F.to_json(F.struct(*raw.columns))), ",\n").alias("value"))
-    # one array per file: a thousand keys each, written as their own files
+    # one array per file, ARRAY_KEYS keys each, written as their own files
     arrays.select(F.concat(F.lit("[\n"), "value", F.lit("\n]")).alias("value")).write \
           .option("maxRecordsPerFile", 1).mode("append").text(path)
     return _kept(spark, _clean_back(load_data(spark, path)), path)

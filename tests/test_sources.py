@@ -86,6 +86,17 @@ def test_quotes_are_followed_over_small_parts(spark, scratch, monkeypatch):
     assert [r[0] for r in got[100:]] == ["x", *[f"y{i}" for i in range(9)]]
 
 
+def test_json_arrays_are_written_in_few_files(spark, scratch, monkeypatch):
+    """Half the keys become arrays, in a file for each 50,000 keys, and all rows come back."""
+    from tallyspark.plans import q_files as Q
+    spark.range(120_000).select(F.col("id").alias("o_orderkey"), (F.col("id") + 0.5).alias("o_totalprice"), F.lit(dt.date(2024, 1, 1)).alias("o_orderdate")).write.parquet(os.path.join(scratch, "orders.parquet"))
+    files = []
+    monkeypatch.setattr(Q, "load_data", lambda s, p, keep=Q.load_data: files.append(sorted(x for x in os.listdir(p.removeprefix("file:")) if x.endswith(".txt"))) or keep(s, p))
+    got = Q.a3_both(spark, scratch)
+    assert len(files[0]) == 3
+    assert got.count() == Q.expenses(spark, scratch).count()
+
+
 def test_utf16_line_end_between_characters(spark, scratch):
     text = "a,b\nx\u0a05\u0a00\u000ay,1\n" + "".join(f"ਊ\u4e00\u0100{k},2\n" for k in range(5))
     for encoding in ("utf-16-le", "utf-16-be"):
