@@ -840,6 +840,54 @@ def test_secret_gradients_match_differences():
             assert math.isclose((loss(up) - loss(down)) / 2e-5, g[at], rel_tol=1e-3, abs_tol=1e-6)
 
 
+def test_secret_long_gradients_match_whole_ones(monkeypatch):
+    rng, table = np.random.default_rng(8), secretscan.char_ids()
+    size = {"embed": (2 * secretscan.SYMBOLS, secretscan.EMBED), "conv": (secretscan.WIDTH * secretscan.EMBED, secretscan.FILTERS), "bias": secretscan.FILTERS, "out": 2 * secretscan.FILTERS, "out_bias": 1}
+    w = {k: rng.normal(0, 0.3, n) for k, n in size.items()}
+    items = [(left, "".join(rng.choice(list(secretscan.ALNUM), n)), right) for left, n, right in (("key é ", 12, ""), ("", 300, " end"), ("a", 97, "b"), ("", 150, ""))]
+    labels = np.array([1.0, 0.0, 1.0, 1.0])
+    want = secretscan.gradients(w, *secretscan.windows(items, table), labels)
+    for long in (7, 50, 100):
+        monkeypatch.setattr(secretscan, "LONG", long)
+        got = secretscan.batch_gradients(w, items, labels, table)
+        assert all(np.allclose(got[k], want[k]) for k in w)
+
+
+def test_secret_training_reads_every_finding(spark, monkeypatch):
+    """All findings beyond the start's take part, values of any length too, whatever the partitions of the table."""
+    rng, seen = random.Random(12), []
+    part = lambda n, chars="abcdefghilmnoprstu": "".join(rng.choice(chars) for _ in range(n))
+    texts = [f"{part(4)} {part(5)}-{part(4)}.{part(rng.randrange(3, 6))} {part(3)}" for _ in range(4500)]
+    texts += [f"the password={part(rng.randrange(10, 40), secretscan.ALNUM)} of {part(5)}" for _ in range(100)] + ["token: " + part(3000, secretscan.ALNUM)]
+    table = lambda rows: spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id bigint, text string")
+    want = collections.Counter()
+    for text, base, other in secretscan.Finder().find(pa.array(texts)):
+        spans = [secretscan.ASSIGN.match(text, a).span(2) for a, _, _ in base]
+        want.update({(*secretscan.surroundings(text, a, b), y) for some, y in ((spans, 1), (other, 0)) for a, b in some})
+    assert len(want) == 4601
+    one_pass, calibrate = secretscan.one_pass, secretscan.calibrate_counts
+    passed = lambda dealt, *a: (seen.append(sorted(map(tuple, dealt.collect()))), one_pass(dealt, *a))[1]
+
+    def counted(net, margins, labels, counts):
+        calibrate(net, margins, labels, counts)
+        if seen:
+            seen.append((counts[labels == 0].sum(), counts[labels == 1].sum(), counts[(labels == 1) & (net.probability(margins) >= net.threshold)].sum()))
+
+    monkeypatch.setattr(secretscan, "PART_CHARS", 30_000)
+    monkeypatch.setattr(secretscan, "PASSES", 1)
+    monkeypatch.setattr(secretscan, "one_pass", passed)
+    monkeypatch.setattr(secretscan, "calibrate_counts", counted)
+    net = secretscan.train(table(texts * 2).repartition(3))
+    assert seen[0] == sorted(want)
+    held = collections.Counter(y for *_, v, _, y in want if secretscan.is_held(v))
+    assert 1000 < held[0] < seen[1][0] < held[0] + 600 and 10 < held[1] < seen[1][1] and seen[1][2] >= secretscan.RECALL * seen[1][1]
+    again = secretscan.train(table(texts).repartition(7))
+    assert np.array_equal(net.tables, again.tables) and net.threshold == again.threshold
+    value = next(v for k in range(100) if not secretscan.is_held(v := "e" * (300 + k)))
+    more = secretscan.train(table([*texts, f"a {value} b"]))
+    assert not np.array_equal(net.tables, more.tables)
+
+
 def test_secret_scores_do_not_depend_on_neighbours_or_slices(net, monkeypatch):
     rng, table = random.Random(4), secretscan.char_ids()
     items = [("a" * rng.randrange(5), "".join(rng.choice(secretscan.ALNUM) for _ in range(rng.randrange(12, 300))), "é" * rng.randrange(5)) for _ in range(40)]
